@@ -1,0 +1,40 @@
+"""Lists per group that stay bounded when one group holds most of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+LIST_LIMIT = 50_000
+
+
+def grouped_lists(
+    df: DataFrame,
+    keys: Sequence[str],
+    item: Column,
+    spread_by: Column,
+    name: str,
+    limit: int = LIST_LIMIT,
+) -> DataFrame:
+    """Collect ``item`` per ``keys`` into sorted lists of about ``limit`` items.
+
+    Gives ``(*keys, chunk, <name>)``. A group of up to ``limit`` items is one list with
+    ``chunk = 0``. A larger group is split by a hash of ``spread_by`` into as many chunks as it
+    needs, each collected by its own task; no item is dropped. ``spread_by`` must vary within a
+    group (the author of an annotation, say).
+    """
+    keys = list(keys)
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > limit)
+        .select(*keys, F.ceil(F.col("_n") / F.lit(limit)).alias("_parts"))
+    )
+    spread = df.select(*keys, item.alias("_item"), F.xxhash64(spread_by).alias("_h")).join(hot, keys, "left")
+    chunk = F.when(F.col("_parts").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod("_h", "_parts"))
+    return (
+        spread.groupBy(*keys, chunk.alias("chunk"))
+        .agg(F.array_sort(F.collect_list("_item")).alias(name))
+    )
