@@ -99,40 +99,16 @@ def float_text(value: Column) -> Column:
     Spark writes 1.0 and 1.0E20. Numbers with a decimal exponent from -6 to 9 are written out,
     others keep one digit before the point.
     """
-    sign = F.when(F.substring(value.cast("string"), 1, 1) == "-", "-").otherwise("")
-    plain = F.abs(value).cast("string")
-    mantissa = F.regexp_extract(plain, r"^([0-9.]+)", 1)
-    spark_exponent = F.coalesce(F.regexp_extract(plain, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    whole = F.substring_index(mantissa, ".", 1)
-    fraction = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
-    joined = F.concat(whole, fraction)
-    leading = F.length(F.regexp_extract(joined, "^(0*)", 1))
-    digits = F.regexp_replace(F.regexp_replace(joined, "^0+", ""), "0+$", "")
-    exponent = F.length(whole) - 1 + spark_exponent - leading
-
-    written_out = (
-        F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
-        .when(F.length(digits) <= exponent + 1, F.rpad(digits, exponent + 1, F.lit("0")))
-        .otherwise(
-            F.concat(
-                F.substring(digits, F.lit(1), exponent + 1),
-                F.lit("."),
-                F.substring(digits, exponent + 2, F.length(digits)),
-            )
-        )
-    )
-    tail = F.substring(digits, F.lit(2), F.length(digits))
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""),
-        F.when(exponent > 0, "e+").otherwise("e-"),
-        F.abs(exponent).cast("string"),
-    )
-    number = F.when((exponent >= -6) & (exponent < 10), written_out).otherwise(scientific)
-    text = (
+    text = value.cast("string")
+    size = F.abs(value)
+    # The cast to decimal goes through the shortest text of the double, so no digits are made up.
+    digits = value.try_cast("decimal(38,24)").cast("string")
+    written_out = F.regexp_replace(digits, r"\.?0+$", "")
+    scientific = F.replace(F.replace(F.replace(text, F.lit(".0E"), F.lit("E")), F.lit("E-"), F.lit("e-")), F.lit("E"), F.lit("e+"))
+    return (
         F.when(F.isnan(value), "nan")
-        .when(plain == "Infinity", F.concat(sign, F.lit("inf")))
-        .when(value == 0, F.concat(sign, F.lit("0")))
-        .otherwise(F.concat(sign, number))
+        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), F.regexp_replace(text, r"\.0$", ""))
+        .when((size >= 1e-6) & (size < 1e10), written_out)
+        .otherwise(scientific)
     )
-    return F.when(value.isNotNull(), text)

@@ -105,12 +105,9 @@ def merge_into_table(submissions: DataFrame, path: str) -> None:
 
 
 def cascade_delete(tables: dict[str, DataFrame], project_ids: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the rows of the given projects (``projects`` is keyed by ``id``)."""
+    """Every table, keyed by ``project_id``, without the rows of the given projects."""
     gone = project_ids.select("project_id").distinct()
-    return {
-        name: df.join(gone.withColumnRenamed("project_id", "id") if name == "projects" else gone, "id" if name == "projects" else "project_id", "left_anti")
-        for name, df in tables.items()
-    }
+    return {name: df.join(gone, "project_id", "left_anti") for name, df in tables.items()}
 
 
 def effective_label(rows: DataFrame, annotations: DataFrame, ml_annotations: DataFrame, user_id: str) -> DataFrame:

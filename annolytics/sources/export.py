@@ -24,4 +24,5 @@ def export_annotations(annotations: DataFrame, project_id: str, path: str, fmt:
     if fmt == "parquet":
         rows.withColumn("data", F.encode("data", "utf-8")).write.parquet(path)
     else:
-        rows.write.json(path)
+        # The default format would cut the times to milliseconds.
+        rows.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)

@@ -1,6 +1,6 @@
 """The registered queries with their SQL counterparts."""
 
-from workload import filter_queries  # noqa: F401
+from workload import browse_queries, filter_queries, order_queries, payload_queries, source_queries, write_queries  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -215,8 +215,8 @@ SQL_FIXTURES = {
         FROM keys, generate_series(0::bigint, (SELECT count(*) FROM documents)-1) AS t(p)
       UNION ALL
       SELECT user_id, pos, CASE WHEN (greatest(x,m)%2147483647*scale+shift)%2147483647%2=1 THEN m ELSE x END, i+1, n
-      FROM (SELECT *, (pivot-x+n)%n AS m FROM (SELECT walk.*,
-          ((w0+i*w1)%2147483647*2147483647+(w2+i*w3)%2147483647)%n AS pivot,
+      FROM (SELECT *, (turn-x+n)%n AS m FROM (SELECT walk.*,
+          ((w0+i*w1)%2147483647*2147483647+(w2+i*w3)%2147483647)%n AS turn,
           (w4+i*w5)%2147483646+1 AS scale, (w6+i*w7)%2147483647 AS shift
         FROM walk JOIN keys USING (user_id) WHERE i<=16))""",
     "user_order": "SELECT user_id, pos, x AS row_index FROM walk WHERE i=17",
