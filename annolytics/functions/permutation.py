@@ -57,7 +57,8 @@ def _shuffle_column(x: Column, seed: Column, num_rows: int, rounds: Iterable[int
     def keyed_shuffle(at: pd.Series, seeds: pd.Series) -> pd.Series:
         return _shuffle(at, seeds, num_rows, rounds)
 
-    return keyed_shuffle(x.cast("bigint"), seed)
+    # Never null. Saying so keeps joins on the result from testing it, which would run it twice.
+    return F.coalesce(keyed_shuffle(x.cast("bigint"), seed), F.lit(-1).cast("bigint"))
 
 
 def row_at(position: Column, seed: Column, num_rows: int) -> Column:

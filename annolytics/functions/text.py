@@ -48,28 +48,23 @@ def pick_text(schema: T.StructType) -> Column:
     return F.coalesce(*options)
 
 
-def words_of(text: Column) -> Column:
-    """The distinct lower-case words (letters a-z and apostrophes) of a whole text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z']+)"), 1))
-
-
 def lexicon_sentiment(
     text: Column,
     positive: Sequence[str] = POSITIVE_WORDS,
     negative: Sequence[str] = NEGATIVE_WORDS,
 ) -> Column:
-    """positive, negative or neutral by which list has more distinct words in the text."""
-    words = words_of(text)
-    lexicon = lambda entries: F.array(*[F.lit(w) for w in entries])
-    # One pass over the word list keeps the regular expression evaluated once.
-    balance = F.aggregate(
-        words,
-        F.lit(0),
-        lambda acc, w: acc
-        + F.array_contains(lexicon(positive), w).cast("int")
-        - F.array_contains(lexicon(negative), w).cast("int"),
-    )
-    return F.when(balance > 0, "positive").when(balance < 0, "negative").otherwise("neutral")
+    """positive, negative or neutral by which list has more distinct words in the whole text.
+
+    Words are runs of the letters a-z and apostrophes in the lower-cased text.
+    """
+    words = F.split(F.lower(text), "[^a-z']+")
+
+    def hits(lexicon: Sequence[str]) -> Column:
+        return F.size(F.array_intersect(words, F.array(*[F.lit(word) for word in lexicon])))
+
+    # One lookup by the sign of the balance keeps the words split once.
+    verdicts = F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive"))
+    return F.element_at(verdicts, (F.signum(hits(positive) - hits(negative)) + 2).cast("int"))
 
 
 def format_time(seconds: Column) -> Column:

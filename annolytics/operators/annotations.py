@@ -69,12 +69,15 @@ def ml_upsert(submissions: DataFrame, current: DataFrame | None = None) -> DataF
 
 
 def write_annotations(annotations: DataFrame, path: str) -> None:
-    """Store an annotation table, partitioned by project and row block and sorted by row."""
+    """Store an annotation table, partitioned by project and row block.
+
+    Tasks take ranges of (project, row, user), so a file holds few neighbouring rows and a filter
+    on row_index skips the others; a row with very many annotations still spans several tasks.
+    """
     blocked = annotations.withColumn("row_block", F.floor(F.col("row_index") / ROW_BLOCK).cast("int"))
-    # Sixteen files per partition at most, so that neither one project nor one block is one task.
-    spread = blocked.repartition(*PARTITIONS, F.pmod(F.xxhash64("row_index", "user_id"), F.lit(16)))
     (
-        spread.sortWithinPartitions(*PARTITIONS, "row_index")
+        blocked.repartitionByRange(*KEY)
+        .sortWithinPartitions(*KEY)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)

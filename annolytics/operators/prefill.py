@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from annolytics.functions.literals import timestamp_literal
 from annolytics.functions.text import NEGATIVE_WORDS, POSITIVE_WORDS, lexicon_sentiment, pick_text
 from annolytics.operators.browse import distinct_rows
+from annolytics.plans.sizing import spread_if_small
 
 ColumnModel = Column
 PythonModel = Callable[[dict], dict | None]
@@ -58,11 +59,12 @@ def _plain(value):
 def run_model(rows: DataFrame, model: ColumnModel | PythonModel, columns: Sequence[str] | None = None) -> DataFrame:
     """``(row_index, data)`` for every row, ``data`` null where the model failed.
 
-    A Python model gets only ``columns`` of each row, in Arrow batches, one task per partition.
+    A model sees only ``columns`` of each row; a Python model gets them in Arrow batches.
     """
+    inputs = list(columns or [c for c in rows.columns if c != "row_index"])
+    rows = spread_if_small(rows.select("row_index", *inputs))
     if isinstance(model, Column):
         return rows.select("row_index", model.alias("data"))
-    inputs = list(columns or [c for c in rows.columns if c != "row_index"])
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -70,7 +72,7 @@ def run_model(rows: DataFrame, model: ColumnModel | PythonModel, columns: Sequen
             data = [_call(model, {n: _plain(v) for n, v in zip(inputs, row, strict=True)}) for row in rows_in]
             yield pd.DataFrame({"row_index": batch["row_index"], "data": pd.Series(data, dtype="object")})
 
-    return rows.select("row_index", *inputs).mapInPandas(predict, ATTEMPT)
+    return rows.mapInPandas(predict, ATTEMPT)
 
 
 def prefill_batch(

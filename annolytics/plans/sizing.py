@@ -1,4 +1,4 @@
-"""Broadcast only what has been measured."""
+"""Broadcasts and repartitions that depend on a measured size."""
 
 from __future__ import annotations
 
@@ -16,3 +16,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     small = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Spark's own upper estimate of a plan's output, from file sizes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def spread_if_small(df: DataFrame, bytes_per_core: int = 128 * 1024 * 1024) -> DataFrame:
+    """Spread rows over all cores when there is less than one scan split of input per core.
+
+    Input of one file may come as one split and leave every other core idle under costly work.
+    Above the bound the scan has splits enough and the rows stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if planned_bytes(df) < cores * bytes_per_core else df

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolytics.functions.permutation import project_salt
-from annolytics.operators.annotations import annotation_upsert
+from annolytics.operators.annotations import annotation_upsert, read_annotations, write_annotations
+from annolytics.session import scratch_path
 
 NOW = datetime(2024, 1, 31)
 ME = "u7"
@@ -50,13 +51,22 @@ def submissions(spark: SparkSession, sf: str) -> DataFrame:
     return submission_rows(table(spark, sf, "events"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
-    return annotation_upsert(submissions(spark, sf))
+    """The annotation table, stored once per session and read by every query that needs it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = scratch_path(spark, "annotations")
+        write_annotations(annotation_upsert(submissions(spark, sf)), path)
+        _STORED[key] = path
+    return read_annotations(spark, _STORED[key]).drop("row_block")
 
 
 def project_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The annotations of the project most queries are about."""
-    return annotation_upsert(submissions(spark, sf).where(F.col("project_id") == PROJECT))
+    """The annotations of the project most queries are about; only its partitions are read."""
+    return annotations(spark, sf).where(F.col("project_id") == PROJECT)
 
 
 def users(spark: SparkSession, sf: str) -> DataFrame:

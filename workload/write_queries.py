@@ -102,9 +102,9 @@ def project_patch_query(spark, sf):
 def streamed(spark, sf):
     source, log = scratch_path(spark, "incoming"), scratch_path(spark, "log")
     events = fx.table(spark, sf, "events")
-    # Four files in no order of time, one per micro-batch.
+    # Four files in no order of time, two per micro-batch.
     events.repartition(4, "event_id").write.parquet(source)
-    incoming = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    incoming = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
     stream_upsert(fx.submission_rows(incoming), log, scratch_path(spark, "checkpoint"), available_now=True).awaitTermination()
     return plain(read_log(spark, log))
 
