@@ -20,7 +20,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 def planned_bytes(df: DataFrame) -> int:
     """Spark's own upper estimate of a plan's output, from file sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread_if_small(df: DataFrame, bytes_per_core: int = 128 * 1024 * 1024) -> DataFrame:
