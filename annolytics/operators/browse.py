@@ -24,7 +24,7 @@ from annolytics.operators.filters import (
 )
 from annolytics.operators.payloads import overlay_fields
 from annolytics.operators.projections import display_map
-from annolytics.operators.status import annotations_per_row, row_status
+from annolytics.operators.status import annotations_per_row, large_rows, row_status
 from annolytics.plans.ranking import BLOCK
 
 PER_PAGE = 50
@@ -244,6 +244,7 @@ def decorate_rows(
     """
     rows = rows_at(dataset, page.row_indices)
     mine = rows_at(annotations, page.row_indices)
+    large = large_rows(mine)
     fields = [c for c in dataset.columns if c != "row_index"]
     preview = F.map_concat(
         F.transform_values("_base", lambda k, v: F.coalesce(F.try_element_at("_overlay", k), v)),
@@ -252,8 +253,8 @@ def decorate_rows(
     return (
         rows.select("row_index", display_map(dataset, fields).alias("_base"))
         .join(overlay_fields(mine), "row_index", "left")
-        .join(annotations_per_row(mine), "row_index", "left")
-        .join(row_status(mine, me), ["row_index", "chunk"], "left")
+        .join(annotations_per_row(mine, large), "row_index", "left")
+        .join(row_status(mine, me, large), ["row_index", "chunk"], "left")
         .select(
             "row_index",
             F.when(F.col("_overlay").isNull(), F.col("_base")).otherwise(preview).alias("preview"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annolytics.functions.text import template_fields
 from annolytics.operators.status import progress
-from annolytics.plans.chunks import LIST_LIMIT, grouped_lists
+from annolytics.plans.chunks import LIST_LIMIT, grouped_lists, large_groups
 
 ADMIN = "system_admin"
 PATCHABLE = ("color", "tags", "instructions", "ml_enabled", "ml_url", "ml_annotator", "ml_mode")
@@ -67,7 +67,8 @@ def project_detail(
 def role_map(users: DataFrame, permissions: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """Users with their roles by project, null for none; one map unless it outgrows a list."""
     entry = F.struct("project_id", "role")
-    lists = grouped_lists(permissions, ["user_id"], entry, F.col("project_id"), "_entries", limit)
+    large = large_groups(permissions, ["user_id"], limit)
+    lists = grouped_lists(permissions, ["user_id"], entry, F.col("project_id"), "_entries", large)
     roles = lists.select("user_id", "chunk", F.map_from_entries("_entries").alias("project_roles"))
     return users.join(roles, "user_id", "left").withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("bigint")))
 

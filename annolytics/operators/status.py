@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolytics.plans.chunks import LIST_LIMIT, grouped_lists
+from annolytics.plans.chunks import LIST_LIMIT, grouped_lists, large_groups
 
 
 def progress(annotations: DataFrame, me: str) -> DataFrame:
@@ -41,15 +41,18 @@ def count_per_row(annotations: DataFrame) -> DataFrame:
     return annotations.groupBy("row_index").agg(F.count("*").alias("n_annotations"))
 
 
-def row_status(annotations: DataFrame, me: str, limit: int = LIST_LIMIT) -> DataFrame:
+def large_rows(annotations: DataFrame, limit: int = LIST_LIMIT) -> DataFrame | None:
+    """Rows with more annotations than one list should hold, for row_status and annotations_per_row."""
+    return large_groups(annotations, ["row_index"], limit)
+
+
+def row_status(annotations: DataFrame, me: str, large: DataFrame | None = None) -> DataFrame:
     """Per annotated row: by_me, by_any and the sorted annotators.
 
-    ``(row_index, chunk, by_me, by_any, annotators)``; a row has further chunks only when it has
-    more annotators than one list should hold.
+    ``(row_index, chunk, by_me, by_any, annotators)``; only the ``large`` rows have chunks
+    beyond 0.
     """
-    lists = grouped_lists(
-        annotations.select("row_index", "user_id"), ["row_index"], F.col("user_id"), F.col("user_id"), "annotators", limit
-    )
+    lists = grouped_lists(annotations, ["row_index"], F.col("user_id"), F.col("user_id"), "annotators", large)
     by_me = annotations.where(F.col("user_id") == me).select("row_index", F.lit(True).alias("_me"))
     return lists.join(by_me, "row_index", "left").select(
         "row_index",
@@ -60,14 +63,14 @@ def row_status(annotations: DataFrame, me: str, limit: int = LIST_LIMIT) -> Data
     )
 
 
-def annotations_per_row(annotations: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def annotations_per_row(annotations: DataFrame, large: DataFrame | None = None) -> DataFrame:
     """Per annotated row its annotations ``{author_id, data, created_at, updated_at}`` by author.
 
     ``(row_index, chunk, annotations)``; see row_status for chunks. Both split a row by its
     authors, so equal chunks of the two belong together.
     """
     item = F.struct(F.col("user_id").alias("author_id"), "data", "created_at", "updated_at")
-    return grouped_lists(annotations, ["row_index"], item, F.col("user_id"), "annotations", limit)
+    return grouped_lists(annotations, ["row_index"], item, F.col("user_id"), "annotations", large)
 
 
 def unannotated_by_user(dataset: DataFrame, annotations: DataFrame, user_id: str) -> DataFrame:

@@ -7,34 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolytics.plans.sizing import broadcast_if_small
+from annolytics.session import settle
+
 LIST_LIMIT = 50_000
 
 
+def large_groups(df: DataFrame, keys: Sequence[str], limit: int = LIST_LIMIT) -> DataFrame | None:
+    """Groups of more than ``limit`` rows with the number of lists they need; None without any.
+
+    One map-side combined count. There are at most rows / limit such groups, and usually none,
+    which spares the join that would tell them apart.
+    """
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    large = counted.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).alias("_parts"))
+    return None if large.isEmpty() else broadcast_if_small(settle(large, "large-groups"))
+
+
 def grouped_lists(
     df: DataFrame,
     keys: Sequence[str],
     item: Column,
     spread_by: Column,
     name: str,
-    limit: int = LIST_LIMIT,
+    large: DataFrame | None,
 ) -> DataFrame:
-    """Collect ``item`` per ``keys`` into sorted lists of about ``limit`` items.
+    """Collect ``item`` per ``keys`` into sorted lists, those of ``large`` groups in parts.
 
-    Gives ``(*keys, chunk, <name>)``. A group of up to ``limit`` items is one list with
-    ``chunk = 0``. A larger group is split by a hash of ``spread_by`` into as many chunks as it
-    needs, each collected by its own task; no item is dropped. ``spread_by`` must vary within a
-    group (the author of an annotation, say).
+    Gives ``(*keys, chunk, <name>)``. A group is one list with ``chunk = 0``; one of the
+    ``large`` groups is split by a hash of ``spread_by`` into as many chunks as it needs, each
+    collected by its own task. No item is dropped. ``spread_by`` must vary within a group (the
+    author of an annotation, say).
     """
     keys = list(keys)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(limit)).alias("_parts"))
-    )
-    spread = df.select(*keys, item.alias("_item"), F.xxhash64(spread_by).alias("_h")).join(hot, keys, "left")
-    chunk = F.when(F.col("_parts").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod("_h", "_parts"))
-    return (
-        spread.groupBy(*keys, chunk.alias("chunk"))
-        .agg(F.array_sort(F.collect_list("_item")).alias(name))
-    )
+    spread = df.select(*keys, item.alias("_item"), F.xxhash64(spread_by).alias("_h"))
+    chunk = F.lit(0).cast("bigint")
+    if large is not None:
+        spread = spread.join(large, keys, "left")
+        chunk = F.coalesce(F.pmod("_h", "_parts"), chunk)
+    return spread.groupBy(*keys, chunk.alias("chunk")).agg(F.array_sort(F.collect_list("_item")).alias(name))

@@ -97,10 +97,14 @@ def is_glob_matched(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _is_json_array(spark: SparkSession, path: str) -> bool:
-    """Whether JSON files hold arrays, by the first character of one line."""
-    first = spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").alias("v")).limit(1).collect()
-    return bool(first) and (first[0]["v"].startswith("[") or first[0]["v"] == "{")
+def _is_json_document(spark: SparkSession, path: str) -> bool:
+    """Whether JSON files hold one array or one document rather than one object per line.
+
+    Told by the start of a line; no more of it reaches the driver.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    first = lines.select(F.substring(F.ltrim("value"), 1, 2).alias("start")).limit(1).collect()
+    return bool(first) and (first[0]["start"].startswith("[") or first[0]["start"].strip() == "{")
 
 
 def _scan(spark: SparkSession, path: str, ext: str, schema: T.StructType | None) -> DataFrame:
@@ -108,7 +112,7 @@ def _scan(spark: SparkSession, path: str, ext: str, schema: T.StructType | None)
         return scan_csv(spark, path, schema)
     if ext == "parquet":
         return scan_parquet(spark, path)
-    return scan_json(spark, path, schema, lines=ext == "jsonl" or not _is_json_array(spark, path))
+    return scan_json(spark, path, schema, lines=ext == "jsonl" or not _is_json_document(spark, path))
 
 
 def _suffix(path: str) -> str:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from annolytics.operators import browse, ordering
 from annolytics.operators.checks import orphans
-from annolytics.operators.status import annotations_per_row, progress, progress_by_user, row_status
+from annolytics.operators.status import annotations_per_row, large_rows, progress, progress_by_user, row_status
 from annolytics.operators.projects import role_map
-from annolytics.plans.chunks import grouped_lists
+from annolytics.plans.chunks import grouped_lists, large_groups
 from annolytics.plans.ranking import blocked_positions
 from annolytics.plans.sizing import broadcast_if_small
 
@@ -29,7 +29,10 @@ def skewed(spark):
 def test_lists_of_a_hot_group_are_split_and_whole(spark):
     rows = [("hot", i) for i in range(1000)] + [(f"k{i % 50}", i) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, v bigint")
-    lists = grouped_lists(df, ["k"], F.col("v"), F.col("v"), "vs", limit=100).collect()
+    large = large_groups(df, ["k"], 100)
+    lists = grouped_lists(df, ["k"], F.col("v"), F.col("v"), "vs", large).collect()
+    assert [r["k"] for r in large.collect()] == ["hot"]
+    assert large_groups(df, ["k"], 1000) is None
     got = sorted((r["k"], v) for r in lists for v in r["vs"])
     assert got == sorted(rows)
     assert sum(r["k"] == "hot" for r in lists) == 10
@@ -40,8 +43,8 @@ def test_lists_of_a_hot_group_are_split_and_whole(spark):
 
 def test_chunks_of_status_and_annotations_belong_together(skewed):
     pairs, df = skewed
-    lists = {(r["row_index"], r["chunk"]): [a["author_id"] for a in r["annotations"]] for r in annotations_per_row(df, 50).collect()}
-    status = {(r["row_index"], r["chunk"]): r for r in row_status(df, "u1", 50).collect()}
+    lists = {(r["row_index"], r["chunk"]): [a["author_id"] for a in r["annotations"]] for r in annotations_per_row(df, large_rows(df, 50)).collect()}
+    status = {(r["row_index"], r["chunk"]): r for r in row_status(df, "u1", large_rows(df, 50)).collect()}
     assert lists == {k: r["annotators"] for k, r in status.items()}
     assert {(row, u) for (row, _), users in lists.items() for u in users} == pairs
     assert all(r["by_me"] == ((k[0], "u1") in pairs) for k, r in status.items())

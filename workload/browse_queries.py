@@ -72,7 +72,8 @@ _STATUS = """SELECT row_index, 0::bigint AS chunk, bool_or(user_id='u7') AS by_m
 
 @query("row_status", _STATUS)
 def row_status(spark, sf):
-    status = st.row_status(fx.project_rows(spark, sf), fx.ME)
+    ann = fx.project_rows(spark, sf)
+    status = st.row_status(ann, fx.ME, st.large_rows(ann))
     return status.withColumn("annotators", F.array_join("annotators", ","))
 
 
@@ -82,7 +83,9 @@ def row_status(spark, sf):
         ELSE 'Unannotated' END AS label FROM dataset d LEFT JOIN ({_STATUS}) s USING (row_index)""",
 )
 def status_label(spark, sf):
-    rows = fx.dataset(spark, sf).select("row_index").join(st.row_status(fx.project_rows(spark, sf), fx.ME), "row_index", "left")
+    ann = fx.project_rows(spark, sf)
+    status = st.row_status(ann, fx.ME, st.large_rows(ann))
+    rows = fx.dataset(spark, sf).select("row_index").join(status, "row_index", "left")
     return rows.select("row_index", pj.status_label(F.col("by_me"), F.col("by_any"), F.col("annotators")).alias("label"))
 
 
@@ -284,7 +287,8 @@ def count_per_row(spark, sf):
          ||' '||strftime(updated_at,'%Y-%m-%d %H:%M:%S.%f'), '|' ORDER BY user_id) AS annotations FROM ann GROUP BY 1""",
 )
 def annotations_per_row(spark, sf):
-    lists = st.annotations_per_row(fx.project_rows(spark, sf))
+    ann = fx.project_rows(spark, sf)
+    lists = st.annotations_per_row(ann, st.large_rows(ann))
     time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     texts = F.transform(
         "annotations", lambda a: F.concat_ws(" ", a["author_id"], a["data"], time(a["created_at"]), time(a["updated_at"]))

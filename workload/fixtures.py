@@ -51,17 +51,23 @@ def submissions(spark: SparkSession, sf: str) -> DataFrame:
     return submission_rows(table(spark, sf, "events"))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def annotations(spark: SparkSession, sf: str) -> DataFrame:
-    """The annotation table, stored once per session and read by every query that needs it."""
-    key = (spark.sparkContext.applicationId, sf)
+def _stored(spark: SparkSession, sf: str, name: str, write) -> str:
+    """The path of a table that is written once per session, as a project's tables are."""
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
-        path = scratch_path(spark, "annotations")
-        write_annotations(annotation_upsert(submissions(spark, sf)), path)
+        path = scratch_path(spark, name)
+        write(path)
         _STORED[key] = path
-    return read_annotations(spark, _STORED[key]).drop("row_block")
+    return _STORED[key]
+
+
+def annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """The annotation table."""
+    path = _stored(spark, sf, "annotations", lambda p: write_annotations(annotation_upsert(submissions(spark, sf)), p))
+    return read_annotations(spark, path).drop("row_block")
 
 
 def project_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,22 +117,25 @@ def permissions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ml_annotations(spark: SparkSession, sf: str) -> DataFrame:
+def _label_by_language(documents: DataFrame) -> DataFrame:
     made = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
-    return (
-        table(spark, sf, "documents")
-        .where(F.col("doc_id") % 3 == 0)
-        .select(
-            F.lit(PROJECT).alias("project_id"),
-            F.col("doc_id").alias("row_index"),
-            F.lit("lexicon").alias("annotator"),
-            F.to_json(F.struct(F.col("lang").alias("label"))).alias("data"),
-            made.alias("created_at"),
-            made.alias("updated_at"),
-        )
+    return documents.where(F.col("doc_id") % 3 == 0).select(
+        F.lit(PROJECT).alias("project_id"),
+        F.col("doc_id").alias("row_index"),
+        F.lit("lexicon").alias("annotator"),
+        F.to_json(F.struct(F.col("lang").alias("label"))).alias("data"),
+        made.alias("created_at"),
+        made.alias("updated_at"),
     )
 
 
+def ml_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """The model annotation table: a third of the rows have a label."""
+    rows = _label_by_language(table(spark, sf, "documents"))
+    path = _stored(spark, sf, "ml_annotations", rows.write.parquet)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("page_id")
     return table(spark, sf, "pages").select(
