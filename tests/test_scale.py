@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from annolytics.operators import browse, ordering
 from annolytics.operators.checks import orphans
 from annolytics.operators.status import annotations_per_row, large_rows, progress, progress_by_user, row_status
+from annolytics.operators.prefill import rows_to_prefill
 from annolytics.operators.projects import role_map
 from annolytics.plans.chunks import grouped_lists, large_groups
 from annolytics.plans.ranking import blocked_positions
 from annolytics.plans.sizing import broadcast_if_small
+from annolytics.sources.tables import save_bucketed
 
 
 @pytest.fixture(scope="module")
@@ -182,3 +184,21 @@ def test_no_pairs_and_no_single_partition_windows(spark, skewed):
     for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
         assert costly not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id AS row_index", "concat('text ', id) AS text")
+    data = save_bucketed(rows, "docs_bucketed", str(tmp_path / "docs"), 8)
+    labels = save_bucketed(rows.where("row_index % 3 = 0").selectExpr("row_index", "'{}' AS data"), "labels_bucketed", str(tmp_path / "labels"), 8)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo = rows_to_prefill(data, labels)
+        plan = todo._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert "Exchange" not in plan
+        assert todo.count() == 1333
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE docs_bucketed")
+        spark.sql("DROP TABLE labels_bucketed")

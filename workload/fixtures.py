@@ -88,7 +88,7 @@ def users(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def projects(spark: SparkSession, sf: str) -> DataFrame:
+def _project_rows(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("s_suppkey")
     project_id = F.concat(F.lit("p"), key)
     return (
@@ -108,6 +108,13 @@ def projects(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def projects(spark: SparkSession, sf: str) -> DataFrame:
+    """The project table."""
+    rows = _project_rows(spark, sf)
+    path = _stored(spark, sf, "projects", rows.write.parquet)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def permissions(spark: SparkSession, sf: str) -> DataFrame:
     pairs = table(spark, sf, "events").where(F.col("user_id") % 50 != 0).select("user_id", (F.col("event_id") % 3).alias("p"))
     return pairs.distinct().select(
