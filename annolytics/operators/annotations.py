@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolytics.session import settle
@@ -16,27 +16,32 @@ ROW_BLOCK = 1_000_000
 PARTITIONS = ["project_id", "row_block"]
 
 
-def _versions(submissions: DataFrame, order: Column) -> DataFrame:
-    return submissions.select(*KEY, F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), order.alias("_order"), "data")
+def _states(submissions: DataFrame) -> DataFrame:
+    """A submission as an upsert state: its time as the first one, and itself as the last."""
+    return submissions.select(*KEY, F.col("ts").alias("created_at"), F.struct("ts", "event_id", "data").alias("last"))
 
 
 def fold_submissions(submissions: DataFrame) -> DataFrame:
-    """Partial upsert state per key; folding parts of a stream and then the parts is the same.
+    """Upsert states per key; folding parts of a stream and then the parts is the same.
 
     ``submissions`` has ``project_id, row_index, user_id, data, ts`` and ``event_id``, which
     orders submissions of the same moment.
     """
-    return merge_states(_versions(submissions, F.struct(F.col("ts"), F.col("event_id"))))
+    return merge_states(_states(submissions))
 
 
 def merge_states(states: DataFrame) -> DataFrame:
-    """First time, last time and last payload per key. Every part commutes, so late data is safe."""
-    return states.groupBy(*KEY).agg(
-        F.min("created_at").alias("created_at"),
-        F.max("updated_at").alias("updated_at"),
-        F.max("_order").alias("_order"),
-        F.max_by("data", "_order").alias("data"),
-    )
+    """First time and last submission per key. Both commute, so late data is safe.
+
+    The last submission is one maximum, by time and event: its time need not be kept twice, so
+    it crosses the shuffle once.
+    """
+    return states.groupBy(*KEY).agg(F.min("created_at").alias("created_at"), F.max("last").alias("last"))
+
+
+def state_rows(states: DataFrame) -> DataFrame:
+    """The annotation rows of merged states."""
+    return states.select(*KEY, "created_at", F.col("last.ts").alias("updated_at"), F.col("last.data").alias("data"))
 
 
 def annotation_upsert(submissions: DataFrame, current: DataFrame | None = None) -> DataFrame:
@@ -44,12 +49,12 @@ def annotation_upsert(submissions: DataFrame, current: DataFrame | None = None)
 
     Old rows and submissions meet in one aggregate, so the merge costs one shuffle.
     """
-    states = _versions(submissions, F.struct(F.col("ts"), F.col("event_id")))
+    states = _states(submissions)
     if current is not None:
-        # Ahead of every submission of the same moment.
-        before = F.struct(F.col("updated_at").alias("ts"), F.lit(-1).cast("bigint").alias("event_id"))
-        states = current.select(*KEY, "created_at", "updated_at", before.alias("_order"), "data").unionByName(states)
-    return merge_states(states).drop("_order")
+        # An old row comes ahead of every submission of the same moment.
+        last = F.struct(F.col("updated_at").alias("ts"), F.lit(-1).cast("bigint").alias("event_id"), "data")
+        states = current.select(*KEY, "created_at", last.alias("last")).unionByName(states)
+    return state_rows(merge_states(states))
 
 
 def ml_upsert(submissions: DataFrame, current: DataFrame | None = None) -> DataFrame:
@@ -57,15 +62,14 @@ def ml_upsert(submissions: DataFrame, current: DataFrame | None = None) -> DataF
 
     ``submissions`` has ``project_id, row_index, annotator, data, ts`` and ``event_id``.
     """
-    order = F.struct(F.col("ts"), F.col("event_id"))
-    states = submissions.select(
-        *ML_KEY, "annotator", "data", F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), order.alias("_order")
-    )
+    times = [F.col("ts").alias("created_at"), F.col("ts").alias("updated_at")]
+    states = submissions.select(*ML_KEY, F.struct("ts", "event_id", "annotator", "data", *times).alias("last"))
     if current is not None:
-        before = F.struct(F.col("updated_at").alias("ts"), F.lit(-1).cast("bigint").alias("event_id"))
-        states = current.select(*ML_KEY, "annotator", "data", "created_at", "updated_at", before.alias("_order")).unionByName(states)
-    row = F.struct("annotator", "data", "created_at", "updated_at")
-    return states.groupBy(*ML_KEY).agg(F.max_by(row, "_order").alias("_row")).select(*ML_KEY, "_row.*")
+        order = [F.col("updated_at").alias("ts"), F.lit(-1).cast("bigint").alias("event_id")]
+        old = current.select(*ML_KEY, F.struct(*order, "annotator", "data", "created_at", "updated_at").alias("last"))
+        states = old.unionByName(states)
+    kept = [F.col(f"last.{c}").alias(c) for c in ("annotator", "data", "created_at", "updated_at")]
+    return states.groupBy(*ML_KEY).agg(F.max("last").alias("last")).select(*ML_KEY, *kept)
 
 
 def write_annotations(annotations: DataFrame, path: str) -> None:

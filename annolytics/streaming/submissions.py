@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from annolytics.operators.annotations import KEY, fold_submissions, merge_states
+from annolytics.operators.annotations import fold_submissions, merge_states, state_rows
 
 LOG_SCHEMA = (
-    "project_id string, row_index bigint, user_id string, created_at timestamp_ntz, updated_at timestamp_ntz, "
-    "_order struct<ts:timestamp_ntz,event_id:bigint>, data string"
+    "project_id string, row_index bigint, user_id string, created_at timestamp_ntz, "
+    "last struct<ts:timestamp_ntz,event_id:bigint,data:string>"
 )
 
 
@@ -29,7 +29,19 @@ def stream_upsert(submissions: DataFrame, log: str, checkpoint: str, available_n
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _read_parts(spark: SparkSession, log: str) -> DataFrame:
+    return spark.read.schema(LOG_SCHEMA).option("basePath", log).parquet(f"{log}/batch=*")
+
+
 def read_log(spark: SparkSession, log: str) -> DataFrame:
     """The annotation table a log stands for."""
-    parts = spark.read.schema(LOG_SCHEMA).option("basePath", log).parquet(f"{log}/batch=*")
-    return merge_states(parts).select(*KEY, "created_at", "updated_at", "data")
+    return state_rows(merge_states(_read_parts(spark, log)))
+
+
+def compact_log(spark: SparkSession, log: str, target: str) -> None:
+    """Fold a log into one batch of a new log, which then takes the stream's further batches.
+
+    Stop the stream first and restart it on ``target`` with its checkpoint: batch numbers go on
+    from there, and the folded batch is -1.
+    """
+    merge_states(_read_parts(spark, log)).write.parquet(f"{target}/batch=-1")
