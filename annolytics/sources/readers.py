@@ -50,14 +50,16 @@ def _demote_times(schema: T.StructType) -> T.StructType:
     )
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header and quoted line breaks. Dates and times stay text.
+def scan_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True
+) -> DataFrame:
+    """CSV with a header and, with ``line_breaks``, line breaks inside quotes. Dates and times stay text.
 
     Without a schema the types are inferred, which reads the files once more: pass one for data
-    of any size, and for files without quoted line breaks read them with ``multiLine`` off so
-    that one file can be split.
+    of any size. A file that may have line breaks inside quotes is read by one task; with
+    ``line_breaks`` off it can be split.
     """
-    options = {"header": True, "multiLine": True, "escape": '"'}
+    options = {"header": True, "multiLine": line_breaks, "escape": '"'}
     if schema is None:
         schema = _demote_times(spark.read.options(**options, inferSchema=True).csv(path).schema)
     return spark.read.options(**options).schema(schema).csv(path)
@@ -107,9 +109,9 @@ def _is_json_document(spark: SparkSession, path: str) -> bool:
     return bool(first) and (first[0]["start"].startswith("[") or first[0]["start"].strip() == "{")
 
 
-def _scan(spark: SparkSession, path: str, ext: str, schema: T.StructType | None) -> DataFrame:
+def _scan(spark: SparkSession, path: str, ext: str, schema: T.StructType | None, line_breaks: bool) -> DataFrame:
     if ext == "csv":
-        return scan_csv(spark, path, schema)
+        return scan_csv(spark, path, schema, line_breaks)
     if ext == "parquet":
         return scan_parquet(spark, path)
     return scan_json(spark, path, schema, lines=ext == "jsonl" or not _is_json_document(spark, path))
@@ -120,8 +122,13 @@ def _suffix(path: str) -> str:
     return name.rsplit(".", 1)[-1] if "." in name.lstrip(".") else ""
 
 
-def load_dataset(spark: SparkSession, source: str, schema: T.StructType | None = None) -> DataFrame:
-    """A dataset from a ``file://`` source or a path: a file, a directory or a glob."""
+def load_dataset(
+    spark: SparkSession, source: str, schema: T.StructType | None = None, line_breaks: bool = True
+) -> DataFrame:
+    """A dataset from a ``file://`` source or a path: a file, a directory or a glob.
+
+    ``schema`` and ``line_breaks`` are as for scan_csv; JSON takes the schema too.
+    """
     if source.startswith(("http://", "https://")):
         raise SourceError(f"stage {source} on a file system the executors can read")
     path = source[len("file://") :] if source.startswith("file://") else source
@@ -138,4 +145,4 @@ def load_dataset(spark: SparkSession, source: str, schema: T.StructType | None =
         ext = _suffix(path)
     if ext not in FORMATS:
         raise SourceError(f"Unsupported format: .{ext}. {SUPPORTED}")
-    return _scan(spark, path, ext, schema)
+    return _scan(spark, path, ext, schema, line_breaks)

@@ -20,13 +20,25 @@ def _offsets(counted: DataFrame, *split: str) -> DataFrame:
     return broadcast_if_small(settle(counted.withColumn("_offset", first).drop("_n"), "splits"))
 
 
+def _pin_splits(df: DataFrame) -> None:
+    """Keep later scans of this session cutting files as this one does.
+
+    How files are cut depends on the number of cores, which changes when executors come and go.
+    """
+    spark = df.sparkSession
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, spark.sparkContext.defaultParallelism)
+
+
 def with_row_index(df: DataFrame) -> DataFrame:
     """Add ``row_index`` to a file scan of any format.
 
     ``df`` comes straight from a reader. ``monotonically_increasing_id`` counts up within a split,
-    so its distance from the split's first id is the row's place there. Both passes plan the same
-    files the same way as long as the session does not change in between.
+    so its distance from the split's first id is the row's place there. Both passes must cut the
+    files alike: the cut is pinned, and a row whose split the first pass did not see is an error.
     """
+    _pin_splits(df)
     split: dict[str, Column] = {
         "_file": F.col("_metadata.file_path"),
         "_start": F.col("_metadata.file_block_start"),
@@ -34,9 +46,10 @@ def with_row_index(df: DataFrame) -> DataFrame:
     }
     base = df.withColumns(split)
     counted = base.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    known = F.coalesce("_offset", F.raise_error(F.lit("files were cut differently than when counted")).cast("bigint"))
     return (
-        base.join(_offsets(counted, "_file", "_start"), ["_file", "_start"])
-        .select((F.col("_offset") + F.col("_id") - F.col("_first")).cast("bigint").alias("row_index"), *df.columns)
+        base.join(_offsets(counted, "_file", "_start"), ["_file", "_start"], "left")
+        .select((known + F.col("_id") - F.col("_first")).cast("bigint").alias("row_index"), *df.columns)
     )
 
 

@@ -116,29 +116,29 @@ def projects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def permissions(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = table(spark, sf, "events").where(F.col("user_id") % 50 != 0).select("user_id", (F.col("event_id") % 3).alias("p"))
-    return pairs.distinct().select(
-        F.concat(F.lit("u"), F.col("user_id")).alias("user_id"),
-        F.concat(F.lit("p"), F.col("p")).alias("project_id"),
-        F.when(F.col("user_id") % 10 == 1, "project_admin").otherwise("annotator").alias("role"),
+    """Every user who is no admin has a role in the projects they submitted to."""
+    members = users(spark, sf).where("global_role <> 'system_admin'").select("user_id")
+    pairs = submissions(spark, sf).select("user_id", "project_id").distinct().join(members, "user_id", "left_semi")
+    return pairs.select(
+        "user_id", "project_id", F.when(F.col("user_id").endswith("1"), "project_admin").otherwise("annotator").alias("role")
     )
 
 
-def _label_by_language(documents: DataFrame) -> DataFrame:
+def _quality_labels(labels: DataFrame) -> DataFrame:
     made = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
-    return documents.where(F.col("doc_id") % 3 == 0).select(
+    return labels.select(
         F.lit(PROJECT).alias("project_id"),
         F.col("doc_id").alias("row_index"),
-        F.lit("lexicon").alias("annotator"),
-        F.to_json(F.struct(F.col("lang").alias("label"))).alias("data"),
+        F.lit("quality").alias("annotator"),
+        F.to_json(F.struct("quality", "toxic")).alias("data"),
         made.alias("created_at"),
         made.alias("updated_at"),
     )
 
 
 def ml_annotations(spark: SparkSession, sf: str) -> DataFrame:
-    """The model annotation table: a third of the rows have a label."""
-    rows = _label_by_language(table(spark, sf, "documents"))
+    """The model annotation table: the labels, which cover some of the documents."""
+    rows = _quality_labels(table(spark, sf, "labels"))
     path = _stored(spark, sf, "ml_annotations", rows.write.parquet)
     return spark.read.schema(rows.schema).parquet(path)
 
@@ -179,7 +179,6 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     three = F.array(span(20, 30, "LOC"), span(0, 9, "ORG"), span(25, 35, "PER"))
     return (
         table(spark, sf, "documents")
-        .where(F.col("n_chars") >= 40)
         .select(F.col("doc_id").alias("row_index"), "text", F.when(F.col("doc_id") % 5 == 0, three).otherwise(two).alias("entities"))
     )
 
@@ -212,11 +211,11 @@ SQL_FIXTURES = {
       'd'||(s_suppkey*3) AS dataset_id, 't'||(s_suppkey*7) AS template_id, '#1976d2' AS color, '' AS instructions,
       substr(sha256('p'||s_suppkey||':'||s_name),1,16) AS salt
       FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey""",
-    "permissions": """SELECT DISTINCT 'u'||user_id::varchar AS user_id, 'p'||(event_id%3)::varchar AS project_id,
-      CASE WHEN user_id%10=1 THEN 'project_admin' ELSE 'annotator' END AS role FROM events WHERE user_id%50<>0""",
-    "ml_annotations": """SELECT 'p0' AS project_id, doc_id AS row_index, 'lexicon' AS annotator,
-      to_json({label:lang})::varchar AS data, TIMESTAMP '2024-01-15 12:00:00' AS created_at,
-      TIMESTAMP '2024-01-15 12:00:00' AS updated_at FROM documents WHERE doc_id%3=0""",
+    "permissions": """SELECT DISTINCT user_id, project_id, CASE WHEN user_id LIKE '%1' THEN 'project_admin' ELSE 'annotator' END AS role
+      FROM submissions JOIN users USING (user_id) WHERE global_role<>'system_admin'""",
+    "ml_annotations": """SELECT 'p0' AS project_id, doc_id AS row_index, 'quality' AS annotator,
+      to_json({quality:quality,toxic:toxic})::varchar AS data, TIMESTAMP '2024-01-15 12:00:00' AS created_at,
+      TIMESTAMP '2024-01-15 12:00:00' AS updated_at FROM labels""",
     "catalog": """SELECT 'd'||page_id AS dataset_id, CASE WHEN page_id%3<>0 THEN 'Page '||page_id END AS name, url AS source,
       length(html)::bigint AS num_rows,
       '[{"name":"c'||(page_id%7)||'","type":"string"},{"name":"html","type":"string"}]' AS columns,
@@ -226,7 +225,7 @@ SQL_FIXTURES = {
       CASE p_size%4 WHEN 0 THEN 'TextField' WHEN 1 THEN 'RatingField' WHEN 2 THEN 'AudioSegmentField' ELSE 'NERField' END||
       ' name="'||replace(p_name,' ','_')||'" />' END AS source FROM part""",
     "spans": """SELECT doc_id AS row_index, text, unnest([0,1,2]) AS no, unnest([20,0,25]) AS s, unnest([30,9,35]) AS e,
-      unnest(['LOC','ORG','PER']) AS entity FROM documents WHERE n_chars>=40""",
+      unnest(['LOC','ORG','PER']) AS entity FROM documents""",
     "entity_spans": "SELECT * FROM spans WHERE no<2 OR row_index%5=0",
     "corners": """SELECT vec_id, abs(embedding[1]::double) AS x0, abs(embedding[2]::double) AS y0, abs(embedding[3]::double) AS x1,
       abs(embedding[4]::double) AS y1, 'c'||label AS category FROM embeddings""",

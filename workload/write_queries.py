@@ -80,22 +80,22 @@ def cascade_delete(spark, sf):
 
 @query(
     "project_patch",
-    """SELECT project_id, CASE WHEN k%4=1 THEN 'renamed '||k ELSE name END AS name, CASE WHEN k%4=1 AND k%8=1 THEN '#000000' ELSE color END AS color,
-         tags, CASE WHEN k%4=1 THEN 'read '||k ELSE instructions END AS instructions
-       FROM (SELECT *, substr(project_id,2)::bigint AS k FROM projects)""",
+    """SELECT project_id, CASE WHEN named THEN 'renamed '||s_suppkey ELSE name END AS name,
+         CASE WHEN named AND s_acctbal>8000 THEN '#000000' ELSE color END AS color, tags,
+         CASE WHEN named THEN 'read '||s_suppkey ELSE instructions END AS instructions
+       FROM projects JOIN (SELECT *, s_acctbal>5000 AND s_nationkey<>7 AS named FROM supplier) ON project_id='p'||s_suppkey""",
 )
 def project_patch_query(spark, sf):
-    projects = fx.projects(spark, sf)
     k = F.col("s_suppkey")
-    patches = fx.table(spark, sf, "supplier").where(k % 2 == 1).select(
+    # Suppliers in credit patch their project; a patch with a blank name is rejected.
+    patches = fx.table(spark, sf, "supplier").where("s_acctbal > 5000").select(
         F.concat(F.lit("p"), k).alias("project_id"),
-        # Every other patch has a blank name and is rejected.
-        F.when(k % 4 == 1, F.concat(F.lit("renamed "), k)).otherwise(F.lit("  ")).alias("name"),
-        F.when(k % 8 == 1, "#000000").alias("color"),
+        F.when(F.col("s_nationkey") != 7, F.concat(F.lit("renamed "), k)).otherwise(F.lit("  ")).alias("name"),
+        F.when(F.col("s_acctbal") > 8000, "#000000").alias("color"),
         F.lit(None).cast("string").alias("tags"),
         F.concat(F.lit("read "), k).alias("instructions"),
     )
-    return project_patch(projects, patches).select("project_id", "name", "color", "tags", "instructions")
+    return project_patch(fx.projects(spark, sf), patches).select("project_id", "name", "color", "tags", "instructions")
 
 
 @query("stream_upsert", _ALL)
