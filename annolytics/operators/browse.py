@@ -28,6 +28,10 @@ from annolytics.operators.status import annotations_per_row, large_rows, row_sta
 from annolytics.plans.ranking import BLOCK
 
 PER_PAGE = 50
+# A page's row indices pass through the driver. Whole results come from filter_rows.
+MAX_PER_PAGE = 10_000
+# Up to here a page is taken by a top-k with an offset, which one task has to hold.
+SHALLOW_ROWS = 100_000
 
 
 def project_annotations(annotations: DataFrame, project_id: str) -> DataFrame:
@@ -157,11 +161,15 @@ class Page:
 def _check_page(page: int, per_page: int) -> None:
     if page < 1 or per_page < 1:
         raise FilterError("page and per_page start at 1")
+    if per_page > MAX_PER_PAGE:
+        raise FilterError(f"a page has at most {MAX_PER_PAGE} rows; filter_rows gives all of them")
 
 
 def browse_page(rows: DataFrame, page: int = 1, per_page: int = PER_PAGE) -> DataFrame:
-    """One page of rows by row_index, as a lazy top-k with an offset."""
+    """One page of rows by row_index: a lazy top-k with an offset, for a deep page by its keys."""
     _check_page(page, per_page)
+    if page * per_page > SHALLOW_ROWS:
+        return rows_at(rows, page_keys(rows, page, per_page).row_indices).orderBy("row_index")
     return rows.orderBy("row_index").offset((page - 1) * per_page).limit(per_page)
 
 

@@ -33,6 +33,8 @@ def label_queue(users: DataFrame, annotations: DataFrame, salt: Column, num_rows
     spread over the cluster, so no task handles all of a busy user's.
     """
     seed = order_seed(F.col("user_id"), salt)
+    # A row outside the dataset has no place in the order.
+    annotations = annotations.where(F.col("row_index").between(0, num_rows - 1))
     counts = annotations.groupBy("user_id").agg(F.count("*").alias("_m"))
     bounds = users.select("user_id").join(counts, "user_id", "left").select(
         "user_id", F.least(F.coalesce("_m", F.lit(0)) + k, F.lit(num_rows)).cast("bigint").alias("_bound")

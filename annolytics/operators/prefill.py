@@ -19,6 +19,7 @@ from annolytics.functions.literals import timestamp_literal
 from annolytics.functions.text import NEGATIVE_WORDS, POSITIVE_WORDS, lexicon_sentiment, pick_text
 from annolytics.operators.browse import distinct_rows
 from annolytics.plans.sizing import spread_if_small
+from annolytics.session import settle
 
 ColumnModel = Column
 PythonModel = Callable[[dict], dict | None]
@@ -119,6 +120,32 @@ def prefill_summary(targets: DataFrame, attempts: DataFrame, enabled: bool = Tru
     )
 
 
+def run_prefill(
+    dataset: DataFrame,
+    ml_path: str,
+    model: ColumnModel | PythonModel,
+    project_id: str,
+    annotator: str,
+    now: datetime,
+    subset: DataFrame | None = None,
+    enabled: bool = True,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Pre-label a project's rows into its stored model annotations, and sum up what happened.
+
+    The attempts are written once before they are used, so no row is sent to the model twice.
+    """
+    spark = dataset.sparkSession
+    stored = spark.read.parquet(ml_path)
+    labelled = stored.where(F.col("project_id") == project_id)
+    attempts = settle(
+        prefill_batch(dataset, labelled, model, project_id, annotator, now, subset, enabled, columns), "attempts"
+    )
+    attempts.where("ok").select(*stored.columns).write.mode("append").parquet(ml_path)
+    targets = dataset if subset is None else distinct_rows(subset)
+    return prefill_summary(targets, attempts, enabled)
+
+
 def prefill_lookup(
     requests: DataFrame,
     dataset: DataFrame,

@@ -88,9 +88,8 @@ def brute_queue(spark, users, pairs, salt, n, k):
 def test_label_queue_against_brute_force(spark, skewed, monkeypatch, n, k):
     monkeypatch.setattr(ordering, "CANDIDATE_BLOCK", 32)
     pairs, df = skewed
-    inside = df.where(F.col("row_index") < n)
     users = spark.createDataFrame([(f"u{i}",) for i in range(80)] + [("newcomer",)], "user_id string")
-    got = ordering.label_queue(users, inside, F.lit("salt"), n, k).collect()
+    got = ordering.label_queue(users, df, F.lit("salt"), n, k).collect()
     assert {(r["user_id"], r["queue_no"]): r["row_index"] for r in got} == brute_queue(spark, users, pairs, "salt", n, k)
     assert len(got) == len({(r["user_id"], r["row_index"]) for r in got})
 
@@ -143,9 +142,13 @@ def test_pages_at_any_depth(spark, monkeypatch, page):
     assert got.row_indices == indices[(page - 1) * 10 : page * 10]
     assert got.total == 340
     assert [r[0] for r in browse.browse_page(df, page, 10).collect()] == got.row_indices
+    monkeypatch.setattr(browse, "SHALLOW_ROWS", 0)
+    assert [r[0] for r in browse.browse_page(df, page, 10).collect()] == got.row_indices
 
 
-def test_pages_start_at_one(spark):
+def test_pages_start_at_one_and_stay_small(spark):
+    with pytest.raises(ValueError):
+        browse.page_keys(spark.range(3).withColumnRenamed("id", "row_index"), 1, 10**6)
     for page in (0, -1):
         with pytest.raises(ValueError):
             browse.page_keys(spark.range(3).withColumnRenamed("id", "row_index"), page)

@@ -161,6 +161,24 @@ def test_subset_and_lookup(spark, texts, now):
     assert {r["data"] for r in prefill.prefill_lookup(wanted, data, ml, flaky, "m", enabled=False).collect()} == {None}
 
 
+def test_stored_prefill_calls_the_model_once_per_row(spark, texts, now, tmp_path):
+    data, _ = texts
+    path = str(tmp_path / "ml")
+    schema = "project_id string, row_index bigint, annotator string, data string, created_at timestamp_ntz, updated_at timestamp_ntz"
+    spark.createDataFrame([("p", 0, "old", "{}", START, START), ("other", 1, "old", "{}", START, START)], schema).write.parquet(path)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(row, model=flaky):
+        calls.add(1)
+        return model(row)
+
+    assert tuple(prefill.run_prefill(data, path, counting, "p", "m", now).first()) == (6, 3, 2)
+    assert calls.value == 5
+    stored = {(r["project_id"], r["row_index"]): r["annotator"] for r in spark.read.parquet(path).collect()}
+    assert stored == {("p", 0): "old", ("other", 1): "old", ("p", 1): "m", ("p", 4): "m", ("p", 5): "m"}
+    assert tuple(prefill.run_prefill(data, path, counting, "p", "m", now).first()) == (6, 0, 2)
+
+
 def test_column_model(texts, now):
     data, ml = texts
     model = prefill.lexicon_model(data.schema)

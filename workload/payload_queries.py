@@ -12,6 +12,7 @@ from annolytics.functions import text as tx
 from annolytics.operators import payloads as pl
 from annolytics.operators import prefill as pf
 from annolytics.plans.ranking import blocked_positions
+from annolytics.session import scratch_path
 from workload import fixtures as fx
 from workload.registry import query
 
@@ -277,3 +278,17 @@ def prefill_summary(spark, sf):
 def prefill_lookup(spark, sf):
     rows = fx.dataset(spark, sf)
     return pf.prefill_lookup(fx.submissions(spark, sf), rows, fx.ml_annotations(spark, sf), _model(rows), "fresh")
+
+
+@query(
+    "prefill_stored",
+    f"""SELECT row_index, annotator, data FROM ml_annotations
+        UNION ALL SELECT row_index, 'lexicon', to_json({{sentiment:{_sentiment_sql('text')}}})::varchar FROM ({_TODO})""",
+)
+def prefill_stored(spark, sf):
+    """The model annotation table after a stored pre-labelling run."""
+    path = scratch_path(spark, "prefill")
+    fx.ml_annotations(spark, sf).write.parquet(path)
+    rows = fx.dataset(spark, sf)
+    pf.run_prefill(rows, path, _model(rows), fx.PROJECT, "lexicon", fx.NOW)
+    return spark.read.parquet(path).select("row_index", "annotator", "data")
