@@ -6,6 +6,7 @@ payload is parsed to VARIANT once and each value keeps its type, its text and it
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 NUMERIC_PREFIX = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
+# A field name, then names after dots and positions in brackets.
+FIELD_PATH = re.compile(r"[^.\[\]]+(\.[^.\[\]]+|\[\d+\])*")
+
+
 @dataclass(frozen=True)
 class JsonValue:
     """Columns describing the value at one path of a payload."""

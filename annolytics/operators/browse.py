@@ -190,15 +190,15 @@ def page_keys(rows: DataFrame, page: int = 1, per_page: int = PER_PAGE) -> Page:
             "_block",
             (F.sum("_n").over(ordered) - F.col("_n")).alias("_before"),
             F.sum("_n").over(ordered).alias("_through"),
-            F.sum("_n").over(Window.partitionBy()).alias("_total"),
+            F.lead("_block").over(ordered).isNull().alias("_last"),
         )
     )
-    # The blocks under the page, and the last block for the total of a page past the end.
+    # The blocks under the page, and the last block, which counts through to the total.
     under_page = (F.col("_through") > first) & (F.col("_before") < last)
-    found = blocks.where(under_page | (F.col("_through") == F.col("_total"))).collect()
+    found = blocks.where(under_page | F.col("_last")).collect()
     if not found:
         return Page([], 0)
-    total = found[0]["_total"]
+    total = max(b["_through"] for b in found)
     on_page = [b for b in found if b["_through"] > first and b["_before"] < last]
     if not on_page:
         return Page([], total)

@@ -27,7 +27,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annolytics.functions.jsontext import JsonValue, json_value, like_text, numeric_prefix
+from annolytics.functions.jsontext import FIELD_PATH, JsonValue, json_value, like_text, numeric_prefix
 from annolytics.functions.literals import (
     parse_float,
     parse_int,
@@ -137,6 +137,8 @@ def annotation_predicate(expr: FilterExpr, me: str, now: datetime) -> Column:
             raise FilterError(f"{expr.field} needs a time, not {expr.value!r}") from error
         return COMPARE[expr.operator](F.col(expr.field.split(".")[1]), timestamp_literal(moment))
     field = expr.field[len("annotation.") :]
+    if not FIELD_PATH.fullmatch(field):
+        raise FilterError(f"{expr.field} is not a path of names and positions")
     return label_predicate(json_value(F.col("data"), F.col("payload"), field), expr)
 
 

@@ -71,6 +71,13 @@ def test_label_paths(spark, now):
     ann = annotate(spark, [(0, "a", '{"x": {"y": 7}}'), (1, "a", '{"x": [3, 7]}'), (2, "a", "not json")])
     assert hits(data, ann, now, ("annotation.x.y", "=", "7")) == [0]
     assert hits(data, ann, now, ("annotation.x[1]", ">", "6")) == [1]
+    odd = annotate(spark, [(0, "a", '{"my field": {"a-b": "x%y"}}'), (1, "a", r'{"my field": {"a-b": "x\\y_z"}}'), (2, "a", '{"my field": 1}')])
+    assert hits(data, odd, now, ("annotation.my field.a-b", "~=", "X")) == [0, 1]
+    assert hits(data, odd, now, ("annotation.my field.a-b", "~=", "\\")) == [1]
+    assert hits(data, odd, now, ("annotation.my field", "=", "1")) == [2]
+    for path in ("annotation.a[", "annotation.a..b", "annotation.a[*]", "annotation..a"):
+        with pytest.raises(FilterError):
+            filter_rows(data, ann, [FilterExpr(path, "=", "1")], "me", now)
 
 
 @pytest.fixture(scope="module")
