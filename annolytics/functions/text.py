@@ -89,7 +89,7 @@ def template_fields(source: Column, include_audio: bool = False) -> Column:
 
 
 def float_text(value: Column) -> Column:
-    """A double as the reference prints it: 1, 0.1, 1e+20, nan, -inf.
+    """A double as Arrow prints it: 1, 0.1, 1e+20, nan, -inf.
 
     Spark writes 1.0 and 1.0E20. Numbers with a decimal exponent from -6 to 9 are written out,
     others keep one digit before the point.

@@ -19,8 +19,8 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, column: str, parent_column: str | None = None) -> DataFrame:
     """Child rows whose reference names no parent row.
 
-    The distinct references are matched first. They are as few as the parents, however many
-    children a parent has, so a busy parent does not make one task see all its children.
+    The distinct references are matched first, so a busy parent does not make one task see all
+    its children.
     """
     known = parent.select(F.col(parent_column or column).alias(column)).distinct()
     missing = child.select(column).distinct().join(known, column, "left_anti")
