@@ -38,8 +38,7 @@ def order_seed(user_id: Column, salt: Column) -> Column:
 def _shuffle(x: pd.Series, seeds: pd.Series, n: int, rounds: Iterable[int]) -> pd.Series:
     codes, distinct = pd.factorize(seeds)
     # The seed is eight 32-bit words; round i draws its pivot and its coin from them.
-    words = np.array([[int(s[8 * k : 8 * k + 8], 16) for k in range(8)] for s in distinct], dtype="int64")
-    words = words.reshape(-1, 8)
+    words = np.frombuffer(b"".join(distinct), dtype=">u4").reshape(-1, 8).astype("int64")
     w = words[0] if len(words) == 1 else words[codes].T
     at = x.to_numpy(dtype="int64", copy=True)
     for i in rounds:
@@ -58,7 +57,7 @@ def _shuffle_column(x: Column, seed: Column, num_rows: int, rounds: Iterable[int
         return _shuffle(at, seeds, num_rows, rounds)
 
     # Never null. Saying so keeps joins on the result from testing it, which would run it twice.
-    return F.coalesce(keyed_shuffle(x.cast("bigint"), seed), F.lit(-1).cast("bigint"))
+    return F.coalesce(keyed_shuffle(x.cast("bigint"), F.unhex(seed)), F.lit(-1).cast("bigint"))
 
 
 def row_at(position: Column, seed: Column, num_rows: int) -> Column:

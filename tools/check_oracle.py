@@ -1,6 +1,6 @@
 """Run registered queries and their SQL on the same tables and compare the rows.
 
-    python tools/check_oracle.py [--sf DIR] [name or prefix ...]
+    python tools/check_oracle.py [--sf DIR] [--conf KEY=VALUE ...] [name or prefix* ...]
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ def rows_of(columns, rows):
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--conf", action="append", default=[])
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark = local_session(8)
+    spark = local_session(8, **dict(setting.split("=", 1) for setting in args.conf))
     db = duckdb.connect()
     for path in Path(args.sf).glob("*.parquet"):
         db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
