@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as contract
 from tools.check_oracle import rows_of
+from workload import ORACLES, QUERIES
 
 SF = Path(contract.SMOKE_DIR)
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+
 
 
 @pytest.fixture(scope="module")
