@@ -34,7 +34,7 @@ class NearDupSettings(NamedTuple):
     """``numerator / denominator`` is the least Jaccard similarity of a link.
 
     ``miss`` bounds the chance that a pair of just that similarity shares no band; pairs above
-    it are missed far less often.
+    it are missed far less often. Blocks hold about ``block`` texts and ``block_shingles`` shingles.
     """
 
     shingle: int = 5
@@ -44,6 +44,7 @@ class NearDupSettings(NamedTuple):
     miss: float = 1e-6
     seed: int = 7
     block: int = 256
+    block_shingles: int = 1 << 17
 
     @property
     def bands(self) -> int:
@@ -163,8 +164,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: NearDupSettings) ->
     return full.mapInArrow(_confirm(settings), "a bigint, b bigint")
 
 
-def _within_block(settings: NearDupSettings):
-    """Pairs of a block of a bucket that lie in different components and whose signatures agree.
+def _forest(labels: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Of ``others``, one of each label but that of ``x``; their labels become that of ``x``."""
+    found = others[np.unique(labels[others], return_index=True)[1]]
+    found = found[labels[found] != labels[x]]
+    labels[np.isin(labels, labels[found])] = labels[x]
+    return found
+
+
+def _edges(node: np.ndarray, edges: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+    a = np.concatenate([np.full(len(ys), node[x]) for x, ys in edges] or [np.zeros(0, np.int64)])
+    b = np.concatenate([node[ys] for _, ys in edges] or [np.zeros(0, np.int64)])
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+
+def _by_signature(settings: NearDupSettings):
+    """Nodes of a bucket block whose signatures come near the threshold, linked up as a forest.
 
     Signatures have some dozens of values; five standard deviations below the threshold lose
     fewer true links than the bands do.
@@ -175,50 +190,99 @@ def _within_block(settings: NearDupSettings):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         signature = np.frombuffer(b"".join(rows["_signature"]), dtype=np.uint32).reshape(len(rows), -1)
-        node, component = rows["node"].to_numpy(), rows["component"].to_numpy()
-        size, part = rows["_size"].to_numpy(), rows["part"].to_numpy()
-        one_block = rows["i"].iloc[0] == rows["j"].iloc[0]
-        a, b = [], []
+        size, labels = rows["_size"].to_numpy(), rows["component"].to_numpy().copy()
+        edges = []
         for x in range(len(rows) - 1):
             rest = slice(x + 1, len(rows))
             small, large = np.minimum(size[x], size[rest]), np.maximum(size[x], size[rest])
-            ok = (component[rest] != component[x]) & (settings.denominator * small >= settings.numerator * large)
-            if not one_block:
-                ok &= part[rest] != part[x]
+            ok = (labels[rest] != labels[x]) & (settings.denominator * small >= settings.numerator * large)
             at = np.flatnonzero(ok) + x + 1
             at = at[(signature[at] == signature[x]).sum(axis=1) >= least]
-            a.append(np.minimum(node[x], node[at]))
-            b.append(np.maximum(node[x], node[at]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": [], "b": []}, dtype="int64")
+            edges.append((x, _forest(labels, x, at)))
+        return _edges(rows["node"].to_numpy(), edges)
 
     return run
 
 
-def _across_components(members: DataFrame, links: DataFrame, classes: DataFrame, settings: NearDupSettings) -> DataFrame:
-    """Candidate pairs that remain after the star round: same bucket, other component.
+def _by_shingles(settings: NearDupSettings):
+    """Links on full shingle sets between the components in a block of a cluster, as a forest.
 
-    Buckets whose members already are one component need nothing more. The others are cut into
-    blocks of about ``settings.block`` members and every pair of blocks is compared by one group,
-    so no group is larger than two blocks however large the bucket, and only pairs whose
-    signatures come near the threshold leave it.
+    The sets are numbered once; marking those of one text and summing the marks over every
+    other text gives all its intersections in one pass.
     """
-    components = connected_components(links)
-    placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = settle(placed, "placed")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        codes = byte_codes(fold_case=True)
+        sets = [_shingle_set(text, codes, settings.shingle) for text in rows["text"]]
+        size = np.array([len(s) for s in sets])
+        values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(size) - size
+        labels = rows["component"].to_numpy().copy()
+        mark = np.zeros(len(values), dtype=np.int32)
+        largest = pd.Series(labels).mode().iloc[0]
+        edges = []
+        # Of two texts in different components one is outside the largest.
+        for x in np.flatnonzero(labels != largest):
+            own = numbers[starts[x] : starts[x] + size[x]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[numbers], starts)
+            mark[own] = 0
+            ok = (labels != labels[x]) & (settings.denominator * both >= settings.numerator * (size + size[x] - both))
+            edges.append((x, _forest(labels, x, np.flatnonzero(ok))))
+        return _edges(rows["node"].to_numpy(), edges)
+
+    return run
+
+
+def _block_pairs(rows: DataFrame, parts: Column) -> DataFrame:
+    """Each row once for every pair of blocks ``(i, j)`` of its group that its own block is in."""
+    return (
+        rows.withColumn("parts", parts.cast("bigint"))
+        .withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        .withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+        .drop("parts", "part", "other")
+    )
+
+
+def _links_across(members: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame, settings: NearDupSettings) -> DataFrame:
+    """The links that the star round left out: between components that share a bucket.
+
+    Buckets whose members already are one component need nothing more. In the others signatures
+    tell which texts come near the threshold; those are gathered into clusters, and within a
+    cluster full sets are compared across components. Both steps cut a large group into blocks
+    and look at every pair of blocks, so a group of any size is spread over tasks of bounded
+    size, and both hand on a forest of at most one edge per row, never the pairs themselves.
+    """
+    block = settings.block
+    components = settle(connected_components(links), "components")
+    placed = settle(
+        members.join(components, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "placed"
+    )
     mixed = (
         placed.groupBy("band")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
         .where("low < high and n > 2")
-        .select("band", F.ceil(F.col("n") / settings.block).alias("parts"))
+        .select("band", "n")
     )
-    rows = (
-        placed.join(settle(mixed, "mixed"), "band")
-        .withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        .join(classes.select("node", "_signature", "_size"), "node")
-        .select("band", "node", "component", "_signature", "_size", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rows = placed.join(settle(mixed, "mixed"), "band").join(classes.select("node", "_signature", "_size"), "node")
+    near = _block_pairs(rows, F.ceil(F.col("n") / block)).groupBy("band", "i", "j")
+    near = settle(near.applyInPandas(_by_signature(settings), "a bigint, b bigint"), "near")
+    clusters = connected_components(near.union(links)).withColumnRenamed("component", "cluster")
+    grouped = settle(
+        clusters.join(components, "node", "left")
+        .join(classes.select("node", "_size"), "node")
+        .select("cluster", "node", F.coalesce("component", "node").alias("component"), "_size"),
+        "clusters",
+    )
+    open_clusters = (
+        grouped.groupBy("cluster")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("_size").alias("total"))
+        .where("low < high")
+        .select("cluster", F.ceil(F.greatest(F.col("n") / block, F.col("total") / settings.block_shingles)).alias("blocks"))
     )
-    return rows.groupBy("band", "i", "j").applyInPandas(_within_block(settings), "a bigint, b bigint").distinct()
+    rows = grouped.join(settle(open_clusters, "open"), "cluster").join(texts, "node").drop("_size")
+    return _block_pairs(rows, F.col("blocks")).groupBy("cluster", "i", "j").applyInPandas(_by_shingles(settings), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: NearDupSettings = NearDupSettings()) -> DataFrame:
@@ -230,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal word sequences are one node. Each bucket of a band links its members to its smallest
     one; links are confirmed on full shingle sets; buckets that still span several components
-    then have all pairs across these compared, block by block. Exact copies are never paired, a
+    are then searched for links across these, block by block. Exact copies are never paired, a
     hot bucket is never collected, and what the driver holds does not grow.
 
     Defined cases: a null text counts as empty; a text without words links with nothing, not
@@ -261,8 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = settle(_near_sizes(star, sizes, settings), "star")
     texts = described.select(F.col("_row").alias("node"), F.col("_text").alias("text"))
     links = settle(confirmed(star, texts, settings), "links")
-    rest = settle(_across_components(members, links, classes, settings).join(star, ["a", "b"], "left_anti"), "rest")
-    links = links.union(confirmed(rest, texts, settings))
+    links = links.union(settle(_links_across(members, links, classes, texts, settings), "links-across"))
     components = connected_components(links)
     grouped = settle(
         by_key.join(firsts, "_key").join(components, "node", "left").select("_row", "_id", F.coalesce("component", "node").alias("group")),

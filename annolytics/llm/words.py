@@ -14,7 +14,6 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
 
 
 def space_table() -> np.ndarray:
@@ -92,16 +91,20 @@ def words_of(chunk: Chunk) -> Words:
     return Words(start, np.flatnonzero(ends) + 1, np.searchsorted(start, bounds))
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd number modulo 2^64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def word_hashes(chunk: Chunk, words: Words, codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial in its byte codes, found by a running sum."""
     n = len(chunk.data)
-    power = np.full(n + 1, MULTIPLIER, dtype=np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(codes[chunk.data] * power[:-1], out=total[1:])
-    # Words start at different powers; multiplying up to the same one makes equal words equal.
-    level = power[n - words.start] if n else power[:0]
+    np.cumsum(codes[chunk.data] * powers(MULTIPLIER, n), out=total[1:])
+    # Dividing by the power a word starts at makes equal words equal wherever they stand.
+    level = powers(pow(MULTIPLIER, -1, 1 << 64), n)[words.start]
     return mixed((total[words.end] - total[words.start]) * level + (words.end - words.start).astype(np.uint64))
 
 
