@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annolytics.llm.mixing import mix_sources, taken_words, word_count
 from annolytics.llm.registry import query, table
 from annolytics.llm.sharding import assign_shards, byte_size
 
@@ -46,3 +47,11 @@ def byte_balanced_shards(spark, sf):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op6_source_mix")
+def source_mix(spark, sf):
+    docs = table(spark, sf, "documents")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed = mix_sources(rows, "source", "size", ["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken_words().alias("taken"))

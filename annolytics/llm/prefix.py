@@ -31,7 +31,7 @@ def _local_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         groups = batch.column("_group")
-        size = batch.column("_size").to_numpy()
+        size = batch.column("_amount").to_numpy()
         same = np.zeros(n, dtype=bool)
         if n > 1:
             same[1:] = pc.equal(groups.slice(1), groups.slice(0, n - 1)).to_numpy(zero_copy_only=False)
@@ -62,12 +62,12 @@ def running_sums(df: DataFrame, group: str | None, order: Sequence[str], size: s
     """
     spark = df.sparkSession
     key = F.lit("") if group is None else F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
-    keyed = df.select("*", key.alias("_group"), F.col(size).alias("_size"))
+    keyed = df.select("*", key.alias("_group"), F.col(size).alias("_amount"))
     dealt = keyed.repartitionByRange(partitions_for(spark), "_group", *order).sortWithinPartitions("_group", *order)
     fields = [*dealt.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_run", "_sum", "_count"))]
     local = dealt.mapInArrow(_local_sums, T.StructType(fields)).withColumn("_part", F.spark_partition_id().cast("bigint"))
     local = settle(local, label)
-    totals = local.groupBy("_group", "_part", "_run").agg(F.sum("_size").alias("s"), F.count("*").alias("n"))
+    totals = local.groupBy("_group", "_part", "_run").agg(F.sum("_amount").alias("s"), F.count("*").alias("n"))
     earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_part",
