@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from annolytics.llm.mixing import mix_sources, taken_words, word_count
+from annolytics.llm.packing import pack_documents, piece_columns
 from annolytics.llm.registry import query, table
 from annolytics.llm.sharding import assign_shards, byte_size
 
@@ -55,3 +57,10 @@ def source_mix(spark, sf):
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mix_sources(rows, "source", "size", ["doc_id"])
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken_words().alias("taken"))
+
+
+@query("op4_vector_packing")
+def vector_packing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packed.select("_rest.doc_id", *piece_columns())
