@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annolytics.llm.token_ids import WordIds, document_ids
+from annolytics.llm.token_ids import PieceIds, ended_ids
 from annolytics.llm.words import chunks
 
 
@@ -171,14 +171,13 @@ def _cut(pieces: list[_Piece], length: int) -> tuple[list[_Piece], list[_Piece]]
 
 def _packed(tokenizer_path: str, end_id: int, limits: PackLimits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        pieces = PieceIds(tokenizer_path)
         context = TaskContext.get()
         packer = _Packer(limits, (context.partitionId() if context else 0) << 40)
         for batch in batches:
             rest = batch.column("_rest")
             for chunk in chunks(batch.column("_text")):
-                raw = chunk.data.tobytes()
-                ids, counts = document_ids([raw[s:e] for s, e in zip(chunk.bounds[:-1], chunk.bounds[1:])], words, end_id)
+                ids, counts = ended_ids(chunk, pieces, end_id)
                 at = 0
                 for i, n in enumerate(counts.tolist()):
                     row = rest.slice(chunk.first + i, 1)
