@@ -9,6 +9,8 @@ from annolytics.llm.mixing import mix_sources, taken_words, word_count
 from annolytics.llm.packing import pack_documents, piece_columns
 from annolytics.llm.registry import query, table
 from annolytics.llm.sharding import assign_shards, byte_size
+from annolytics.llm.token_scan import count_tokens, write_token_files
+from annolytics.session import scratch_path
 
 
 
@@ -64,3 +66,13 @@ def vector_packing(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return packed.select("_rest.doc_id", *piece_columns())
+
+
+@query("op7_separator_scan")
+def separator_scan(spark, sf):
+    """Tokens of every document, counted in flat files of ids."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    end_id = 49407
+    files, listed = write_token_files(docs, scratch_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), end_id)
+    counted = count_tokens(spark, files, end_id)
+    return listed.join(counted, ["path", "ordinal"]).select("_rest.doc_id", F.col("tokens").alias("n_tokens"))

@@ -70,10 +70,14 @@ class HashTable:
 
 
 class PieceIds:
-    """Ids of the pieces of chunks of texts. At most about ``held`` distinct pieces are remembered; then it starts anew."""
+    """Ids of the pieces of chunks of texts. At most about ``held`` distinct pieces are remembered; then it starts anew.
 
-    def __init__(self, tokenizer_path: str, held: int = 500_000):
+    With ``special_as_text`` the strings of special tokens are ordinary text.
+    """
+
+    def __init__(self, tokenizer_path: str, held: int = 500_000, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.encode_special_tokens = special_as_text
         self.held = held
         self.letters = str.maketrans({chr(b): letter for b, letter in byte_letters().items()})
         self.hash_codes, self.classes = byte_codes(fold_case=False), byte_classes()
