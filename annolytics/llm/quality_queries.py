@@ -1,8 +1,9 @@
-"""Line-first quality rules over all documents."""
+"""Line-first quality rules and language-model scores over all documents."""
 
 from __future__ import annotations
 
 from annolytics.llm.line_quality import BOILERPLATE, quality_lines
+from annolytics.llm.masked_lm import score_documents
 from annolytics.llm.registry import query, table
 
 PHRASES = "(" + "|".join(BOILERPLATE) + ")"
@@ -33,3 +34,9 @@ def line_quality(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = quality_lines(docs, with_text=False)
     return found.select("_rest.doc_id", *[f"_found.{c}" for c in found.schema["_found"].dataType.names])
+
+
+@query("op10_masked_lm_score")
+def masked_lm_score(spark, sf):
+    scored = score_documents(table(spark, sf, "documents").select("doc_id", "text"))
+    return scored.select("_rest.doc_id", "n_tokens", "score", "mean_score")
