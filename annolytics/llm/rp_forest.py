@@ -138,7 +138,9 @@ def _augmented(vectors: np.ndarray, longest: float) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, vector)`` of the rows that take part: id and all components finite, not all of them zero."""
-    v = F.col(f"`{vector_col}`").cast("array<double>")
+    # Doubles hold floats exactly, but take twice the room in every tree.
+    is_float = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    v = F.col(f"`{vector_col}`") if is_float else F.col(f"`{vector_col}`").cast("array<double>")
     fine = F.expr("forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(vector, x -> x <> 0)")
     return vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("vector")).where("id IS NOT NULL AND size(vector) > 0").where(fine)
 
@@ -199,11 +201,11 @@ def _best_in_leaf(settings: ForestSettings):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64", "score": "float64"})
-        base, ids = np.stack(rows["vector"].to_numpy()), rows["id"].to_numpy()
+        base, ids = np.stack(rows["vector"].to_numpy()).astype(np.float64), rows["id"].to_numpy()
         keep = min(settings.k + 1, len(ids))
         out = []
         for low in range(0, len(queries), 512):
-            part = np.stack(queries["vector"].iloc[low : low + 512].to_numpy())
+            part = np.stack(queries["vector"].iloc[low : low + 512].to_numpy()).astype(np.float64)
             rough = part @ base.T
             edge = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep]
             # Rounding may differ from the exact sum; what ties within it goes on.
@@ -249,7 +251,7 @@ def wanted_candidates(
     drawn = asked.orderBy(F.xxhash64(F.lit(settings.seed), "query")).limit(settings.probes).toPandas()
     if not len(drawn):
         return 0
-    probes, own = np.stack(drawn["vector"].to_numpy()), drawn["query"].to_numpy()
+    probes, own = np.stack(drawn["vector"].to_numpy()).astype(np.float64), drawn["query"].to_numpy()
     found = indexed.mapInArrow(_exact_part(probes, settings.k + 1), "probe int, id bigint, score double")
     best = Window.partitionBy("probe").orderBy(F.col("score").desc(), "id")
     true = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= settings.k + 1).select("probe", "id")
@@ -280,6 +282,7 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column,
     are cut into parts, so that no task holds more than a part. Rows with equal ids are candidates each, found as one.
     """
     spark = vectors.sparkSession
+    kind = usable(vectors, id_col, vector_col).schema["vector"].dataType.simpleString()
     rows = settle(usable(vectors, id_col, vector_col).withColumn("h", F.xxhash64("vector")), "ann-rows")
     one = Window.partitionBy("h", "vector").orderBy("id")
     indexed = rows.withColumn("n", F.row_number().over(one)).where(F.col("n") <= settings.k + 1).select("id", "vector", "h")
@@ -288,16 +291,16 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column,
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if total == 0:
         return spark.createDataFrame([], empty)
-    longest = float(indexed.agg(F.max(F.sqrt(F.expr("aggregate(vector, 0d, (a, x) -> a + x * x)")))).first()[0]) * (1 + 1e-9)
+    longest = float(indexed.agg(F.max(F.sqrt(F.expr("aggregate(vector, 0d, (a, x) -> a + double(x) * double(x))")))).first()[0]) * (1 + 1e-9)
     share = min(1.0, settings.sample / total)
     drawn = indexed.where(F.pmod(F.xxhash64(F.lit(settings.seed), "h"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) or 1))
     sample = drawn.select("vector").limit(settings.sample).toPandas()["vector"]
     if not len(sample):
         sample = indexed.select("vector").limit(settings.sample).toPandas()["vector"]
-    fitted = _augmented(np.stack(sample.to_numpy()), longest)
+    fitted = _augmented(np.stack(sample.to_numpy()).astype(np.float64), longest)
     rng = np.random.default_rng(settings.seed)
     forest = [grow_tree(fitted, settings.leaf, rng) for _ in range(settings.trees)]
-    placed = settle(indexed.mapInArrow(_placed(forest, longest), "tree int, leaf int, id bigint, vector array<double>"), "ann-placed")
+    placed = settle(indexed.mapInArrow(_placed(forest, longest), f"tree int, leaf int, id bigint, vector {kind}"), "ann-placed")
     counted = placed.groupBy("tree", "leaf").count().toPandas()
     sizes = [np.zeros(tree.n_leaves, dtype=np.int64) for tree in forest]
     for t, leaf, n in zip(counted["tree"], counted["leaf"], counted["count"]):
@@ -307,7 +310,7 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column,
     asked = settle(queries.groupBy("h", "vector").agg(F.min("id").alias("query")), "ann-queries")
     wanted = wanted_candidates(asked, indexed, placed, forest, sizes, settings)
     routed = asked.select(F.col("query").alias("id"), "vector").mapInArrow(
-        _routed(forest, sizes, wanted), "tree int, leaf int, query bigint, vector array<double>"
+        _routed(forest, sizes, wanted), f"tree int, leaf int, query bigint, vector {kind}"
     )
     parts = spark.createDataFrame(counted.rename(columns={"count": "n"})).withColumn("parts", F.ceil(F.col("n") / settings.part))
     parts = F.broadcast(parts.select("tree", "leaf", "parts"))
