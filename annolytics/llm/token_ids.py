@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
-from annolytics.llm.words import Chunk, byte_codes, mixed, space_table, word_hashes, words_of, Words
+from annolytics.llm.words import Chunk, Words, byte_codes, mixed, space_table, word_hashes, words_of
 
 # Classes of bytes. A plain word has printable ASCII and the Latin letters that UTF-8 writes as C3 80 to C3 BF; these have one lower
 # case each and no other composed form. Words with anything else, with an apostrophe (contractions are pieces of their own) or
@@ -93,7 +93,7 @@ class PieceIds:
         """The bytes with plain words in lower case, the pieces of all words, and which pieces are odd words."""
         data, n = chunk.data.copy(), len(chunk.data)
         kind = self.classes[data]
-        pair = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+        pair = np.flatnonzero(data[:-1] == 0xC3)
         second = data[pair + 1]
         latin = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
         kind[pair[latin]] = LETTER
@@ -145,7 +145,10 @@ class PieceIds:
 
     def ids(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a chunk, end to end, and how many each text has."""
-        data, pieces, odd = self._pieces(chunk, words_of(chunk))
+        words = words_of(chunk)
+        if not len(words.start):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(chunk.bounds) - 1, dtype=np.int64)
+        data, pieces, odd = self._pieces(chunk, words)
         hashes = word_hashes(Chunk(chunk.first, data, chunk.bounds), pieces, self.hash_codes)
         hashes = np.where(odd, mixed(hashes), hashes)
         if self.known > self.held:
