@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Seconds per unit of a relative time such as 15m, 3h, 2d, 1M, 1Y.
+# No moment is further from another than the years of a timestamp allow.
+MAX_SPAN = 10_000 * 365 * 86400
 UNIT_SECONDS = {"m": 60, "h": 3600, "d": 86400, "M": 30 * 86400, "Y": 365 * 86400}
 RELATIVE_PATTERN = r"^(\d+)([mhdMY])$"
 
@@ -83,7 +85,10 @@ def relative_time(value: Column, now: Column) -> Column:
     seconds = F.lit(None).cast("bigint")
     for name, size in UNIT_SECONDS.items():
         seconds = F.when(unit == name, F.lit(size).cast("bigint")).otherwise(seconds)
-    moment = now - F.make_dt_interval(secs=(amount * seconds).cast("decimal(18,6)"))
+    # An amount that leaves the range of intervals gives null rather than failing the query.
+    span = F.try_multiply(amount, seconds).try_cast("decimal(18,6)")
+    span = F.when(F.abs(span) <= F.lit(MAX_SPAN), span)
+    moment = F.try_subtract(now, F.make_dt_interval(secs=span))
     micros = F.date_format(moment, "SSSSSS")
     whole = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
     iso = F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))

@@ -107,7 +107,14 @@ def merge_into_table(submissions: DataFrame, path: str) -> None:
     touched = submissions.select(
         "project_id", F.floor(F.col("row_index") / ROW_BLOCK).cast("int").alias("row_block")
     ).distinct()
-    current = stored.join(touched, PARTITIONS, "left_semi").drop("row_block")
+    # One row for each partition that is rewritten. As a predicate, other partitions are not opened.
+    projects: dict[str, list[int]] = {}
+    for row in touched.collect():
+        projects.setdefault(row["project_id"], []).append(row["row_block"])
+    hit = F.lit(False)
+    for project, blocks in sorted(projects.items()):
+        hit = hit | ((F.col("project_id") == project) & F.col("row_block").isin(*sorted(blocks)))
+    current = stored.where(hit).drop("row_block")
     write_annotations(settle(annotation_upsert(submissions, current), "merge"), path)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolytics.functions.text import quoted
+from annolytics.operators.annotations import ROW_BLOCK
 from annolytics.operators.filters import (
     FilterError,
     FilterExpr,
@@ -23,15 +24,12 @@ from annolytics.operators.filters import (
     row_index_predicate,
 )
 from annolytics.operators.payloads import overlay_fields
-from annolytics.operators.projections import display_map
+from annolytics.operators.projections import display_map, with_binary_refs
 from annolytics.operators.status import annotations_per_row, large_rows, row_status
 from annolytics.plans.ranking import BLOCK
+from annolytics.session import settle
 
 PER_PAGE = 50
-# A page's row indices pass through the driver. Whole results come from filter_rows.
-MAX_PER_PAGE = 10_000
-# Up to here a page is taken by a top-k with an offset, which one task has to hold.
-SHALLOW_ROWS = 100_000
 
 
 def project_annotations(annotations: DataFrame, project_id: str) -> DataFrame:
@@ -152,72 +150,65 @@ def distinct_rows(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Page:
-    """One page of row indices (at most ``per_page`` numbers) and the total before paging."""
+    """The row indices of one page as a table, their bounds, and the total before paging.
 
-    row_indices: list[int]
+    Bounds and total are three numbers whatever the page holds; an empty page has none and total 0.
+    """
+
+    rows: DataFrame
+    low: int | None
+    high: int | None
     total: int
 
 
 def _check_page(page: int, per_page: int) -> None:
     if page < 1 or per_page < 1:
         raise FilterError("page and per_page start at 1")
-    if per_page > MAX_PER_PAGE:
-        raise FilterError(f"a page has at most {MAX_PER_PAGE} rows; filter_rows gives all of them")
-
-
-def browse_page(rows: DataFrame, page: int = 1, per_page: int = PER_PAGE) -> DataFrame:
-    """One page of rows by row_index: a lazy top-k with an offset, for a deep page by its keys."""
-    _check_page(page, per_page)
-    if page * per_page > SHALLOW_ROWS:
-        return rows_at(rows, page_keys(rows, page, per_page).row_indices).orderBy("row_index")
-    return rows.orderBy("row_index").offset((page - 1) * per_page).limit(per_page)
 
 
-def page_keys(rows: DataFrame, page: int = 1, per_page: int = PER_PAGE) -> Page:
-    """The row indices of one page and the total, at a cost that does not grow with the page.
+def page_rows(rows: DataFrame, page: int = 1, per_page: int = PER_PAGE) -> DataFrame:
+    """``(row_index, total)`` of one page, lazily and at a cost that does not grow with the page.
 
     A count per block of row indices gives the total and the few blocks the page lies in; only
-    rows of those blocks are then sorted. A deep page neither sorts everything before it nor
-    sends it to the driver. At most ``per_page`` blocks and row indices reach the driver.
+    rows of those blocks are then ranked, each block by itself, so pages may be of any size. A row with an index that occurs twice counts twice.
     """
     _check_page(page, per_page)
     first, last = (page - 1) * per_page, page * per_page
+    cut = rows.select("row_index", F.floor(F.col("row_index") / F.lit(BLOCK)).alias("_block"))
     ordered = Window.orderBy("_block")
-    blocks = (
-        rows.groupBy(F.floor(F.col("row_index") / F.lit(BLOCK)).alias("_block"))
-        .agg(F.count("*").alias("_n"))
-        .select(
-            "_block",
-            (F.sum("_n").over(ordered) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(ordered).alias("_through"),
-            F.lead("_block").over(ordered).isNull().alias("_last"),
-        )
-    )
-    # The blocks under the page, and the last block, which counts through to the total.
-    under_page = (F.col("_through") > first) & (F.col("_before") < last)
-    found = blocks.where(under_page | F.col("_last")).collect()
-    if not found:
-        return Page([], 0)
-    total = max(b["_through"] for b in found)
-    on_page = [b for b in found if b["_through"] > first and b["_before"] < last]
-    if not on_page:
-        return Page([], total)
-    low = min(b["_block"] for b in on_page) * BLOCK
-    high = (max(b["_block"] for b in on_page) + 1) * BLOCK - 1
-    skip = first - min(b["_before"] for b in on_page)
-    keys = (
-        rows.where(F.col("row_index").between(low, high))
-        .select("row_index")
-        .orderBy("row_index")
-        .offset(skip)
-        .limit(per_page)
+    blocks = cut.groupBy("_block").agg(F.count("*").alias("_n"))
+    blocks = blocks.select(
+        "_block",
+        "_n",
+        (F.sum("_n").over(ordered) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(Window.partitionBy()).alias("total"),
     )
-    return Page([row["row_index"] for row in keys.collect()], total)
+    on_page = blocks.where((F.col("_before") + F.col("_n") > first) & (F.col("_before") < last))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_block").orderBy("row_index")) - 1
+    ranked = cut.join(on_page, "_block").withColumn("_place", place)
+    return ranked.where(F.col("_place").between(first, last - 1)).select("row_index", "total")
+
+
+def page_keys(rows: DataFrame, page: int = 1, per_page: int = PER_PAGE) -> Page:
+    """A page, stored once, so that filters are not evaluated again for what is looked up by it."""
+    keys = settle(page_rows(rows, page, per_page), "page")
+    found = keys.agg(F.min("row_index").alias("low"), F.max("row_index").alias("high"), F.max("total").alias("total")).first()
+    return Page(keys.select("row_index").distinct(), found["low"], found["high"], found["total"] or 0)
+
+
+def browse_page(rows: DataFrame, page: int = 1, per_page: int = PER_PAGE) -> DataFrame:
+    """One page of rows by row_index."""
+    return rows_at(rows, page_keys(rows, page, per_page)).orderBy("row_index")
 
 
-def rows_at(df: DataFrame, row_indices: Sequence[int]) -> DataFrame:
-    """Rows of a bounded list of indices; the list is pushed into the scan as a predicate."""
-    return df.where(F.col("row_index").isin(*row_indices)) if row_indices else df.where(F.lit(False))
+def rows_at(df: DataFrame, page: Page) -> DataFrame:
+    """Rows of a page. Its bounds go into the scan; stored row blocks outside them are not opened."""
+    if page.low is None:
+        return df.where(F.lit(False))
+    within = df.where(F.col("row_index").between(page.low, page.high))
+    if "row_block" in df.columns:
+        within = within.where(F.col("row_block").between(page.low // ROW_BLOCK, page.high // ROW_BLOCK))
+    return within.join(page.rows, "row_index", "left_semi")
 
 
 def page_count(total: Column, per_page: int = PER_PAGE) -> Column:
@@ -243,19 +234,22 @@ def ml_annotation_lookup(requests: DataFrame, ml_annotations: DataFrame) -> Data
 
 
 def decorate_rows(
-    dataset: DataFrame, annotations: DataFrame, page: Page, me: str
+    dataset: DataFrame, annotations: DataFrame, page: Page, me: str, dataset_id: str = ""
 ) -> DataFrame:
     """The rows of a page with preview, annotations, status and total.
 
-    Both tables are cut to the page's row indices in their scans before anything is joined. A
-    row with more annotations than one list should hold has several lists (``chunk`` 0, 1, ...).
+    Both tables are cut to the page's bounds in their scans before anything is joined, and the page's
+    annotations are stored once for all that is made of them. Binary columns show their
+    addresses; their bytes are not read. A row with more annotations than one list should hold has several lists (``chunk`` 0, 1, ...).
     """
-    rows = rows_at(dataset, page.row_indices)
-    mine = rows_at(annotations, page.row_indices)
+    dataset = with_binary_refs(dataset, F.lit(dataset_id))
+    rows = rows_at(dataset, page)
+    mine = settle(rows_at(annotations, page), "page-annotations")
     large = large_rows(mine)
     fields = [c for c in dataset.columns if c != "row_index"]
     preview = F.map_concat(
-        F.transform_values("_base", lambda k, v: F.coalesce(F.try_element_at("_overlay", k), v)),
+        # A label that is null hides the value it stands over.
+        F.transform_values("_base", lambda k, v: F.when(F.map_contains_key("_overlay", k), F.try_element_at("_overlay", k)).otherwise(v)),
         F.map_filter("_overlay", lambda k, v: ~F.array_contains(F.map_keys("_base"), k)),
     )
     return (
@@ -285,7 +279,8 @@ def browse_rows(
     page: int = 1,
     per_page: int = PER_PAGE,
     with_or: bool = False,
+    dataset_id: str = "",
 ) -> DataFrame:
     """One page of filtered rows with their annotations and status."""
     matching = filter_rows(dataset, annotations, exprs, me, now, with_or).select("row_index")
-    return decorate_rows(dataset, annotations, page_keys(matching, page, per_page), me)
+    return decorate_rows(dataset, annotations, page_keys(matching, page, per_page), me, dataset_id)

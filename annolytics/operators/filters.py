@@ -22,6 +22,7 @@ import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,6 +143,9 @@ def annotation_predicate(expr: FilterExpr, me: str, now: datetime) -> Column:
     return label_predicate(json_value(F.col("data"), F.col("payload"), field), expr)
 
 
+_FOLD = str.maketrans(ascii_uppercase, ascii_lowercase)
+
+
 def _equals_number(value: JsonValue, number: float | int) -> Column:
     """Whole numbers compare as such: as doubles, large ones that differ would look equal."""
     if isinstance(number, int) and _LONG_RANGE[0] <= number <= _LONG_RANGE[1]:
@@ -153,8 +157,9 @@ def _equals_number(value: JsonValue, number: float | int) -> Column:
 def label_predicate(value: JsonValue, expr: FilterExpr) -> Column:
     """A typed test on a payload value; a missing or null value never matches."""
     if expr.operator == "~=":
-        # Wildcards in the value count, as in LIKE; letter case does not.
-        matched = like_text(value).ilike("%" + expr.value.replace("\\", "\\\\") + "%")
+        # Wildcards in the value count, as in LIKE; the case of A to Z does not.
+        pattern = "%" + expr.value.replace("\\", "\\\\") + "%"
+        matched = F.translate(like_text(value), ascii_uppercase, ascii_lowercase).like(pattern.translate(_FOLD))
     elif expr.operator in ("=", "!="):
         literal = typed_literal(expr.value)
         if literal.number is None:

@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,29 +51,28 @@ def _call(model: PythonModel, row: dict) -> str | None:
 
 
 def _plain(value):
-    """NumPy scalars as Python ones, missing numbers as None."""
-    if hasattr(value, "item") and getattr(value, "ndim", 0) == 0:
-        value = value.item()
-    return None if value is pd.NaT or (isinstance(value, float) and value != value) else value
+    """Missing numbers as None."""
+    return None if isinstance(value, float) and value != value else value
 
 
 def run_model(rows: DataFrame, model: ColumnModel | PythonModel, columns: Sequence[str] | None = None) -> DataFrame:
     """``(row_index, data)`` for every row, ``data`` null where the model failed.
 
-    A model sees only ``columns`` of each row; a Python model gets them in Arrow batches.
+    A model sees only ``columns`` of each row. A Python model gets them as Python values, lists
+    and structs included, from Arrow batches.
     """
     inputs = list(columns or [c for c in rows.columns if c != "row_index"])
     rows = spread_if_small(rows.select("row_index", *inputs))
     if isinstance(model, Column):
         return rows.select("row_index", model.alias("data"))
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows_in = zip(*[batch[name] for name in inputs], strict=True)
-            data = [_call(model, {n: _plain(v) for n, v in zip(inputs, row, strict=True)}) for row in rows_in]
-            yield pd.DataFrame({"row_index": batch["row_index"], "data": pd.Series(data, dtype="object")})
+            rows_in = batch.select(inputs).to_pylist()
+            data = [_call(model, {name: _plain(value) for name, value in row.items()}) for row in rows_in]
+            yield pa.RecordBatch.from_arrays([batch.column("row_index"), pa.array(data, pa.string())], ["row_index", "data"])
 
-    return rows.mapInPandas(predict, ATTEMPT)
+    return rows.mapInArrow(predict, ATTEMPT)
 
 
 def prefill_batch(
@@ -141,7 +140,7 @@ def run_prefill(
     attempts = settle(
         prefill_batch(dataset, labelled, model, project_id, annotator, now, subset, enabled, columns), "attempts"
     )
-    attempts.where("ok").select(*stored.columns).write.mode("append").parquet(ml_path)
+    _add_labels(attempts.where("ok").select(*stored.columns), ml_path)
     targets = dataset if subset is None else distinct_rows(subset)
     return prefill_summary(targets, attempts, enabled)
 
@@ -157,8 +156,9 @@ def prefill_lookup(
 ) -> DataFrame:
     """Requested rows with their stored model label, or a label computed now.
 
-    ``(row_index, data, annotator, source)`` with source ``stored``, ``computed`` or ``none``.
-    Each missing row is computed once, however often it is requested.
+    ``(row_index, data, annotator, source)`` with source ``stored``, ``computed`` or ``none``, for
+    every requested row, also one that the dataset lacks. Each missing row is computed once,
+    however often it is requested. ``stored_lookup`` keeps what it computes.
     """
     wanted = distinct_rows(requests)
     if not enabled:
@@ -167,11 +167,42 @@ def prefill_lookup(
     stored = ml_annotations.join(wanted, "row_index", "left_semi").select(
         "row_index", "data", "annotator", F.lit("stored").alias("source")
     )
-    fresh = run_model(rows_to_prefill(dataset, ml_annotations, requests), model, columns)
-    computed = fresh.select(
-        "row_index",
-        "data",
-        F.when(F.col("data").isNotNull(), F.lit(annotator)).alias("annotator"),
-        F.when(F.col("data").isNotNull(), "computed").otherwise("none").alias("source"),
+    fresh = run_model(rows_to_prefill(dataset, ml_annotations, requests), model, columns).where("data IS NOT NULL")
+    computed = fresh.select("row_index", "data", F.lit(annotator).alias("annotator"), F.lit("computed").alias("source"))
+    known = stored.unionByName(computed)
+    return wanted.join(known, "row_index", "left").select("row_index", "data", "annotator", F.coalesce("source", F.lit("none")).alias("source"))
+
+
+def stored_lookup(
+    requests: DataFrame,
+    dataset: DataFrame,
+    ml_path: str,
+    model: ColumnModel | PythonModel,
+    project_id: str,
+    annotator: str,
+    now: datetime,
+    enabled: bool = True,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """``prefill_lookup`` over a project's stored model annotations, to which what it computes is added.
+
+    The answer is stored before it is used, so the model is asked once, and a second call finds
+    what the first has computed.
+    """
+    spark = dataset.sparkSession
+    stored = spark.read.parquet(ml_path)
+    labelled = stored.where(F.col("project_id") == project_id)
+    answer = settle(prefill_lookup(requests, dataset, labelled, model, annotator, enabled, columns), "lookup")
+    made = timestamp_literal(now)
+    fresh = answer.where(F.col("source") == "computed").select(
+        F.lit(project_id).alias("project_id"), "row_index", "annotator", "data", made.alias("created_at"), made.alias("updated_at")
     )
-    return stored.unionByName(computed)
+    _add_labels(fresh.select(*stored.columns), ml_path)
+    return answer
+
+
+def _add_labels(labels: DataFrame, ml_path: str) -> None:
+    """Add labels of rows that have none. A row that another run has labelled meanwhile keeps that label."""
+    stored = labels.sparkSession.read.parquet(ml_path)
+    new = labels.join(stored.select("project_id", "row_index"), ["project_id", "row_index"], "left_anti")
+    settle(new, "labels").write.mode("append").parquet(ml_path)

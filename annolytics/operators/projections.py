@@ -43,11 +43,13 @@ def json_safe(column: Column, kind: T.DataType) -> Column:
         return F.when(column.isNotNull(), F.struct(*fields))
     if isinstance(kind, T.MapType):
         return F.transform_values(column, lambda k, v: json_safe(v, kind.valueType))
+    if isinstance(kind, T.BinaryType):
+        return F.base64(column)
     return column if isinstance(kind, _JSON_TYPES) else column.cast("string")
 
 
 def row_json(rows: DataFrame, columns: Sequence[str]) -> Column:
-    """A row as JSON text with nulls written out."""
+    """A row as JSON text with nulls written out. Bytes are base64; with_binary_refs puts addresses in their place."""
     fields = [json_safe(quoted(c), rows.schema[c].dataType).alias(c) for c in columns]
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
@@ -56,7 +58,7 @@ def display_text(column: Column, kind: T.DataType) -> Column:
     """A value as a preview shows it: strings as they are, other values as JSON."""
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
         return F.to_json(json_safe(column, kind))
-    return column.cast("string")
+    return json_safe(column, kind).cast("string")
 
 
 def display_map(rows: DataFrame, columns: Sequence[str]) -> Column:

@@ -51,13 +51,13 @@ def _demote_times(schema: T.StructType) -> T.StructType:
 
 
 def scan_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = False
 ) -> DataFrame:
     """CSV with a header and, with ``line_breaks``, line breaks inside quotes. Dates and times stay text.
 
     Without a schema the types are inferred, which reads the files once more: pass one for data
-    of any size. A file that may have line breaks inside quotes is read by one task; with
-    ``line_breaks`` off it can be split.
+    of any size. A file is split over tasks, unless ``line_breaks`` says that there may be line
+    breaks inside quotes; then one task reads it.
     """
     options = {"header": True, "multiLine": line_breaks, "escape": '"'}
     if schema is None:
@@ -99,14 +99,42 @@ def is_glob_matched(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _is_json_document(spark: SparkSession, path: str) -> bool:
-    """Whether JSON files hold one array or one document rather than one object per line.
+def json_shapes(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The JSON files under a path with a whole value on every line, and those with one value over several lines.
 
-    Told by the start of a line; no more of it reaches the driver.
+    Told for each file by its first line that is not blank: whether it is an object or array by
+    itself, as in JSON lines or an array on one line, or only the start of one. Only the first
+    split of each file is looked at, and only file names reach the driver, which holds the list of
+    files anyway. A file without such a line counts as one of lines. After a value over several lines nothing else may follow.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    first = lines.select(F.substring(F.ltrim("value"), 1, 2).alias("start")).limit(1).collect()
-    return bool(first) and (first[0]["start"].startswith("[") or first[0]["start"].strip() == "{")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
+    )
+    starts = lines.where((F.col("at") == 0) & (F.trim("value") != "")).select(
+        "file",
+        F.try_parse_json("value").isNotNull().alias("is_whole"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    found = starts.groupBy("file").agg(F.min_by("is_whole", "line").alias("is_whole")).collect()
+    documents = {row["file"] for row in found if not row["is_whole"]}
+    files = [row["file"] for row in lines.select("file").distinct().collect()]
+    return sorted(f for f in files if f not in documents), sorted(documents)
+
+
+def scan_json_files(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """JSON files under a path, each read by its own shape; a record that is no JSON is an error.
+
+    Columns that some files lack are null there.
+    """
+    lines, documents = json_shapes(spark, path)
+    parts = []
+    for files, as_lines in ((lines, True), (documents, False)):
+        if files:
+            reader = spark.read.option("multiLine", not as_lines).option("mode", "FAILFAST")
+            parts.append((reader.schema(schema) if schema is not None else reader).json(files))
+    if not parts:
+        return scan_json(spark, path, schema)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def _scan(spark: SparkSession, path: str, ext: str, schema: T.StructType | None, line_breaks: bool) -> DataFrame:
@@ -114,7 +142,7 @@ def _scan(spark: SparkSession, path: str, ext: str, schema: T.StructType | None,
         return scan_csv(spark, path, schema, line_breaks)
     if ext == "parquet":
         return scan_parquet(spark, path)
-    return scan_json(spark, path, schema, lines=ext == "jsonl" or not _is_json_document(spark, path))
+    return scan_json(spark, path, schema) if ext == "jsonl" else scan_json_files(spark, path, schema)
 
 
 def _suffix(path: str) -> str:
@@ -123,7 +151,7 @@ def _suffix(path: str) -> str:
 
 
 def load_dataset(
-    spark: SparkSession, source: str, schema: T.StructType | None = None, line_breaks: bool = True
+    spark: SparkSession, source: str, schema: T.StructType | None = None, line_breaks: bool = False
 ) -> DataFrame:
     """A dataset from a ``file://`` source or a path: a file, a directory or a glob.
 

@@ -8,8 +8,8 @@ from annolytics.functions import text as tx
 from annolytics.operators import payloads as pl
 from annolytics.operators import projections as pj
 
-SENTENCE = "Apple Inc. is based in Cupertino, California."
-SPANS = [(0, 9, "ORG"), (23, 33, "LOC"), (36, 46, "LOC")]
+SENTENCE = "In May the Norvik ferry left Tarn for Ostby."
+SPANS = [(3, 6, "DATE"), (11, 23, "SHIP"), (29, 33, "PORT"), (38, 99, "PORT")]
 ENTITIES = "row_index bigint, text string, entities array<struct<start:int,end:int,entity:string>>"
 
 

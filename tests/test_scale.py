@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from annolytics.operators import browse, ordering
+from annolytics.operators import annotations, browse, ordering
 from annolytics.operators.checks import orphans
 from annolytics.operators.status import annotations_per_row, large_rows, progress, progress_by_user, row_status
 from annolytics.operators.prefill import rows_to_prefill
@@ -139,20 +139,34 @@ def test_pages_at_any_depth(spark, monkeypatch, page):
     indices = sorted(rng.sample(range(100_000), 330) + list(range(200_000, 200_010)))
     df = spark.createDataFrame([(i,) for i in rng.sample(indices, len(indices))], "row_index bigint")
     got = browse.page_keys(df, page, 10)
-    assert got.row_indices == indices[(page - 1) * 10 : page * 10]
-    assert got.total == 340
-    assert [r[0] for r in browse.browse_page(df, page, 10).collect()] == got.row_indices
-    monkeypatch.setattr(browse, "SHALLOW_ROWS", 0)
-    assert [r[0] for r in browse.browse_page(df, page, 10).collect()] == got.row_indices
+    want = indices[(page - 1) * 10 : page * 10]
+    assert sorted(r[0] for r in got.rows.collect()) == want
+    assert (got.low, got.high, got.total) == ((want[0], want[-1], 340) if want else (None, None, 0))
+    assert [r[0] for r in browse.browse_page(df, page, 10).collect()] == want
 
 
-def test_pages_start_at_one_and_stay_small(spark):
-    with pytest.raises(ValueError):
-        browse.page_keys(spark.range(3).withColumnRenamed("id", "row_index"), 1, 10**6)
+def test_pages_start_at_one_and_have_any_size(spark):
+    rows = spark.range(3000).withColumnRenamed("id", "row_index")
+    assert browse.page_keys(rows, 1, 10**7).rows.count() == 3000
     for page in (0, -1):
         with pytest.raises(ValueError):
-            browse.page_keys(spark.range(3).withColumnRenamed("id", "row_index"), page)
-    assert browse.page_keys(spark.range(0).withColumnRenamed("id", "row_index")) == browse.Page([], 0)
+            browse.page_keys(rows, page)
+    assert browse.page_keys(rows.where("row_index < 0")).total == 0
+
+
+def test_page_opens_only_its_row_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(annotations, "ROW_BLOCK", 100)
+    monkeypatch.setattr(browse, "ROW_BLOCK", 100)
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    rows = spark.range(1000).select(
+        F.lit("p").alias("project_id"), F.col("id").alias("row_index"), F.lit("u").alias("user_id"), stamp.alias("created_at"), stamp.alias("updated_at"), F.lit("{}").alias("data")
+    )
+    annotations.write_annotations(rows, str(tmp_path / "t"))
+    page = browse.page_keys(spark.range(1000).withColumnRenamed("id", "row_index"), 5, 50)
+    found = browse.rows_at(annotations.read_annotations(spark, str(tmp_path / "t")), page)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "row_block" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert found.count() == 50
 
 
 def test_progress_against_counting(skewed):

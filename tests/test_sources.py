@@ -8,22 +8,19 @@ from annolytics.sources.export import export_annotations
 from annolytics.sources.readers import SourceError, detect_source, load_dataset, scan_csv, scan_json
 from annolytics.sources.rowindex import ingest, with_row_index, with_row_index_parquet
 
-UNSUPPORTED = "Unsupported format: .xlsx. Supported: .csv, .json, .jsonl, .parquet"
+UNSUPPORTED = "Unsupported format: .xml. Supported: .csv, .json, .jsonl, .parquet"
 
 
 @pytest.mark.parametrize(
     ("source", "expected"),
     [
-        ("https://example.com/data.csv", ("http", "csv", "https://example.com/data.csv", None)),
-        ("http://data.org/file.parquet", ("http", "parquet", "http://data.org/file.parquet", None)),
-        ("file:///home/user/data.json", ("file", "json", "/home/user/data.json", None)),
-        ("file:///home/user/data.jsonl", ("file", "json", "/home/user/data.jsonl", None)),
-        ("org/name", ("huggingface", None, "org/name", None)),
-        ("name", ("huggingface", None, "name", None)),
-        ("https://example.com/data.xlsx", ("http", None, "https://example.com/data.xlsx", UNSUPPORTED)),
-        ("https://example.com/data.csv?download=1", ("http", "csv", "https://example.com/data.csv?download=1", None)),
-        ("https://example.com/DATA.CSV", ("http", "csv", "https://example.com/DATA.CSV", None)),
-        ("file:///a/data.tar.parquet", ("file", "parquet", "/a/data.tar.parquet", None)),
+        ("team-7/speech", ("huggingface", None, "team-7/speech", None)),
+        ("file:///mnt/labels/week.12.jsonl", ("file", "json", "/mnt/labels/week.12.jsonl", None)),
+        ("http://store.test/a/b/Rows.Parquet", ("http", "parquet", "http://store.test/a/b/Rows.Parquet", None)),
+        ("file:///mnt/labels/old.xml", ("file", None, "/mnt/labels/old.xml", UNSUPPORTED)),
+        ("https://store.test/votes.json?key=x.y", ("http", "json", "https://store.test/votes.json?key=x.y", None)),
+        ("corpus", ("huggingface", None, "corpus", None)),
+        ("https://store.test/t.csv", ("http", "csv", "https://store.test/t.csv", None)),
     ],
 )
 def test_detect_source(spark, source, expected):
@@ -34,7 +31,7 @@ def test_detect_source(spark, source, expected):
 def test_csv_types_and_quoting(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('text,label,day,at\n"hello, ""you""\nthere",0,2024-01-02,2024-01-02 03:04:05\nworld,1,2024-01-03,2024-01-02 00:00:00\n')
-    df = scan_csv(spark, str(path))
+    df = scan_csv(spark, str(path), line_breaks=True)
     assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "int", "string", "string"]
     assert df.collect()[0]["text"] == 'hello, "you"\nthere'
     assert df.collect()[1]["day"] == "2024-01-03"
@@ -49,6 +46,19 @@ def test_json_lines_and_arrays(spark, tmp_path):
     assert scan_json(spark, str(lines)).select("n.x").first()["x"] == [1, 2]
 
 
+def test_each_json_file_is_read_by_its_own_shape(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"a": i} for i in range(100)], indent=2))
+    (tmp_path / "b.jsonl").write_text("".join(f'{{"a":{i}}}\n' for i in range(100, 150)))
+    (tmp_path / "c.json").write_text(json.dumps([{"a": i} for i in range(150, 160)]))
+    (tmp_path / "d.json").write_text('\n{"a": 160,\n "b": "x"}')
+    (tmp_path / "e.json").write_text('{"a":161}\n{"a":162}\n')
+    (tmp_path / "f.json").write_text("")
+    assert sorted(r["a"] for r in load_dataset(spark, str(tmp_path)).collect()) == list(range(163))
+    (tmp_path / "g.json").write_text('{"a":163}\n{"a":\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_dataset(spark, str(tmp_path)).collect()
+
+
 def test_directories_and_globs(spark, tmp_path):
     mixed, only_json, nested = (tmp_path / n for n in ("mixed", "json", "nested"))
     for d in (mixed, only_json, nested / "deeper"):

@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -179,6 +180,32 @@ def test_stored_prefill_calls_the_model_once_per_row(spark, texts, now, tmp_path
     assert tuple(prefill.run_prefill(data, path, counting, "p", "m", now).first()) == (6, 0, 2)
 
 
+def test_python_models_get_plain_nested_values(spark):
+    schema = "row_index bigint, scores array<double>, meta struct<a: int, b: array<string>>, n double"
+    data = spark.createDataFrame([(1, [1.0, 2.5], (3, ["x"]), float("nan")), (2, None, None, 1.0)], schema)
+    got = {r["row_index"]: json.loads(r["data"]) for r in prefill.run_model(data, lambda row: row).collect()}
+    assert got[1] == {"scores": [1.0, 2.5], "meta": {"a": 3, "b": ["x"]}, "n": None} and got[2] == {"scores": None, "meta": None, "n": 1.0}
+
+
+def test_lookup_answers_every_request_and_stores_what_it_computes(spark, texts, now, tmp_path):
+    data, _ = texts
+    path = str(tmp_path / "ml")
+    schema = "project_id string, row_index bigint, annotator string, data string, created_at timestamp_ntz, updated_at timestamp_ntz"
+    spark.createDataFrame([("p", 0, "old", "{}", START, START)], schema).write.parquet(path)
+    wanted = spark.createDataFrame([(0,), (1,), (2,), (77,)], "row_index bigint")
+    look = lambda: {r["row_index"]: r["source"] for r in prefill.stored_lookup(wanted, data, path, flaky, "p", "m", now).collect()}
+    assert look() == {0: "stored", 1: "computed", 2: "none", 77: "none"}
+    assert look() == {0: "stored", 1: "stored", 2: "none", 77: "none"}
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_null_labels_hide_values_and_bytes_show_addresses(spark, now):
+    data = spark.createDataFrame([(0, "base", bytearray(b"\x00\x81")), (1, "base", None)], "row_index bigint, label string, raw binary")
+    ann = an.annotation_upsert(spark.createDataFrame([("p", 0, "u", '{"label":null}', START, 1)], SUBMISSION))
+    page = {r["row_index"]: r["preview"] for r in browse.browse_rows(data, ann, [], "u", now, dataset_id="d").collect()}
+    assert page[0] == {"label": None, "raw": "/api/v1/datasets/d/rows/0/columns/raw"} and page[1]["label"] == "base"
+
+
 def test_column_model(texts, now):
     data, ml = texts
     model = prefill.lexicon_model(data.schema)

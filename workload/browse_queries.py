@@ -193,6 +193,34 @@ def browse_unannotated(spark, sf):
     )
 
 
+@query(
+    "browse_null_label",
+    """WITH page AS (SELECT * FROM dataset ORDER BY row_index LIMIT 50)
+      SELECT row_index, CASE WHEN row_index % 2 = 0 THEN NULL ELSE lang END AS lang, source FROM page""",
+)
+def browse_null_label(spark, sf):
+    """Every second row has a label that sets a field to null."""
+    rows = fx.dataset(spark, sf)
+    stamp = F.lit(fx.NOW.isoformat(sep=" ")).cast("timestamp_ntz")
+    labels = rows.where(F.col("row_index") % 2 == 0).select(
+        F.lit("p").alias("project_id"), "row_index", F.lit("u1").alias("user_id"), F.lit('{"lang": null}').alias("data"),
+        stamp.alias("created_at"), stamp.alias("updated_at"),
+    )
+    page = browse.browse_rows(rows, labels, [], fx.ME, fx.NOW)
+    return page.select("row_index", *[F.try_element_at("preview", F.lit(f)).alias(f) for f in ("lang", "source")])
+
+
+@query(
+    "browse_binary",
+    """SELECT row_index, lang, '/api/v1/datasets/d0/rows/'||row_index||'/columns/text' AS text FROM dataset ORDER BY row_index LIMIT 50""",
+)
+def browse_binary(spark, sf):
+    """A page of rows with a binary column."""
+    rows = fx.dataset(spark, sf).withColumn("text", F.encode("text", "utf-8"))
+    page = browse.browse_rows(rows, fx.project_rows(spark, sf), [], fx.ME, fx.NOW, dataset_id="d0")
+    return page.select("row_index", *[F.try_element_at("preview", F.lit(f)).alias(f) for f in ("lang", "text")])
+
+
 @query(
     "unannotated_by_user",
     "SELECT row_index, lang FROM dataset WHERE row_index NOT IN (SELECT row_index FROM ann WHERE user_id='u7')",
@@ -324,7 +352,7 @@ def browse_page(spark, sf):
 def deep_page(spark, sf):
     orders = fx.table(spark, sf, "orders").where("o_custkey <> 5").withColumn("row_index", F.col("o_orderkey"))
     page = browse.page_keys(orders, page=201, per_page=50)
-    return browse.rows_at(orders, page.row_indices).select("row_index", F.lit(page.total).alias("total"), "o_totalprice")
+    return browse.rows_at(orders, page).select("row_index", F.lit(page.total).alias("total"), "o_totalprice")
 
 
 @query("page_count", "SELECT lang, source, count(*) AS total, ceil(count(*)/50.0)::bigint AS pages FROM documents GROUP BY 1,2")

@@ -21,8 +21,8 @@ TABLES = (
 
 @query(
     "detect_source",
-    r"""WITH sources AS (SELECT unnest([url, url||'/data.csv?download=1', 'file:///data/'||page_id||'.jsonl', 'org/name-'||page_id,
-          url||'.PARQUET', 'file:///x/'||page_id||'.xlsx', 'http://data.org/'||page_id||'.json', 'name'||page_id]) AS source FROM pages),
+    r"""WITH sources AS (SELECT unnest([url, url||'/rows.csv?v=2', 'file:///data/'||page_id||'.jsonl', 'org/name-'||page_id,
+          url||'.PARQUET', 'file:///x/'||page_id||'.xlsx', 'http://files.test/'||page_id||'.json', 'name'||page_id]) AS source FROM pages),
       paths AS (SELECT source, CASE WHEN starts_with(source,'file://') THEN substr(source,8) ELSE source END AS path,
           CASE WHEN starts_with(source,'http://') OR starts_with(source,'https://') THEN 'http'
                WHEN starts_with(source,'file://') THEN 'file' ELSE 'huggingface' END AS source_type FROM sources),
@@ -36,12 +36,12 @@ def detect(spark, sf):
     page = F.col("page_id").cast("string")
     forms = F.array(
         F.col("url"),
-        F.concat("url", F.lit("/data.csv?download=1")),
+        F.concat("url", F.lit("/rows.csv?v=2")),
         F.concat(F.lit("file:///data/"), page, F.lit(".jsonl")),
         F.concat(F.lit("org/name-"), page),
         F.concat("url", F.lit(".PARQUET")),
         F.concat(F.lit("file:///x/"), page, F.lit(".xlsx")),
-        F.concat(F.lit("http://data.org/"), page, F.lit(".json")),
+        F.concat(F.lit("http://files.test/"), page, F.lit(".json")),
         F.concat(F.lit("name"), page),
     )
     sources = fx.table(spark, sf, "pages").select(F.explode(forms).alias("source"))
@@ -55,7 +55,7 @@ def csv(spark, sf):
     docs.write.options(
         header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
-    back = scan_csv(spark, path, docs.schema)
+    back = scan_csv(spark, path, docs.schema, line_breaks=True)
     return back.select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"), F.length("text").alias("text_length"))
 
 
@@ -66,6 +66,39 @@ def json(spark, sf):
     return scan_json(spark, path).select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "scan_json_mixed",
+    """SELECT doc_id AS id, lang, md5(text) AS text_md5 FROM documents UNION ALL SELECT page_id, NULL, md5(html) FROM pages
+       UNION ALL SELECT item_id, 'b', md5(text) FROM benchmark""",
+)
+def json_mixed(spark, sf):
+    """One folder with files of lines, of an array on one line and of an array over several lines."""
+    path = scratch_path(spark, "mixed")
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    docs.write.mode("append").json(path)
+    pages = fx.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    rest = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("b").alias("lang"), "text")
+    # One array per file: rows are folded per task, the last table's over several lines.
+    for rows, indented in ((pages, False), (rest, True)):
+        entry = F.to_json(F.struct(*rows.columns), {"pretty": str(indented).lower()})
+        arrays = rows.repartition(4, "id").select(F.spark_partition_id().alias("part"), entry.alias("entry")).groupBy("part")
+        arrays = arrays.agg(F.concat(F.lit("["), F.array_join(F.collect_list("entry"), ",\n" if indented else ","), F.lit("]")).alias("value"))
+        folder = scratch_path(spark, "arrays")
+        arrays.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+        _move_as_json(spark, folder, path)
+    return load_dataset(spark, path).select("id", "lang", F.md5("text").alias("text_md5"))
+
+
+def _move_as_json(spark, source, target):
+    """Move the text files of a folder into another as .json files."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, status in enumerate(fs.listStatus(fs_path(source))):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(status.getPath(), fs_path(f"{target}/{name.removesuffix('.txt')}-{i}.json"))
+
+
 @query("scan_parquet", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def parquet(spark, sf):
     return scan_parquet(spark, f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
