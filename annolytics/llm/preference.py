@@ -30,6 +30,21 @@ def turn_head(role: Column, template: ChatTemplate) -> Column:
     return F.concat(F.lit(template.before), F.coalesce(role, F.lit("")), F.lit(template.after))
 
 
+def _next_heads(outer: DataFrame | None, openings: DataFrame, length: int, outer_length: int) -> DataFrame:
+    """``(name, after)`` for every prefix of ``length`` digits: the head of the next one in order.
+
+    Prefixes are sorted within those of ``outer_length`` digits; the last of each goes on as ``outer`` tells.
+    """
+    name = F.substring("opening", 1, length)
+    heads = openings.groupBy(name.alias("name")).agg(F.min(F.struct("opening", "head"))["head"].alias("head"))
+    group = F.substring("name", 1, outer_length)
+    heads = heads.withColumn("group", group).withColumn("after", F.lead("head").over(Window.partitionBy("group").orderBy("name")))
+    if outer is None:
+        return heads.select("name", "after")
+    above = outer.select(F.col("name").alias("group"), F.col("after").alias("after_group"))
+    return heads.join(above, "group").select("name", F.coalesce("after", "after_group").alias("after"))
+
+
 def pair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Pairs ``(pair_id, chosen, rejected)`` that take in every conversation of ``turns``.
 
@@ -39,8 +54,8 @@ def pair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
     pairs whatever their openings, so a very common opening makes no more pairs than rare ones. A
     null ``conv_id`` is no conversation.
 
-    Those of one opening are sorted in 64 parts; only the first of each part, opening and slice
-    of the openings goes into the sorts that link these.
+    Those of one opening are sorted in 64 parts; only the first of each part, opening and prefix
+    of the openings' checksums goes into the sorts that link these, the last of which has 256 rows.
     """
     conv, role, text = F.col(f"`{conv_col}`"), F.col(f"`{role_col}`"), F.col(f"`{text_col}`")
     first = F.min(F.struct(F.col(f"`{turn_col}`").alias("turn"), role.alias("role"), text.alias("text")))
@@ -53,12 +68,9 @@ def pair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
     linked = convs.withColumn("next", after)
     parts = convs.groupBy("opening", "part").agg(F.min(head).alias("head"))
     parts = parts.withColumn("after_part", F.lead("head").over(Window.partitionBy("opening").orderBy("part")))
-    openings = parts.groupBy("opening").agg(F.min(F.struct("part", "head"))["head"].alias("head")).withColumn("slice", F.substring("opening", 1, 4))
-    openings = settle(openings, "openings")
-    slices = openings.groupBy("slice").agg(F.min(F.struct("opening", "head"))["head"].alias("head"))
-    slices = slices.select("slice", F.lead("head").over(Window.orderBy("slice")).alias("after_slice"))
-    openings = openings.withColumn("after_opening", F.lead("head").over(Window.partitionBy("slice").orderBy("opening"))).join(slices, "slice")
-    later = parts.join(openings.select("opening", F.coalesce("after_opening", "after_slice").alias("after_opening")), "opening")
+    openings = settle(parts.groupBy("opening").agg(F.min(F.struct("part", "head"))["head"].alias("head")), "openings")
+    following = _next_heads(_next_heads(_next_heads(None, openings, 2, 0), openings, 4, 2), openings, 32, 4)
+    later = parts.join(following.select(F.col("name").alias("opening"), F.col("after").alias("after_opening")), "opening")
     later = later.select("opening", "part", F.coalesce("after_part", "after_opening").alias("later"))
     lasts = linked.where("next IS NULL").join(later, ["opening", "part"]).select("conv", "weight", F.col("later").alias("next"))
     both = linked.where("next IS NOT NULL").select("conv", "weight", "next").union(lasts.where("next IS NOT NULL"))
