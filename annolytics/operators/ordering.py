@@ -26,31 +26,33 @@ def user_row_order(dataset: DataFrame, user_id: Column, salt: Column, num_rows:
 def label_queue(users: DataFrame, annotations: DataFrame, salt: Column, num_rows: int, k: int) -> DataFrame:
     """The next ``k`` un-annotated rows of every user: ``(user_id, queue_no, row_index)``.
 
-    ``users`` has one row per user, ``annotations`` are those of the project. The first ``m + k``
-    positions of a user with m annotations hold at least k free ones, so the candidates number
-    annotations plus k per user and never users times rows. The annotated positions among those
-    tell how many of them are needed; the candidates of one user are generated in blocks and
-    spread over the cluster, so no task handles all of a busy user's.
+    ``users`` has one row per user, ``annotations`` are those of the project. A user's annotated
+    positions are counted by their number of binary digits, at most 64 counts whatever the user
+    has annotated. These tell how many of the first positions, one less than a power of two, hold k free
+    ones: at most about twice as many candidates as needed, and never users times rows. The
+    candidates of one user are generated in blocks and meet the annotated positions by user and
+    position, so no task handles all of a busy user's.
     """
     seed = order_seed(F.col("user_id"), salt)
     # A row outside the dataset has no place in the order.
     annotations = annotations.where(F.col("row_index").between(0, num_rows - 1))
-    counts = annotations.groupBy("user_id").agg(F.count("*").alias("_m"))
-    bounds = users.select("user_id").join(counts, "user_id", "left").select(
-        "user_id", F.least(F.coalesce("_m", F.lit(0)) + k, F.lit(num_rows)).cast("bigint").alias("_bound")
+    taken = annotations.select("user_id", position_of(F.col("row_index"), seed, num_rows).alias("_position"))
+    digits = (F.length(F.bin(F.col("_position") + 1)) - 1).alias("bits")
+    counted = taken.groupBy("user_id", digits).agg(F.count("*").alias("n"))
+    spread = counted.groupBy("user_id").agg(F.collect_list(F.struct("bits", "n")).alias("_spread"))
+    # The first 2^i - 1 positions are those with fewer than i digits beyond the first.
+    enough = F.expr(
+        f"""filter(sequence(0, 62), i -> shiftleft(1L, i) - 1
+            - aggregate(filter(_spread, x -> x.bits < i), 0L, (sum, x) -> sum + x.n) >= {int(k)})"""
     )
-    taken = (
-        annotations.select("user_id", position_of(F.col("row_index"), seed, num_rows).alias("_position"))
-        .join(bounds, "user_id")
-        .where(F.col("_position") < F.col("_bound"))
-        .select("user_id", "_position")
-    )
-    blocked = taken.groupBy("user_id").agg(F.count("*").alias("_taken"))
     needed = (
-        bounds.join(blocked, "user_id", "left")
-        .withColumn("_needed", F.least(F.coalesce("_taken", F.lit(0)) + k, F.lit(num_rows)).cast("bigint"))
-        .where(F.col("_needed") > 0)
+        users.select("user_id")
+        .join(spread, "user_id", "left")
+        .withColumn("_spread", F.coalesce("_spread", F.expr("cast(array() AS array<struct<bits: int, n: bigint>>)")))
+        .withColumn("_i", F.try_element_at(enough, F.lit(1)))
     )
+    needed = needed.withColumn("_needed", F.least(F.coalesce(F.expr("shiftleft(1L, _i) - 1"), F.lit(num_rows)), F.lit(num_rows)).cast("bigint"))
+    needed = needed.where(F.col("_needed") > 0)
     blocks = needed.select(
         "user_id",
         "_needed",

@@ -169,6 +169,22 @@ def test_page_opens_only_its_row_blocks(spark, tmp_path, monkeypatch):
     assert found.count() == 50
 
 
+def test_queue_never_joins_annotations_by_user_alone(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 1500, "busy").otherwise(F.concat(F.lit("u"), F.col("id") % 7)).alias("user_id"), "id")
+    rows = rows.select("user_id", (F.col("id") % 1600).alias("row_index"))
+    users = rows.select("user_id").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        queue = ordering.label_queue(users, rows, F.lit("s"), 1600, 5)
+        joins = [line for line in queue._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftAnti" in line]
+        assert joins and all("_position" in line for line in joins)
+        got = {(r["user_id"], r["queue_no"]): r["row_index"] for r in queue.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    done = {(r["user_id"], r["row_index"]) for r in rows.collect()}
+    assert len(got) == 8 * 5 and not {(u, row) for (u, _), row in got.items()} & done
+
+
 def test_progress_against_counting(skewed):
     pairs, df = skewed
     row = progress(df, "u1").collect()[0]
