@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import EllipsisType
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +48,13 @@ def large_rows(annotations: DataFrame, limit: int = LIST_LIMIT) -> DataFrame | N
     return large_groups(annotations, ["row_index"], limit)
 
 
-def row_status(annotations: DataFrame, me: str, large: DataFrame | None = None) -> DataFrame:
+def row_status(annotations: DataFrame, me: str, large: DataFrame | None | EllipsisType = ...) -> DataFrame:
     """Per annotated row: by_me, by_any and the sorted annotators.
 
     ``(row_index, chunk, by_me, by_any, annotators)``; only the ``large`` rows have chunks
-    beyond 0.
+    beyond 0. They are looked for unless ``large_rows`` was asked before.
     """
+    large = large_rows(annotations) if large is ... else large
     lists = grouped_lists(annotations, ["row_index"], F.col("user_id"), F.col("user_id"), "annotators", large)
     by_me = annotations.where(F.col("user_id") == me).select("row_index", F.lit(True).alias("_me"))
     return lists.join(by_me, "row_index", "left").select(
@@ -63,12 +66,13 @@ def row_status(annotations: DataFrame, me: str, large: DataFrame | None = None)
     )
 
 
-def annotations_per_row(annotations: DataFrame, large: DataFrame | None = None) -> DataFrame:
+def annotations_per_row(annotations: DataFrame, large: DataFrame | None | EllipsisType = ...) -> DataFrame:
     """Per annotated row its annotations ``{author_id, data, created_at, updated_at}`` by author.
 
     ``(row_index, chunk, annotations)``; see row_status for chunks. Both split a row by its
     authors, so equal chunks of the two belong together.
     """
+    large = large_rows(annotations) if large is ... else large
     item = F.struct(F.col("user_id").alias("author_id"), "data", "created_at", "updated_at")
     return grouped_lists(annotations, ["row_index"], item, F.col("user_id"), "annotations", large)
 

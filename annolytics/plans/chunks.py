@@ -20,8 +20,8 @@ def large_groups(df: DataFrame, keys: Sequence[str], limit: int = LIST_LIMIT) ->
     which spares the join that would tell them apart.
     """
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    large = counted.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).alias("_parts"))
-    return None if large.isEmpty() else broadcast_if_small(settle(large, "large-groups"))
+    large = settle(counted.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).alias("_parts")), "large-groups")
+    return None if large.isEmpty() else broadcast_if_small(large)
 
 
 def grouped_lists(
