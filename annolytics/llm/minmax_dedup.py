@@ -285,6 +285,11 @@ def _links_across(members: DataFrame, links: DataFrame, classes: DataFrame, text
     return _block_pairs(rows, F.col("blocks")).groupBy("cluster", "i", "j").applyInPandas(_by_shingles(settings), "a bigint, b bigint")
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: NearDupSettings = NearDupSettings()) -> DataFrame:
+    """The rows of ``docs`` that are first in their group of near-duplicates, with all their columns as they were."""
+    return _grouped(docs, id_col, text_col, settings).where("is_first").select(*[_column(c, text_col) for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: NearDupSettings = NearDupSettings()) -> DataFrame:
     """Every row of ``docs`` with its shingle set's size and its group of near-duplicates.
 
@@ -300,15 +305,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Defined cases: a null text counts as empty; a text without words links with nothing, not
     even another such, and is first in a group of its own. Rows with equal ids are separate rows, of which those with
     equal words are copies. A null id counts as the largest in its group; ``component_id`` is
-    null if all ids of a group are. Other columns pass through, whatever their names; columns
-    that begin with ``_`` must not clash with those used here, and are set aside first.
+    null if all ids of a group are. Other columns pass through, whatever their names, but for those
+    named as one that is added, which are replaced.
     """
+    added = ("n_shingles", "component_id", "is_first")
+    kept = [_column(c, text_col) for c in docs.columns if c not in added]
+    return _grouped(docs, id_col, text_col, settings).select(
+        *kept, F.col("_size").alias("n_shingles"), F.col("component").alias("component_id"), "is_first"
+    )
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, settings: NearDupSettings) -> DataFrame:
+    """The described rows with ``component`` and ``is_first``."""
     names = docs.columns
     base = docs.select(
         F.monotonically_increasing_id().alias("_row"),
         F.col(f"`{id_col}`").cast("bigint").alias("_id"),
         F.col(f"`{text_col}`").cast("binary").alias("_text"),
-        F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("_rest"),
+        F.struct(*([F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(1).alias("_")])).alias("_rest"),
     )
     schema = T.StructType([*base.schema.fields, *(T.StructField(name, kind) for name, kind in DESCRIPTION.items())])
     described = settle(base.mapInArrow(_describe(settings), schema), "described")
@@ -336,9 +350,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result = grouped.join(heads, "group").select("_row", "component", (F.col("_row") == F.col("first")).alias("is_first"))
     full = described.join(result, "_row", "left")
     return full.select(
-        *[_column(c, text_col) for c in names],
-        F.col("_size").alias("n_shingles"),
-        F.when(F.col("is_first").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component_id"),
+        "_text",
+        "_rest",
+        "_size",
+        F.when(F.col("is_first").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component"),
         F.coalesce("is_first", F.lit(True)).alias("is_first"),
     )
 

@@ -127,27 +127,30 @@ def mix_sources(docs: DataFrame, source_col: str, size_col: str, order: Sequence
     Reruns give the same spans: the order is a hash of the ``order`` columns and the size.
 
     A null source is a source of its own; a row of no words (or of null size) has no spans; rows
-    equal in all columns are interchangeable; an empty table gives an empty table. Pass narrow rows: all columns are shuffled.
+    equal in all columns are interchangeable; an empty table gives an empty table. A column that is named as one
+    that is added is replaced. Pass narrow rows: all columns are shuffled.
     """
+    size = F.coalesce(F.col(f"`{size_col}`"), F.lit(0)).cast("bigint")
+    keys = [F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(order)]
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rest")
     settled = settle(
-        docs.select("*", F.coalesce(F.col(f"`{size_col}`"), F.lit(0)).cast("bigint").alias("_size"), F.monotonically_increasing_id().alias("_row")),
+        docs.select(rest, F.col(f"`{source_col}`").alias("_source"), size.alias("_size"), *keys, F.monotonically_increasing_id().alias("_row")),
         "mix-rows",
     )
-    source = F.col(f"`{source_col}`")
-    sizes = settled.groupBy(source.alias("source")).agg(F.sum("_size").alias("source_size"))
+    sizes = settled.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
     quotas = settle(block_quotas(source_targets(settle(sizes, "mix-sizes"), settings), settings), "mix-quotas")
-    ties = [F.col(f"`{c}`") for c in order]
-    keyed = settled.withColumn("_turn", F.xxhash64(F.lit(settings.seed), *ties, "_size"))
-    placed = running_sums(keyed, source_col, ["_turn", *order, "_size", "_row"], "_size", "mix-sums")
-    wide = placed.join(quotas, source.eqNullSafe(quotas["source"])) if source_col != "source" else placed.withColumnRenamed(source_col, "_source").join(
-        quotas, F.col("_source").eqNullSafe(F.col("source"))
-    ).drop("source").withColumnRenamed("_source", "source")
+    names = [f"_key{i}" for i in range(len(order))]
+    keyed = settled.withColumn("_turn", F.xxhash64(F.lit(settings.seed), *names, "_size"))
+    placed = running_sums(keyed, "_source", ["_turn", *names, "_size", "_row"], "_size", "mix-sums")
+    wide = placed.join(quotas, F.col("_source").eqNullSafe(F.col("source")))
     begin = F.pmod(F.xxhash64(F.lit(settings.seed), F.coalesce(F.col("source"), F.lit("\0"))), F.greatest("source_size", F.lit(1)))
     wide = wide.withColumn("_at", F.when(F.col("source_size") > 0, F.pmod(F.col("before") - begin, F.col("source_size"))).otherwise(F.lit(0)))
     # Decimals: a source's words times its blocks leave 64 bits from some terabytes on.
     cuts = F.expr("transform(bounds, b -> cast(cast(b AS decimal(19,0)) * cast(source_size AS decimal(19,0)) div blocks AS bigint))")
     spans = F.expr(SPANS.format(most=settings.most, last=settings.shards - 1))
-    return wide.withColumn("_cuts", cuts).withColumn("spans", spans).select(*docs.columns, "source_size", "target", "spans")
+    added = {"source_size": F.col("source_size"), "target": F.col("target"), "spans": spans}
+    kept = [F.col("_rest")[c].alias(c) for c in docs.columns if c not in added]
+    return wide.withColumn("_cuts", cuts).select(*kept, *[column.alias(name) for name, column in added.items()])
 
 
 def taken_words() -> Column:

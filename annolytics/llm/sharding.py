@@ -29,22 +29,27 @@ def assign_shards(df: DataFrame, order: Sequence[str], size: str, n_shards: int)
     numbers a shard's rows from 0 without gaps. Totals per range partition give every
     row its global position, so no task sees more than its own range.
 
-    ``size`` must be a positive long. Equal rows are interchangeable; rows that tie in ``order`` but differ are kept apart by their
-    remaining columns. A row longer than a stretch leaves the shards it spans empty. An empty
-    table gives an empty table. Pass narrow rows (ids and sizes): all columns are shuffled.
+    ``size`` must be a positive long. Nulls come first in the order. Equal rows are
+    interchangeable; rows that tie in ``order`` but differ are kept apart by their remaining columns, which must be of types that can be sorted. A
+    row longer than a stretch leaves the shards it spans empty. An empty table gives an empty table. Columns
+    named ``shard`` or ``slot`` are replaced. Pass narrow rows (ids and sizes): all columns are shuffled. The
+    first slots that are broadcast are ``n_shards`` rows.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
-    ties = [c for c in df.columns if c not in order]
-    placed = settle(running_sums(rows, None, [*order, *ties, "_row"], size, "shard-sums"), "shard-placed")
-    total = placed.agg(F.sum(size)).first()[0] or 1
+    keys = [F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate([*order, *(c for c in df.columns if c not in order)])]
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_rest")
+    rows = settle(df.select(rest, F.col(f"`{size}`").cast("bigint").alias("_size"), *keys, F.monotonically_increasing_id().alias("_row")), "shard-rows")
+    names = [f"_key{i}" for i in range(len(keys))]
+    placed = settle(running_sums(rows, None, [*names, "_row"], "_size", "shard-sums").drop(*names), "shard-placed")
+    total = placed.agg(F.sum("_size")).first()[0] or 1
     # Decimals: at some petabytes the products would leave 64 bits.
-    span = F.expr(f"cast((cast(before as decimal(20,0)) * 2 + `{size}`) * {n_shards} div {2 * total} as int)")
+    span = F.expr(f"cast((cast(before as decimal(20,0)) * 2 + _size) * {n_shards} div {2 * total} as int)")
     cut = placed.withColumn("shard", span)
     firsts = cut.groupBy("shard").agg(F.min("position").alias("_first"))
     numbered = cut.join(F.broadcast(firsts), "shard")
-    return numbered.select(*df.columns, "shard", (F.col("position") - F.col("_first")).alias("slot"))
+    kept = [F.col("_rest")[c].alias(c) for c in df.columns if c not in ("shard", "slot")]
+    return numbered.select(*kept, "shard", (F.col("position") - F.col("_first")).alias("slot"))
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, key: str, path: str) -> None:

@@ -55,6 +55,8 @@ def test_shards_are_contiguous_balanced_and_gapless(spark, documents, odd_texts)
         assert ids == sorted(ids) and (not ids or ids[0] >= last)
         last = ids[-1] if ids else last
     assert assign_shards(rows.where("size < 0"), ["doc_id"], "size", 5).count() == 0
+    odd = rows.withColumnsRenamed({"doc_id": "slot", "size": "before"})
+    assert assign_shards(odd, ["slot"], "before", 5).columns == ["before", "shard", "slot"]
     with pytest.raises(ValueError):
         assign_shards(rows, ["doc_id"], "size", 0)
 
@@ -168,6 +170,8 @@ def test_mix_takes_its_targets_and_repeats_itself(spark, documents, odd_texts):
     assert all(" ".join(words(r.text)) in " ".join(words(texts[(r.doc_id, r.source)])) and r.n_chars == len(r.text) for r in pieces if r.doc_id not in (None, 9))
     assert abs(sum(len(words(r.text)) for r in pieces) - sum(target.values())) <= 32 * len(target)
     assert mix_sources(sized.where("size < 0"), "source", "size", ["doc_id"]).count() == 0
+    odd = sized.withColumnsRenamed({"doc_id": "target", "size": "before"}).withColumn("bounds", F.lit(1))
+    assert mix_sources(odd, "source", "before", ["target"]).columns == ["source", "before", "bounds", "source_size", "target", "spans"]
 
 
 # ------------------------------------------------------------ tokens and packing

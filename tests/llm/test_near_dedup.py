@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from annolytics.llm.components import connected_components
-from annolytics.llm.minmax_dedup import NearDupSettings, min_max_signatures, near_duplicates
+from annolytics.llm.minmax_dedup import NearDupSettings, distinct_documents, min_max_signatures, near_duplicates
 from annolytics.llm.words import byte_codes, chunks, shingle_hashes, word_hashes, words_of
 
 
@@ -72,8 +72,12 @@ def test_odd_texts(documents, odd_texts):
 def test_empty_table_and_clashing_columns(documents, spark):
     empty = near_duplicates(documents([]))
     assert empty.columns == ["doc_id", "text", "source", "n_chars", "n_shingles", "component_id", "is_first"] and empty.count() == 0
-    docs = documents([(1, "a b c d e f"), (2, "a b c d e f")]).withColumnsRenamed({"source": "_text", "n_chars": "_row"})
-    assert {r.component_id for r in near_duplicates(docs).collect()} == {1}
+    docs = documents([(1, "a b c d e f"), (2, "a b c d e f")])
+    for names in (("_text", "_row"), ("is_first", "component"), ("component_id", "node")):
+        clashing = docs.withColumnsRenamed(dict(zip(("source", "n_chars"), names)))
+        assert {r.component_id for r in near_duplicates(clashing).collect()} == {1}
+        (row,) = distinct_documents(clashing).collect()
+        assert row.asDict() == {"doc_id": 1, "text": "a b c d e f", names[0]: "s", names[1]: 11}
 
 
 def test_signature_values_agree_as_often_as_sets_are_similar():
