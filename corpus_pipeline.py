@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolytics.llm.line_quality import clean_documents
-from annolytics.llm.minmax_dedup import NearDupSettings, near_duplicates
+from annolytics.llm.minmax_dedup import NearDupSettings, distinct_documents
 from annolytics.llm.mixing import mixed_documents
 from annolytics.llm.packing import pack_documents, piece_columns
 from annolytics.session import settle
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    return near_duplicates(docs, settings=NearDupSettings()).where("is_first").select(*docs.columns)
+    return distinct_documents(docs, settings=NearDupSettings())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
