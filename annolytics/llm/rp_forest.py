@@ -22,7 +22,7 @@ class ForestSettings(NamedTuple):
     leaves in the order of one queue over all trees until these hold a wanted number of vectors
     (repeats counted), and the ``k`` best of the different ones stay. That number is the least
     with which ``probes`` queries, searched exactly as well, find ``recall`` of their true
-    neighbours. Leaves are searched in parts of about ``part`` vectors at most.
+    neighbours. Leaves are searched in bundles, or parts, of about ``part`` vectors at most.
     """
 
     k: int = 20
@@ -163,8 +163,27 @@ def _placed(forest: list[Tree], longest: float):
     return run
 
 
-def _routed(forest: list[Tree], sizes: list[np.ndarray], wanted: float):
-    """A row for each leaf that a query has to look into."""
+def leaf_bundles(sizes: list[np.ndarray], part: int) -> tuple[list[np.ndarray], list[tuple[int, int, int, int]]]:
+    """Runs of neighbouring leaves that hold at most ``part`` vectors together, to be searched by one task.
+
+    Gives the bundle of every leaf by tree, and rows ``(tree, leaf, bundle, parts)``; a leaf that is
+    larger is a bundle of its own and is cut into parts.
+    """
+    bundles, rows = [], []
+    for tree, counts in enumerate(sizes):
+        own, at, held = np.zeros(len(counts), dtype=np.int64), 0, 0
+        for leaf, n in enumerate(counts.tolist()):
+            if held and held + n > part:
+                at, held = at + 1, 0
+            own[leaf] = at
+            held += n
+            rows.append((tree, leaf, at, max(1, -(-n // part))))
+        bundles.append(own)
+    return bundles, rows
+
+
+def _routed(forest: list[Tree], sizes: list[np.ndarray], bundles: list[np.ndarray], part: int, wanted: float):
+    """A row for each bundle, and part of one, that a query has to look into, with the leaves it wants there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,20 +191,25 @@ def _routed(forest: list[Tree], sizes: list[np.ndarray], wanted: float):
                 continue
             # The query's further coordinate is zero.
             queries = np.concatenate([_matrix(batch.column("vector")), np.zeros((batch.num_rows, 1))], axis=1)
-            trees, leaves, rows = [], [], []
+            out = []
             for low in range(0, len(queries), 256):
-                part = queries[low : low + 256]
-                margins = [part @ tree.planes.T - tree.offsets for tree in forest]
-                for i in range(len(part)):
+                some = queries[low : low + 256]
+                margins = [some @ tree.planes.T - tree.offsets for tree in forest]
+                for i in range(len(some)):
+                    asked: dict[tuple[int, int, int], list[int]] = {}
                     for tree, leaf in search_leaves(forest, sizes, [m[i] for m in margins], wanted):
-                        trees.append(tree)
-                        leaves.append(leaf)
-                        rows.append(low + i)
+                        for piece in range(max(1, -(-int(sizes[tree][leaf]) // part))):
+                            asked.setdefault((tree, int(bundles[tree][leaf]), piece), []).append(leaf)
+                    out.extend((*key, leaves, low + i) for key, leaves in asked.items())
+            trees, numbers, pieces, leaves, rows = zip(*out) if out else ((), (), (), (), ())
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(trees, pa.int32()), pa.array(leaves, pa.int32()), batch.column("id").take(at), batch.column("vector").take(at)],
-                ["tree", "leaf", "query", "vector"],
-            )
+                [
+                    pa.array(trees, pa.int32()), pa.array(numbers, pa.int64()), pa.array(pieces, pa.int64()), pa.array(leaves, pa.list_(pa.int32())),
+                    batch.column("id").take(at), batch.column("vector").take(at),
+                ],
+                ["tree", "bundle", "part", "leaves", "query", "vector"],
+            )
 
     return run
 
@@ -195,29 +219,41 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1)
 
 
-def _best_in_leaf(settings: ForestSettings):
-    """The best of a part of a leaf for each query that looks into it. One more is kept, as a query may find itself."""
+def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` best of each query, ties to the smaller id."""
+    order = np.lexsort((ids, -score, q))
+    ordered = q[order]
+    return order[np.arange(len(q)) - np.searchsorted(ordered, ordered) < keep]
+
+
+def _best_in_bundle(settings: ForestSettings):
+    """The best of a bundle of leaves for each query that looks into it. One more is kept, as a query may find itself."""
 
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64", "score": "float64"})
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64", "score": "float64"})
+            return nothing
         base, ids = np.stack(rows["vector"].to_numpy()).astype(np.float64), rows["id"].to_numpy()
-        keep = min(settings.k + 1, len(ids))
-        out = []
-        for low in range(0, len(queries), 512):
-            part = np.stack(queries["vector"].iloc[low : low + 512].to_numpy()).astype(np.float64)
-            rough = part @ base.T
-            edge = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            # Rounding may differ from the exact sum; what ties within it goes on.
-            near = rough >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None]
-            q, r = np.nonzero(near)
-            score = exact_scores(part[q], base[r])
-            order = np.lexsort((ids[r], -score, q))
-            q, r, score = q[order], r[order], score[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            top = rank < keep
-            out.append(pd.DataFrame({"query": queries["query"].to_numpy()[low + q[top]], "id": ids[r[top]], "score": score[top]}))
-        return pd.concat(out)
+        asked = np.stack(queries["vector"].to_numpy()).astype(np.float64)
+        wants = queries["leaves"].map(len).to_numpy()
+        wanted, asker = np.concatenate(queries["leaves"].to_numpy()), np.repeat(np.arange(len(queries)), wants)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for leaf, own in rows.groupby("leaf").indices.items():
+            askers = asker[wanted == leaf]
+            keep = min(settings.k + 1, len(own))
+            for low in range(0, len(askers), 1024):
+                some = askers[low : low + 1024]
+                rough = asked[some] @ base[own].T
+                edge = np.partition(rough, len(own) - keep, axis=1)[:, len(own) - keep]
+                # Rounding may differ from the exact sum; what ties within it goes on.
+                q, r = np.nonzero(rough >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None])
+                q, r = some[q], own[r]
+                found.append((q, r, exact_scores(asked[q], base[r])))
+        if not found:
+            return nothing
+        q, r, score = (np.concatenate(c) for c in zip(*found))
+        top = _best(q, ids[r], score, settings.k + 1)
+        return pd.DataFrame({"query": queries["query"].to_numpy()[q[top]], "id": ids[r[top]], "score": score[top]})
 
     return run
 
@@ -277,9 +313,9 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column,
     empty, zero or holds null or non-finite components, take no part. Vectors must be of one length. Fewer rows than ``k`` give as many as there are.
 
     The planes, fitted on a bounded sample, and the sizes of leaves, of which their number is
-    bounded by it, are all that is sent to every task; how far to search is measured on a bounded number of queries. Vectors and queries then meet by leaf. Of equal vectors the k + 1
+    bounded by it, are all that is sent to every task; how far to search is measured on a bounded number of queries. Vectors and queries then meet by bundles of leaves. Of equal vectors the k + 1
     with the smallest ids are indexed, as no others can be among the k best; equal queries are searched once. Large leaves
-    are cut into parts, so that no task holds more than a part. Rows with equal ids are candidates each, found as one.
+    are cut into parts, so that no group holds more than a part. Rows with equal ids are candidates each, found as one.
     """
     spark = vectors.sparkSession
     kind = usable(vectors, id_col, vector_col).schema["vector"].dataType.simpleString()
@@ -309,17 +345,16 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column,
     queries = rows.where(is_query)
     asked = settle(queries.groupBy("h", "vector").agg(F.min("id").alias("query")), "ann-queries")
     wanted = wanted_candidates(asked, indexed, placed, forest, sizes, settings)
+    bundles, places = leaf_bundles(sizes, settings.part)
     routed = asked.select(F.col("query").alias("id"), "vector").mapInArrow(
-        _routed(forest, sizes, wanted), f"tree int, leaf int, query bigint, vector {kind}"
+        _routed(forest, sizes, bundles, settings.part, wanted),
+        f"tree int, bundle bigint, part bigint, leaves array<int>, query bigint, vector {kind}",
     )
-    parts = spark.createDataFrame(counted.rename(columns={"count": "n"})).withColumn("parts", F.ceil(F.col("n") / settings.part))
-    parts = F.broadcast(parts.select("tree", "leaf", "parts"))
-    leaf_key = ["tree", "leaf"]
-    asked_parts = routed.join(parts, leaf_key).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")
-    placed_parts = placed.join(parts, leaf_key).withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
-    key = [*leaf_key, "part"]
-    found = asked_parts.groupBy(*key).cogroup(placed_parts.groupBy(*key)).applyInPandas(
-        _best_in_leaf(settings), "query bigint, id bigint, score double"
+    placed = placed.join(F.broadcast(spark.createDataFrame(places, "tree int, leaf int, bundle bigint, parts bigint")), ["tree", "leaf"])
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
+    key = ["tree", "bundle", "part"]
+    found = routed.groupBy(*key).cogroup(placed.groupBy(*key)).applyInPandas(
+        _best_in_bundle(settings), "query bigint, id bigint, score double"
     )
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     kept = found.distinct().withColumn("at", F.row_number().over(best)).where(F.col("at") <= settings.k + 1)
