@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolytics.functions.permutation import order_seed, position_of, row_at
+from annolytics.operators.status import row_detail
 
 # Queue positions generated per task row; a user with many annotations spans many such blocks.
 CANDIDATE_BLOCK = 10_000
@@ -93,3 +94,10 @@ def navigate(current: DataFrame, salt: Column, num_rows: int) -> DataFrame:
         .withColumn("next_row", F.when(valid & (F.col("_at") < num_rows - 1), F.col("_after")))
         .drop("_at", "_before", "_after")
     )
+
+
+def navigate_rows(current: DataFrame, dataset: DataFrame, annotations: DataFrame, salt: Column, num_rows: int) -> DataFrame:
+    """The row after each (user_id, row_index) with its status, as ``row_detail`` gives it; ``from_row`` is where the user was."""
+    moves = navigate(current, salt, num_rows).where(F.col("next_row").isNotNull())
+    requests = moves.select("user_id", F.col("row_index").alias("from_row"), F.col("next_row").alias("row_index"))
+    return row_detail(requests, dataset, annotations)

@@ -77,6 +77,17 @@ def annotations_per_row(annotations: DataFrame, large: DataFrame | None | Ellips
     return grouped_lists(annotations, ["row_index"], item, F.col("user_id"), "annotations", large)
 
 
+def row_detail(requests: DataFrame, dataset: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Requested dataset rows with their status: the columns of ``requests (user_id, row_index, ...)``, those of the rows, by_me, by_any.
+
+    ``annotations`` are those of one project. Requests of rows that the dataset lacks are left out; repeated ones are answered each.
+    """
+    anyone = annotations.select("row_index").distinct().withColumn("_any", F.lit(True))
+    mine = annotations.select("row_index", "user_id").distinct().withColumn("_me", F.lit(True))
+    found = requests.join(dataset, "row_index").join(anyone, "row_index", "left").join(mine, ["row_index", "user_id"], "left")
+    return found.withColumns({"by_me": F.coalesce("_me", F.lit(False)), "by_any": F.coalesce("_any", F.lit(False))}).drop("_me", "_any")
+
+
 def unannotated_by_user(dataset: DataFrame, annotations: DataFrame, user_id: str) -> DataFrame:
     """Dataset rows the user has not annotated."""
     done = annotations.where(F.col("user_id") == user_id).select("row_index")

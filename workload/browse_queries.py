@@ -19,6 +19,16 @@ def row_lookup(spark, sf):
     return browse.row_lookup(fx.dataset(spark, sf), fx.project_rows(spark, sf)).select("row_index", "lang", "source", "n_chars")
 
 
+@query(
+    "row_detail",
+    """SELECT 'u7' AS user_id, row_index, lang, source, row_index IN (SELECT row_index FROM ann WHERE user_id='u7') AS by_me,
+         row_index IN (SELECT row_index FROM ann) AS by_any FROM dataset""",
+)
+def row_detail(spark, sf):
+    rows = fx.dataset(spark, sf).select("row_index", "lang", "source")
+    return st.row_detail(rows.select(F.lit(fx.ME).alias("user_id"), "row_index"), rows, fx.project_rows(spark, sf))
+
+
 @query(
     "row_json",
     """SELECT l_orderkey, l_linenumber, to_json({l_quantity:l_quantity, l_returnflag:l_returnflag, nothing:NULL,

@@ -59,3 +59,18 @@ def label_queue(spark, sf):
 def navigate(spark, sf):
     current = fx.project_rows(spark, sf).select("user_id", "row_index")
     return ordering.navigate(current, _salt(spark, sf), _num_rows(spark, sf))
+
+
+@query(
+    "navigate_rows",
+    """SELECT a.user_id, a.row_index AS from_row, n.row_index, d.lang,
+         EXISTS (SELECT 1 FROM ann x WHERE x.row_index=n.row_index AND x.user_id=a.user_id) AS by_me,
+         EXISTS (SELECT 1 FROM ann x WHERE x.row_index=n.row_index) AS by_any FROM ann a
+         JOIN user_order c ON c.user_id=a.user_id AND c.row_index=a.row_index
+         JOIN user_order n ON n.user_id=a.user_id AND n.pos=c.pos+1 JOIN dataset d ON d.row_index=n.row_index""",
+)
+def navigate_rows(spark, sf):
+    annotations = fx.project_rows(spark, sf)
+    rows = fx.dataset(spark, sf).select("row_index", "lang")
+    current = annotations.select("user_id", "row_index")
+    return ordering.navigate_rows(current, rows, annotations, _salt(spark, sf), _num_rows(spark, sf))
