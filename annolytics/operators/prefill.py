@@ -7,6 +7,7 @@ or a Python function from a row to an annotation. Both give null for a row they
 from __future__ import annotations
 
 import json
+import signal
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 
@@ -25,6 +26,8 @@ ColumnModel = Column
 PythonModel = Callable[[dict], dict | None]
 
 ATTEMPT = "row_index bigint, data string"
+# What a model may take for one row.
+TIMEOUT_SECONDS = 15.0
 
 
 def lexicon_model(
@@ -42,12 +45,22 @@ def rows_to_prefill(dataset: DataFrame, ml_annotations: DataFrame, subset: DataF
     return targets.join(distinct_rows(ml_annotations), "row_index", "left_anti")
 
 
-def _call(model: PythonModel, row: dict) -> str | None:
+def _give_up(signum, frame):
+    raise TimeoutError("the model took too long")
+
+
+def _call(model: PythonModel, row: dict, timeout_seconds: float) -> str | None:
+    """The model's answer as JSON text; null if it has none, fails or takes too long."""
+    before = signal.signal(signal.SIGALRM, _give_up)
+    signal.setitimer(signal.ITIMER_REAL, timeout_seconds)
     try:
         annotation = model(row)
         return None if annotation is None else json.dumps(annotation)
     except Exception:  # noqa: BLE001 - whatever a model raises counts as a failed row
         return None
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 def _plain(value):
@@ -55,11 +68,17 @@ def _plain(value):
     return None if isinstance(value, float) and value != value else value
 
 
-def run_model(rows: DataFrame, model: ColumnModel | PythonModel, columns: Sequence[str] | None = None) -> DataFrame:
+def run_model(
+    rows: DataFrame,
+    model: ColumnModel | PythonModel,
+    columns: Sequence[str] | None = None,
+    timeout_seconds: float = TIMEOUT_SECONDS,
+) -> DataFrame:
     """``(row_index, data)`` for every row, ``data`` null where the model failed.
 
     A model sees only ``columns`` of each row. A Python model gets them as Python values, lists
-    and structs included, from Arrow batches.
+    and structs included, from Arrow batches, and is given up on a row after ``timeout_seconds``,
+    by an alarm in the worker's main thread; such a row counts as failed.
     """
     inputs = list(columns or [c for c in rows.columns if c != "row_index"])
     rows = spread_if_small(rows.select("row_index", *inputs))
@@ -69,7 +88,7 @@ def run_model(rows: DataFrame, model: ColumnModel | PythonModel, columns: Sequen
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows_in = batch.select(inputs).to_pylist()
-            data = [_call(model, {name: _plain(value) for name, value in row.items()}) for row in rows_in]
+            data = [_call(model, {name: _plain(value) for name, value in row.items()}, timeout_seconds) for row in rows_in]
             yield pa.RecordBatch.from_arrays([batch.column("row_index"), pa.array(data, pa.string())], ["row_index", "data"])
 
     return rows.mapInArrow(predict, ATTEMPT)

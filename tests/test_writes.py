@@ -187,6 +187,19 @@ def test_python_models_get_plain_nested_values(spark):
     assert got[1] == {"scores": [1.0, 2.5], "meta": {"a": 3, "b": ["x"]}, "n": None} and got[2] == {"scores": None, "meta": None, "n": 1.0}
 
 
+def test_a_model_that_hangs_fails_its_row(texts):
+    data, _ = texts
+
+    def slow(row):
+        if row["text"] == "boom":
+            while True:
+                pass
+        return {"ok": 1}
+
+    got = {r["row_index"]: r["data"] for r in prefill.run_model(data, slow, timeout_seconds=0.5).collect()}
+    assert sum(v is None for v in got.values()) == 1 and len(got) == 6
+
+
 def test_lookup_answers_every_request_and_stores_what_it_computes(spark, texts, now, tmp_path):
     data, _ = texts
     path = str(tmp_path / "ml")
