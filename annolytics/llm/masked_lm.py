@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annolytics.llm.words import byte_codes, chunks, word_hashes, words_of
+from annolytics.llm.words import byte_codes, chunks, mixed, word_hashes, words_of
+from annolytics.session import settle
 
 Params = dict[str, np.ndarray]
 
 
 class LmSettings(NamedTuple):
-    """Words are hashed to ``classes * members`` buckets, and predicted class first, member second.
+    """Words are hashed to ``classes * members`` buckets, and predicted class first, member second, then word of the bucket.
 
-    The network sees ``window`` words on each side. In each of ``rounds`` every task goes once over its
-    documents with ``mask_percent`` of their words, drawn anew, as targets; then the tasks' networks are averaged.
+    The network sees ``window`` words on each side. All words are dealt to masks of at most ``mask_percent`` of them, and
+    the masks to ``rounds``, so that every word is a target at least once. In each round every task goes over its
+    documents; then the tasks' networks are averaged. The ``known`` commonest words go to every task with their counts;
+    the others' counts are joined, which changes no score.
     """
 
     classes: int = 32
@@ -34,11 +37,20 @@ class LmSettings(NamedTuple):
     batch: int = 2048
     rate: float = 0.15
     seed: int = 5
+    known: int = 1 << 18
 
     @property
     def buckets(self) -> int:
         return self.classes * self.members
 
+    @property
+    def masks(self) -> int:
+        return -(-100 // self.mask_percent)
+
+    def masks_of(self, number: int) -> range:
+        """The masks of a round; all rounds together have every one."""
+        return range(number % self.masks, self.masks, self.rounds)
+
 
 def new_network(s: LmSettings) -> Params:
     """Small random weights. Bucket ``buckets`` stands for what is outside the text."""
@@ -143,15 +155,31 @@ def train_step(net: Params, seen: Params, context: np.ndarray, target: np.ndarra
         net[name][place] -= s.rate * gradient / np.sqrt(seen[name][place])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], s: LmSettings):
-    """Buckets of the words of each run of texts, the text of each word, and the number of texts."""
+def _hashed(batches: Iterator[pa.RecordBatch]):
+    """Hashes of the words of each run of texts, the text of each word, and the number of words of each text."""
     codes = byte_codes(fold_case=True)
     for batch in batches:
         for chunk in chunks(batch.column("_text")):
             words = words_of(chunk)
-            bucket = (word_hashes(chunk, words, codes) % np.uint64(s.buckets)).astype(np.int64)
             counts = np.diff(words.first)
-            yield batch, chunk.first, bucket, np.repeat(np.arange(len(counts)), counts), counts
+            yield batch, chunk.first, word_hashes(chunk, words, codes), np.repeat(np.arange(len(counts)), counts), counts
+
+
+def _bucket_of(hashes: np.ndarray, s: LmSettings) -> np.ndarray:
+    return (hashes % np.uint64(s.buckets)).astype(np.int64)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], s: LmSettings):
+    """As _hashed, with the words' buckets."""
+    for batch, first, hashes, text_of, counts in _hashed(batches):
+        yield batch, first, _bucket_of(hashes, s), text_of, counts
+
+
+def mask_of(hashes: np.ndarray, counts: np.ndarray, s: LmSettings) -> np.ndarray:
+    """The mask each word is dealt to: by the word and its place in the text, so the same in every round."""
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    dealt = mixed(hashes ^ mixed(place.astype(np.uint64) + np.uint64(s.seed)))
+    return (dealt % np.uint64(s.masks)).astype(np.int64)
 
 
 def _trained(net: Params, number: int, s: LmSettings):
@@ -160,16 +188,17 @@ def _trained(net: Params, number: int, s: LmSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        rng = np.random.default_rng([s.seed, number, part])
         own = {name: values.copy() for name, values in net.items()}
         seen = {name: np.full_like(values, 1e-6) for name, values in net.items()}
         targets = 0
-        for _, _, bucket, text_of, _ in _buckets(batches, s):
-            masked = np.flatnonzero(rng.integers(0, 100, len(bucket)) < s.mask_percent)
-            for i in range(0, len(masked), s.batch):
-                at = masked[i : i + s.batch]
-                train_step(own, seen, contexts(bucket, text_of, at, s), bucket[at], s)
-            targets += len(masked)
+        for _, _, hashes, text_of, counts in _hashed(batches):
+            bucket, mask = _bucket_of(hashes, s), mask_of(hashes, counts, s)
+            for own_mask in s.masks_of(number):
+                masked = np.flatnonzero(mask == own_mask)
+                for i in range(0, len(masked), s.batch):
+                    at = masked[i : i + s.batch]
+                    train_step(own, seen, contexts(bucket, text_of, at, s), bucket[at], s)
+                targets += len(masked)
         if targets:
             values = (flat(own).astype(np.float64) * targets).tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -211,17 +240,96 @@ def train_network(texts: DataFrame, s: LmSettings) -> Params:
     return net
 
 
-def _scored(net: Params, s: LmSettings):
+#: Different words that a task counts before it hands them on.
+COUNTED = 1 << 20
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a partition with their numbers; a word comes again where there are more than are held."""
+    words, numbers, held = [], [], 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        every = np.concatenate(words)
+        return _add(every, np.concatenate(numbers)) if len(every) else (every, np.zeros(0, np.int64))
+
+    def out(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1])], ["word", "n"])
+
+    for _, _, hashes, _, _ in _hashed(batches):
+        word, n = np.unique(hashes, return_counts=True)
+        words.append(word)
+        numbers.append(n.astype(np.int64))
+        held += len(word)
+        if held > 2 * COUNTED:
+            found = summed()
+            words, numbers, held = [found[0]], [found[1]], len(found[0])
+            if held > COUNTED:
+                yield out(found)
+                words, numbers, held = [], [], 0
+    if held:
+        yield out(summed())
+
+
+class Vocabulary(NamedTuple):
+    """Counts of all words: the commonest by hash, with logarithms; a table of the others; the logarithm of each bucket's."""
+
+    words: np.ndarray
+    log_counts: np.ndarray
+    others: DataFrame
+    bucket_logs: np.ndarray
+
+
+def count_words(texts: DataFrame, s: LmSettings) -> Vocabulary:
+    """The exact number of each word in all texts of ``_text``.
+
+    The words that come to the driver are at most ``known``: those with at least so many occurrences, by a histogram.
+    """
+    counted = texts.mapInArrow(_counted, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = settle(counted, "lm-words")
+    level = F.floor(F.log2("n") * 64)
+    few, least = 0, 1 << 62
+    for row in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), reverse=True):
+        few += row["words"]
+        if few > s.known:
+            break
+        least = row["least"]
+    common = counted.where(F.col("n") >= least).toPandas()
+    words = common["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    # The bucket of the hash as it is without a sign.
+    low, modulus = F.col("word").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(s.buckets)
+    high = F.shiftrightunsigned("word", 32)
+    bucket = F.pmod(F.pmod(high, modulus) * F.lit((1 << 32) % s.buckets) + low, modulus)
+    sums = counted.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).toPandas()
+    bucket_logs = np.zeros(s.buckets)
+    bucket_logs[sums["bucket"].to_numpy(np.int64)] = np.log(sums["n"].to_numpy(np.float64))
+    return Vocabulary(words[order], np.log(common["n"].to_numpy(np.float64))[order], counted.where(F.col("n") < least), bucket_logs)
+
+
+def _scored(net: Params, words: np.ndarray, log_counts: np.ndarray, bucket_logs: np.ndarray, s: LmSettings):
+    """Scores without the counts of the words that are not among ``words``; these words, in ``_others``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first, bucket, text_of, counts in _buckets(batches, s):
+        for batch, first, hashes, text_of, counts in _hashed(batches):
+            bucket = _bucket_of(hashes, s)
             # One place after another; a long text is scored in parts.
             log_p = np.zeros(len(bucket))
             for i in range(0, len(bucket), 1 << 16):
                 at = np.arange(i, min(i + (1 << 16), len(bucket)))
                 log_p[at] = log_likelihoods(net, contexts(bucket, text_of, at, s), bucket[at], s)
+            different, back = np.unique(hashes, return_inverse=True)
+            at = np.minimum(np.searchsorted(words, different), max(0, len(words) - 1))
+            is_known = words[at] == different if len(words) else np.zeros(len(different), dtype=bool)
+            logs = np.zeros(len(different))
+            logs[is_known] = log_counts[at[is_known]]
+            log_p += logs[back] - bucket_logs[bucket]
+            other = np.flatnonzero(~is_known[back])
+            ends = np.cumsum(np.bincount(text_of[other], minlength=len(counts)))
+            others = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(hashes[other].view(np.int64)))
             score = np.bincount(text_of, weights=log_p, minlength=len(counts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_rest").slice(first, len(counts)), pa.array(counts.astype(np.int64)), pa.array(score)], ["_rest", "n_tokens", "score"]
+                [batch.column("_rest").slice(first, len(counts)), pa.array(counts.astype(np.int64)), pa.array(score), others],
+                ["_rest", "n_tokens", "score", "_others"],
             )
 
     return run
@@ -231,12 +339,26 @@ def score_documents(docs: DataFrame, text_col: str = "text", settings: LmSetting
     """The other columns of ``docs`` in struct ``_rest``, with ``n_tokens``, ``score`` and ``mean_score``.
 
     The network is trained on all documents; ``score`` is the sum over every word of a whole text of its log-probability
-    given the words on both sides. Equal texts get equal scores up to rounding. A null text counts as empty; an empty one has score 0 and no
+    given the words on both sides: the network's for the word's bucket, and the word's share of the bucket by the
+    counts of all documents. Equal texts get equal scores up to rounding. A null text counts as empty; an empty one has score 0 and no
     mean. An empty table gives an empty table.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     base = docs.select(F.struct(*(rest or [F.lit(1).alias("_")])).alias("_rest"), F.col(f"`{text_col}`").alias("_text"))
-    net = train_network(base.select("_text"), settings)
-    schema = T.StructType([base.schema["_rest"], T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
-    scored = base.mapInArrow(_scored(net, settings), schema)
-    return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
+    texts = base.select("_text")
+    net, vocabulary = train_network(texts, settings), count_words(texts, settings)
+    schema = T.StructType(
+        [
+            base.schema["_rest"],
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("_others", T.ArrayType(T.LongType())),
+        ]
+    )
+    run = _scored(net, vocabulary.words, vocabulary.log_counts, vocabulary.bucket_logs, settings)
+    scored = settle(base.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
+    uncommon = scored.select("_row", F.explode("_others").alias("word")).join(vocabulary.others, "word")
+    uncommon = uncommon.groupBy("_row").agg(F.sum(F.log("n")).alias("_more"))
+    score = (F.col("score") + F.coalesce("_more", F.lit(0.0))).alias("score")
+    whole = scored.join(uncommon, "_row", "left").select("_rest", "n_tokens", score)
+    return whole.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,44 @@ def _scores(net, settings, rows):
         yield from (log_p[text_of == i] for i in range(len(counts)))
 
 
+@pytest.mark.parametrize("known", [lm.LmSettings().known, 40, 0])
+def test_a_word_is_not_the_frequent_word_it_collides_with(spark, documents, known):
+    settings = lm.LmSettings(known=known)
+    frame = pa.RecordBatch.from_arrays([pa.array([f"w{i}" for i in range(4000)])], ["_text"])
+    bucket = np.concatenate([b for _, _, b, _, _ in lm._buckets([frame], settings)])
+    junk = next(i for i in range(1, 4000) if bucket[i] == bucket[0])
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{j}" for j in (rng.zipf(1.3, 60) - 1) % 3000 if j != junk)) for i in range(200)] + [(200, None)]
+    rows += [(1000, "W0 w5 w0"), (1001, f"w0 w5 w{junk}")]
+    got = {r._rest.doc_id: r for r in lm.score_documents(documents(rows), settings=settings).collect()}
+    words = Counter(w for _, t in rows for w in (t or "").lower().split())
+    of_bucket = Counter()
+    for w, n in words.items():
+        of_bucket[bucket[int(w[1:])]] += n
+    texts = documents(rows).select(F.col("text").alias("_text"))
+    net = lm.train_network(texts, settings)
+    assert len(lm.count_words(texts, settings).words) <= known
+    for (i, text), log_p in zip(rows, _scores(net, settings, rows)):
+        within = [np.log(words[w] / of_bucket[bucket[int(w[1:])]]) for w in (text or "").lower().split()]
+        assert got[i].score == pytest.approx(float(log_p.sum() + sum(within)), rel=1e-4)
+    assert got[1000].score - got[1001].score == pytest.approx(np.log(words["w0"]), rel=1e-4)
+
+
+@pytest.mark.parametrize(("rounds", "mask_percent"), [(2, 15), (2, 50), (1, 15), (3, 100)])
+def test_every_word_is_a_target(rounds, mask_percent):
+    settings = lm.LmSettings(rounds=rounds, mask_percent=mask_percent)
+    rng = np.random.default_rng(6)
+    texts = pa.array([" ".join(f"w{j}" for j in rng.integers(0, 900, n)) for n in (0, 1, 500, 3000)])
+    batch = pa.RecordBatch.from_arrays([texts], ["_text"])
+    masks = [m for n in range(rounds) for m in settings.masks_of(n)]
+    assert set(masks) == set(range(settings.masks))
+    targets = sum(b.column("targets")[0].as_py() for n in range(rounds) for b in lm._trained(lm.new_network(settings), n, settings)([batch]))
+    assert targets == 3501 * (rounds if mask_percent == 100 else 1)
+    for _, _, hashes, _, counts in lm._hashed([batch]):
+        share = np.bincount(lm.mask_of(hashes, counts, settings), minlength=settings.masks) / len(hashes)
+        assert (share < 1.3 / settings.masks).all()
+
+
 # ------------------------------------------------------------ conversations
 
 
