@@ -6,7 +6,12 @@ are recognised but not fetched: stage the files where the executors can read the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,7 +110,7 @@ def json_shapes(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     Told for each file by its first line that is not blank: whether it is an object or array by
     itself, as in JSON lines or an array on one line, or only the start of one. Only the first
     split of each file is looked at, and only file names reach the driver, which holds the list of
-    files anyway. A file without such a line counts as one of lines. After a value over several lines nothing else may follow.
+    files anyway. A file without such a line counts as one of lines. After a value over several lines nothing else may follow; see files_with_more.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
@@ -121,12 +126,70 @@ def json_shapes(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     return sorted(f for f in files if f not in documents), sorted(documents)
 
 
+# A string of JSON, in either quotes; it never runs over a line.
+_STRING = re.compile(r""""[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'""")
+_DEPTH = np.zeros(256, dtype=np.int64)
+_DEPTH[[ord("{"), ord("[")]] = 1
+_DEPTH[[ord("}"), ord("]")]] = -1
+#: A depth that no file comes to.
+_NEVER = 1 << 60
+
+
+def _depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each split of a file: brackets opened less those closed, the least depth after a closing one, also of those that something follows in the split."""
+    split, depth, least, followed, has_text = None, 0, _NEVER, _NEVER, False
+
+    def found() -> pa.RecordBatch:
+        columns = [pa.array([split[0]]), *(pa.array([x], pa.int64()) for x in (split[1], depth, least, followed)), pa.array([has_text])]
+        return pa.RecordBatch.from_arrays(columns, ["file", "at", "depth", "least", "followed", "has_text"])
+
+    for batch in batches:
+        for value, file, at in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "at"))):
+            if (file, at) != split:
+                if split:
+                    yield found()
+                split, depth, least, followed, has_text = (file, at), 0, _NEVER, _NEVER, False
+            text = _STRING.sub("_", value).strip(" \t\r\n")
+            if not text:
+                continue
+            followed, has_text = least, True
+            steps = _DEPTH[np.frombuffer(text.encode(), dtype=np.uint8)]
+            after = (depth + np.cumsum(steps))[steps < 0]
+            depth += int(steps.sum())
+            if len(after):
+                # The last character alone is not followed by another of its line.
+                inside = after[:-1] if steps[-1] < 0 else after
+                followed = min(followed, int(inside.min(initial=_NEVER)))
+                least = min(least, int(after.min()))
+    if split:
+        yield found()
+
+
+def files_with_more(spark: SparkSession, files: list[str]) -> list[str]:
+    """Those of some JSON files in which something follows the end of their first object or array.
+
+    Splits are scanned side by side, as no string runs over a line; only the files found reach the driver.
+    """
+    lines = spark.read.text(files).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
+    )
+    splits = lines.mapInArrow(_depths, "file string, at bigint, depth bigint, least bigint, followed bigint, has_text boolean")
+    of_file = Window.partitionBy("file").orderBy("at")
+    before = F.coalesce(F.sum("depth").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    later = F.coalesce(F.max("has_text").over(of_file.rowsBetween(1, Window.unboundedFollowing)), F.lit(False))
+    ended = (F.col("before") + F.col("followed") <= 0) | ((F.col("before") + F.col("least") <= 0) & F.col("later"))
+    found = splits.select("*", before.alias("before"), later.alias("later")).where(ended)
+    return sorted(row["file"] for row in found.select("file").distinct().collect())
+
+
 def scan_json_files(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON files under a path, each read by its own shape; a record that is no JSON is an error.
 
-    Columns that some files lack are null there.
+    So is a file with a value over several lines and anything after it, of which Spark would read the first value only. Columns that some files lack are null there.
     """
     lines, documents = json_shapes(spark, path)
+    if documents and (more := files_with_more(spark, documents)):
+        raise SourceError(f"More than one value, of which the first is over several lines: {', '.join(more)}")
     parts = []
     for files, as_lines in ((lines, True), (documents, False)):
         if files:

@@ -59,6 +59,34 @@ def test_each_json_file_is_read_by_its_own_shape(spark, tmp_path):
         load_dataset(spark, str(tmp_path)).collect()
 
 
+@pytest.mark.parametrize("split", ["128m", "7"])
+def test_values_after_one_over_several_lines_are_an_error(spark, tmp_path, split):
+    good = {"a": 1, "s": "}]' \\\" {[", "n": [{"x": []}, {}]}
+    (tmp_path / "a.json").write_text(json.dumps(good, indent=2) + "\n \n\n")
+    (tmp_path / "b.json").write_text("\n" + json.dumps([good, good], indent=1))
+    (tmp_path / "c.json").write_text("{'a': 1,\n 's': '}\"'}")
+    bad = {
+        "objects.json": "\n".join(json.dumps({"a": i}, indent=1) for i in range(3)),
+        "lines.json": json.dumps({"a": 1}, indent=1) + '\n{"a":2}\n',
+        "array.json": json.dumps([{"a": 1}, {"a": 2}], indent=1) + '\n\n{"a":3}',
+        "same_line.json": '{\n"a":1} {"a":2}\n',
+        "bracket.json": '{"a":\n1}\n}',
+        "scalar.json": '{"a":\n1} 3',
+    }
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert load_dataset(spark, f"{tmp_path}/*.json").count() == 4
+        for name, text in bad.items():
+            (tmp_path / name).write_text(text)
+        with pytest.raises(SourceError) as error:
+            load_dataset(spark, f"{tmp_path}/*.json")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(f"/{name}" in str(error.value) for name in bad)
+    assert not any(f"/{name}.json" in str(error.value) for name in "abc")
+
+
 def test_directories_and_globs(spark, tmp_path):
     mixed, only_json, nested = (tmp_path / n for n in ("mixed", "json", "nested"))
     for d in (mixed, only_json, nested / "deeper"):
