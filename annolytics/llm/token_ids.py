@@ -70,7 +70,9 @@ class HashTable:
 
 
 class PieceIds:
-    """Ids of the pieces of chunks of texts. At most about ``held`` distinct pieces are remembered; then it starts anew.
+    """Ids of the pieces of chunks of texts. At most ``2 * held`` distinct pieces are remembered; then it starts anew.
+
+    Pieces are looked up in runs of at most ``held``, so a text may have any number of different ones.
 
     With ``special_as_text`` the strings of special tokens are ordinary text.
     """
@@ -85,7 +87,7 @@ class PieceIds:
 
     def clear(self) -> None:
         self.known = 0
-        self.table = HashTable(21)
+        self.table = HashTable((4 * self.held).bit_length())
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
@@ -151,22 +153,28 @@ class PieceIds:
         data, pieces, odd = self._pieces(chunk, words)
         hashes = word_hashes(Chunk(chunk.first, data, chunk.bounds), pieces, self.hash_codes)
         hashes = np.where(odd, mixed(hashes), hashes)
+        raw, ids, lengths = b"", [], []
+        for low in range(0, len(hashes), self.held):
+            codes = self._codes(hashes[low : low + self.held])
+            missing = np.flatnonzero(codes < 0)
+            if len(missing):
+                new, first, back = np.unique(hashes[low + missing], return_index=True, return_inverse=True)
+                at = low + missing[first]
+                raw = raw or data.tobytes()
+                found = self._learn(raw, pieces.start[at], pieces.end[at], odd[at])
+                self.table.add(new, found)
+                codes[missing] = found[back]
+            length = self.length[codes]
+            before = np.cumsum(length) - length
+            ids.append(self.flat[np.repeat(self.start[codes] - before, length) + np.arange(int(length.sum()))])
+            lengths.append(length)
+        return np.concatenate(ids), np.diff(np.concatenate(([0], np.cumsum(np.concatenate(lengths))))[pieces.first])
+
+    def _codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The codes of a run of pieces, -1 for new ones, for which there is room then."""
         if self.known > self.held:
             self.clear()
-        codes = self.table.find(hashes)
-        missing = np.flatnonzero(codes < 0)
-        if len(missing):
-            new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            at = missing[first]
-            if self.known + len(new) > len(self.table.keys) // 2:
-                raise MemoryError("a chunk has more distinct pieces than are held")
-            found = self._learn(data.tobytes(), pieces.start[at], pieces.end[at], odd[at])
-            self.table.add(new, found)
-            codes[missing] = found[back]
-        length = self.length[codes]
-        before = np.cumsum(length) - length
-        ids = self.flat[np.repeat(self.start[codes] - before, length) + np.arange(int(length.sum()))]
-        return ids, np.diff(np.concatenate(([0], np.cumsum(length)))[pieces.first])
+        return self.table.find(hashes)
 
 
 def _room(array: np.ndarray, n: int) -> np.ndarray:

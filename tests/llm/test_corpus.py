@@ -190,6 +190,17 @@ def test_ids_equal_those_of_the_whole_tokenizer(odd_texts, sample):
     assert at == len(texts)
 
 
+def test_a_text_may_have_more_distinct_pieces_than_are_held():
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = [" ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q" for i in range(n)) for w, n in (("x", 650), ("y", 31), ("", 0), ("É", 600))]
+    pieces = PieceIds(WORDS, held=40)
+    for chunk in chunks(pa.array(texts + texts[:1]), chunk_bytes=4000):
+        ids, counts = ended_ids(chunk, pieces, 1)
+        for text, own in zip((texts + texts[:1])[chunk.first :], np.split(ids, np.cumsum(counts)[:-1])):
+            assert own.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert pieces.known <= 80 <= len(pieces.table.keys) // 2
+
+
 def test_packing_is_a_partition_of_all_ids(documents, odd_texts, sample):
     docs = documents(odd_texts).select("doc_id", "text", F.lit(1).alias("start")).union(sample.select("doc_id", "text", F.lit(2)))
     limits = PackLimits(tokens=512, segments=9, loss_tokens=512, block=64)
