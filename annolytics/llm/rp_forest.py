@@ -313,13 +313,13 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column,
     empty, zero or holds null or non-finite components, take no part. Vectors must be of one length. Fewer rows than ``k`` give as many as there are.
 
     The planes, fitted on a bounded sample, and the sizes of leaves, of which their number is
-    bounded by it, are all that is sent to every task; how far to search is measured on a bounded number of queries. Vectors and queries then meet by bundles of leaves. Of equal vectors the k + 1
+    bounded by it, are all that is sent to every task; how far to search is measured on a bounded number of queries. Vectors and queries then meet by bundles of leaves. Repeats of an id with its vector are dropped first. Of equal vectors the k + 1
     with the smallest ids are indexed, as no others can be among the k best; equal queries are searched once. Large leaves
-    are cut into parts, so that no group holds more than a part. Rows with equal ids are candidates each, found as one.
+    are cut into parts, so that no group holds more than a part. Rows with equal ids and other vectors are candidates each, found as one.
     """
     spark = vectors.sparkSession
     kind = usable(vectors, id_col, vector_col).schema["vector"].dataType.simpleString()
-    rows = settle(usable(vectors, id_col, vector_col).withColumn("h", F.xxhash64("vector")), "ann-rows")
+    rows = settle(usable(vectors, id_col, vector_col).distinct().withColumn("h", F.xxhash64("vector")), "ann-rows")
     one = Window.partitionBy("h", "vector").orderBy("id")
     indexed = rows.withColumn("n", F.row_number().over(one)).where(F.col("n") <= settings.k + 1).select("id", "vector", "h")
     indexed = settle(indexed, "ann-indexed")

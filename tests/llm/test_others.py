@@ -84,6 +84,14 @@ def test_recall_and_exact_scores(spark):
     assert [r.vec_id for r in sorted((r for r in got if r.query_id == 800), key=lambda r: r.rank)] == list(range(500, 520))
 
 
+def test_a_repeated_row_leaves_room_for_other_ids(spark):
+    rows = [(1, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(2, 31)] + [(0, [2.0, 0.1])] + [(i, [0.5, 0.1 * i]) for i in range(31, 34)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    got = rf.nearest(frame, "vec_id", "embedding", F.col("id").isin(0, 1)).collect()
+    near = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 1)}
+    assert near == {0: list(range(1, 21)), 1: [0, *range(2, 21)]}
+
+
 def test_few_and_no_vectors(spark):
     frame = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     rows = sorted((r.rank, r.vec_id, r.score) for r in rf.nearest(frame, "vec_id", "embedding", F.col("id") % 20 == 0).collect())
