@@ -25,7 +25,7 @@ from annolytics.operators.filters import (
 )
 from annolytics.operators.payloads import overlay_fields
 from annolytics.operators.projections import display_map, with_binary_refs
-from annolytics.operators.status import annotations_per_row, large_rows, row_status
+from annolytics.operators.status import annotations_per_row, row_status
 from annolytics.plans.ranking import BLOCK
 from annolytics.session import settle
 
@@ -36,7 +36,7 @@ def project_annotations(annotations: DataFrame, project_id: str) -> DataFrame:
     return annotations.where(F.col("project_id") == project_id)
 
 
-def _row_predicate(expr: FilterExpr, dataset: DataFrame) -> Column | None:
+def row_predicate(expr: FilterExpr, dataset: DataFrame) -> Column | None:
     if expr.kind == "row":
         return row_index_predicate(expr)
     if expr.kind == "data":
@@ -57,7 +57,7 @@ def annotation_flags(
         for i, expr in enumerate(exprs)
         if expr.kind == "annotation"
     }
-    source = annotations.withColumn("payload", F.try_parse_json("data")) if _reads_payload(exprs) else annotations
+    source = annotations.withColumn("payload", F.try_parse_json("data")) if reads_payload(exprs) else annotations
     return (
         source.select("row_index", *[test.alias(name) for name, test in tests.items()])
         .groupBy("row_index")
@@ -65,7 +65,7 @@ def annotation_flags(
     )
 
 
-def _reads_payload(exprs: Sequence[FilterExpr]) -> bool:
+def reads_payload(exprs: Sequence[FilterExpr]) -> bool:
     return any(e.kind == "annotation" and e.field.startswith("annotation.") for e in exprs)
 
 
@@ -96,7 +96,7 @@ def filter_rows(
         return _filter_any(dataset, annotations, active, me, now)
 
     for expr in active:
-        predicate = _row_predicate(expr, dataset)
+        predicate = row_predicate(expr, dataset)
         if predicate is not None:
             dataset = dataset.where(predicate)
     tests = [expr for expr in active if expr.kind in ("count", "annotation")]
@@ -122,7 +122,7 @@ def _filter_any(
         dataset = dataset.join(annotation_flags(annotations, exprs, me, now), "row_index", "left")
     verdict: Column | None = None
     for i, expr in enumerate(exprs):
-        test = _row_predicate(expr, dataset)
+        test = row_predicate(expr, dataset)
         test = _flag(i, expr) if test is None else F.coalesce(test, F.lit(False))
         if verdict is None:
             verdict = test
@@ -161,7 +161,7 @@ class Page:
     total: int
 
 
-def _check_page(page: int, per_page: int) -> None:
+def check_page(page: int, per_page: int) -> None:
     if page < 1 or per_page < 1:
         raise FilterError("page and per_page start at 1")
 
@@ -172,7 +172,7 @@ def page_rows(rows: DataFrame, page: int = 1, per_page: int = PER_PAGE) -> DataF
     A count per block of row indices gives the total and the few blocks the page lies in; only
     rows of those blocks are then ranked, each block by itself, so pages may be of any size. A row with an index that occurs twice counts twice.
     """
-    _check_page(page, per_page)
+    check_page(page, per_page)
     first, last = (page - 1) * per_page, page * per_page
     cut = rows.select("row_index", F.floor(F.col("row_index") / F.lit(BLOCK)).alias("_block"))
     ordered = Window.orderBy("_block")
@@ -233,6 +233,12 @@ def ml_annotation_lookup(requests: DataFrame, ml_annotations: DataFrame) -> Data
     return requests.join(ml_annotations, ["project_id", "row_index"])
 
 
+def page_annotations(annotations: DataFrame, page: Page) -> DataFrame:
+    """The annotations of a page's rows, a row each: ``(row_index, author_id, data, created_at, updated_at)``."""
+    found = rows_at(annotations, page)
+    return found.select("row_index", F.col("user_id").alias("author_id"), "data", "created_at", "updated_at")
+
+
 def decorate_rows(
     dataset: DataFrame, annotations: DataFrame, page: Page, me: str, dataset_id: str = ""
 ) -> DataFrame:
@@ -240,12 +246,12 @@ def decorate_rows(
 
     Both tables are cut to the page's bounds in their scans before anything is joined, and the page's
     annotations are stored once for all that is made of them. Binary columns show their
-    addresses; their bytes are not read. A row with more annotations than one list should hold has several lists (``chunk`` 0, 1, ...).
+    addresses; their bytes are not read. A page has one row per dataset row, whatever the number of its annotations, which are one value;
+    page_annotations gives them as rows.
     """
     dataset = with_binary_refs(dataset, F.lit(dataset_id))
     rows = rows_at(dataset, page)
     mine = settle(rows_at(annotations, page), "page-annotations")
-    large = large_rows(mine)
     fields = [c for c in dataset.columns if c != "row_index"]
     preview = F.map_concat(
         # A label that is null hides the value it stands over.
@@ -255,12 +261,11 @@ def decorate_rows(
     return (
         rows.select("row_index", display_map(dataset, fields).alias("_base"))
         .join(overlay_fields(mine), "row_index", "left")
-        .join(annotations_per_row(mine, large), "row_index", "left")
-        .join(row_status(mine, me, large), ["row_index", "chunk"], "left")
+        .join(annotations_per_row(mine), "row_index", "left")
+        .join(row_status(mine, me), "row_index", "left")
         .select(
             "row_index",
             F.when(F.col("_overlay").isNull(), F.col("_base")).otherwise(preview).alias("preview"),
-            F.coalesce("chunk", F.lit(0).cast("bigint")).alias("chunk"),
             "annotations",
             F.coalesce("by_me", F.lit(False)).alias("by_me"),
             F.coalesce("by_any", F.lit(False)).alias("by_any"),
@@ -280,7 +285,17 @@ def browse_rows(
     per_page: int = PER_PAGE,
     with_or: bool = False,
     dataset_id: str = "",
+    by_bitmaps: bool = False,
 ) -> DataFrame:
-    """One page of filtered rows with their annotations and status."""
-    matching = filter_rows(dataset, annotations, exprs, me, now, with_or).select("row_index")
-    return decorate_rows(dataset, annotations, page_keys(matching, page, per_page), me, dataset_id)
+    """One page of filtered rows with their annotations and status.
+
+    ``by_bitmaps`` finds the page by bitmaps instead of joins, for unique row indices: same rows, less to shuffle where
+    tests on annotations pass many rows.
+    """
+    if by_bitmaps:
+        from annolytics.operators.bitmaps import bitmap_page, filter_bitmaps
+
+        keys = bitmap_page(filter_bitmaps(dataset, annotations, exprs, me, now, with_or), page, per_page)
+    else:
+        keys = page_keys(filter_rows(dataset, annotations, exprs, me, now, with_or).select("row_index"), page, per_page)
+    return decorate_rows(dataset, annotations, keys, me, dataset_id)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from annolytics.functions.text import template_fields
 from annolytics.operators.status import progress
-from annolytics.plans.chunks import LIST_LIMIT, grouped_lists, large_groups
 
 ADMIN = "system_admin"
 PATCHABLE = ("color", "tags", "instructions", "ml_enabled", "ml_url", "ml_annotator", "ml_mode")
@@ -64,13 +63,10 @@ def project_detail(
     )
 
 
-def role_map(users: DataFrame, permissions: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """Users with their roles by project, null for none; one map unless it outgrows a list."""
-    entry = F.struct("project_id", "role")
-    large = large_groups(permissions, ["user_id"], limit)
-    lists = grouped_lists(permissions, ["user_id"], entry, F.col("project_id"), "_entries", large)
-    roles = lists.select("user_id", "chunk", F.map_from_entries("_entries").alias("project_roles"))
-    return users.join(roles, "user_id", "left").withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("bigint")))
+def role_map(users: DataFrame, permissions: DataFrame) -> DataFrame:
+    """Users, one row each, with a map of their roles by project, null for none. A user has at most one role in a project."""
+    entries = permissions.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("project_id", "role"))).alias("_entries"))
+    return users.join(entries, "user_id", "left").withColumn("project_roles", F.map_from_entries("_entries")).drop("_entries")
 
 
 def contains_ignoring_case(column: Column, text: str) -> Column:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from types import EllipsisType
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolytics.plans.chunks import LIST_LIMIT, grouped_lists, large_groups
+from annolytics.plans.ranking import ranged_positions
 
 
 def progress(annotations: DataFrame, me: str) -> DataFrame:
@@ -43,38 +41,39 @@ def count_per_row(annotations: DataFrame) -> DataFrame:
     return annotations.groupBy("row_index").agg(F.count("*").alias("n_annotations"))
 
 
-def large_rows(annotations: DataFrame, limit: int = LIST_LIMIT) -> DataFrame | None:
-    """Rows with more annotations than one list should hold, for row_status and annotations_per_row."""
-    return large_groups(annotations, ["row_index"], limit)
+def row_annotators(annotations: DataFrame) -> DataFrame:
+    """Who annotated what: ``(row_index, author_id, position)``, one row per annotator, placed by name from 0.
+
+    The form for rows of any number of annotators: they are dealt out by range of row and name, so that one row may take as many tasks as it needs.
+    """
+    pairs = annotations.select("row_index", F.col("user_id").alias("author_id"))
+    return ranged_positions(pairs, ["row_index"], ["author_id"])
+
+
+def row_flags(annotations: DataFrame, me: str) -> DataFrame:
+    """Per annotated row: by_me, by_any and the number of annotators, combined before the shuffle."""
+    return annotations.groupBy("row_index").agg(
+        F.bool_or(F.col("user_id") == me).alias("by_me"), F.lit(True).alias("by_any"), F.count("*").alias("n_annotators")
+    )
 
 
-def row_status(annotations: DataFrame, me: str, large: DataFrame | None | EllipsisType = ...) -> DataFrame:
-    """Per annotated row: by_me, by_any and the sorted annotators.
+def row_status(annotations: DataFrame, me: str) -> DataFrame:
+    """Per annotated row, one row: by_me, by_any and the sorted annotators.
 
-    ``(row_index, chunk, by_me, by_any, annotators)``; only the ``large`` rows have chunks
-    beyond 0. They are looked for unless ``large_rows`` was asked before.
+    The names of one row are one value, of any number that a value can hold; row_annotators gives them as rows, row_flags without.
     """
-    large = large_rows(annotations) if large is ... else large
-    lists = grouped_lists(annotations, ["row_index"], F.col("user_id"), F.col("user_id"), "annotators", large)
-    by_me = annotations.where(F.col("user_id") == me).select("row_index", F.lit(True).alias("_me"))
-    return lists.join(by_me, "row_index", "left").select(
-        "row_index",
-        "chunk",
-        F.coalesce("_me", F.lit(False)).alias("by_me"),
-        F.lit(True).alias("by_any"),
-        "annotators",
+    return annotations.groupBy("row_index").agg(
+        F.bool_or(F.col("user_id") == me).alias("by_me"), F.lit(True).alias("by_any"), F.array_sort(F.collect_list("user_id")).alias("annotators")
     )
 
 
-def annotations_per_row(annotations: DataFrame, large: DataFrame | None | EllipsisType = ...) -> DataFrame:
-    """Per annotated row its annotations ``{author_id, data, created_at, updated_at}`` by author.
+def annotations_per_row(annotations: DataFrame) -> DataFrame:
+    """Per annotated row, one row with its annotations ``{author_id, data, created_at, updated_at}`` by author.
 
-    ``(row_index, chunk, annotations)``; see row_status for chunks. Both split a row by its
-    authors, so equal chunks of the two belong together.
+    As with row_status they are one value; the annotations themselves are the form for more.
     """
-    large = large_rows(annotations) if large is ... else large
     item = F.struct(F.col("user_id").alias("author_id"), "data", "created_at", "updated_at")
-    return grouped_lists(annotations, ["row_index"], item, F.col("user_id"), "annotations", large)
+    return annotations.groupBy("row_index").agg(F.array_sort(F.collect_list(item)).alias("annotations"))
 
 
 def row_detail(requests: DataFrame, dataset: DataFrame, annotations: DataFrame) -> DataFrame:

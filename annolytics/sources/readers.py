@@ -1,28 +1,42 @@
 """Reading datasets: source detection and CSV, JSON, JSON lines and Parquet files.
 
 A dataset is read from a file, a directory (its direct children) or a glob. URLs and hub names
-are recognised but not fetched: stage the files where the executors can read them.
+are recognised but not fetched: stage the files where the executors can read them. Files are split
+over tasks whatever their records look like: see records.py.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import json
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annolytics.sources.records import (
+    SourceError,
+    brackets_end,
+    csv_records,
+    csv_splits,
+    file_paths,
+    json_records,
+    json_splits,
+    numbered,
+    plain_name,
+    reader_path,
+    text_lines,
+)
+from annolytics.sources.rowindex import with_row_index, with_row_index_parquet
+
 # File extensions and the format each is read as, in the order a directory is
 # searched.
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet"}
 SUPPORTED = "Supported: .csv, .json, .jsonl, .parquet"
-
-
-class SourceError(ValueError):
-    """A source that cannot be read as a dataset."""
+#: Bytes of a JSON file that are looked at to tell its shape.
+HEAD_BYTES = 64 * 1024
 
 
 def extension(path: Column) -> Column:
@@ -48,6 +62,13 @@ def detect_source(source: Column) -> Column:
     )
 
 
+Schema = T.StructType | str | None
+
+
+def _struct(schema: Schema) -> T.StructType | None:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
 def _demote_times(schema: T.StructType) -> T.StructType:
     times = (T.DateType, T.TimestampType, T.TimestampNTZType)
     return T.StructType(
@@ -55,25 +76,76 @@ def _demote_times(schema: T.StructType) -> T.StructType:
     )
 
 
+def _listed(files: Sequence[str]) -> str:
+    return ", ".join(sorted(files)[:20]) + (f" and {len(files) - 20} more" if len(files) > 20 else "")
+
+
+def _texts(records: DataFrame):
+    """Records as the data set of strings that Spark's readers take."""
+    return getattr(records.select("record")._jdf, "as")(records.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
+
+
+def _schema_of(frame) -> T.StructType:
+    return T.StructType.fromJson(json.loads(frame.schema().json()))
+
+
+class CsvFiles(NamedTuple):
+    """CSV files with line breaks inside quotes, those without, and the splits of all."""
+
+    broken: list[str]
+    plain: list[str]
+    splits: DataFrame
+
+
+def csv_breaks(spark: SparkSession, path: str | Sequence[str]) -> CsvFiles:
+    """Tell the files of CSV with line breaks inside quotes from the others, in one scan of flags. Unbalanced quotes are an error."""
+    files = file_paths(spark, path)
+    splits = csv_splits(text_lines(spark, files))
+    ends = splits.groupBy("file").agg(F.max_by("ends_inside", "at").alias("is_open"), F.sum("breaks").alias("breaks"))
+    told = ends.where("is_open OR breaks > 0").collect()
+    if unbalanced := [plain_name(row["file"]) for row in told if row["is_open"]]:
+        raise SourceError(f"Unbalanced quotes: {_listed(unbalanced)}")
+    broken = {plain_name(row["file"]) for row in told}
+    return CsvFiles([f for f in files if f in broken], [f for f in files if f not in broken], splits)
+
+
+def _inferred_csv(spark: SparkSession, path: str | Sequence[str], records: DataFrame) -> T.StructType:
+    """Names from the first record of the first file, types from all records."""
+    names = spark.read.options(header=True, multiLine=True, escape='"').csv(path).columns
+    kinds = [f.dataType for f in _schema_of(spark.read.options(escape='"', inferSchema=True)._jreader.csv(_texts(records))).fields]
+    return T.StructType([T.StructField(name, kinds[i] if i < len(kinds) else T.StringType()) for i, name in enumerate(names)])
+
+
 def scan_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = False
+    spark: SparkSession, path: str | Sequence[str], schema: Schema = None, line_breaks: bool = True, row_index: bool = False
 ) -> DataFrame:
-    """CSV with a header and, with ``line_breaks``, line breaks inside quotes. Dates and times stay text.
-
-    Without a schema the types are inferred, which reads the files once more: pass one for data
-    of any size. A file is split over tasks, unless ``line_breaks`` says that there may be line
-    breaks inside quotes; then one task reads it.
+    """CSV with a header, also with line breaks inside quotes. Dates and times stay text; blank lines are skipped.
+
+    Without a schema the types are inferred, which reads the data once more: pass one for data
+    of any size. Files are split over tasks anywhere: one scan finds where the records of files
+    with line breaks inside quotes begin; these records are stored as text and read by Spark's
+    own parser, and other files are read as they are. Unbalanced quotes are an error naming the
+    file. ``line_breaks=False`` vouches that there are none inside quotes and spares that scan.
+    ``row_index`` adds each row's number in file order.
     """
-    options = {"header": True, "multiLine": line_breaks, "escape": '"'}
+    reader, schema = spark.read.options(header=True, escape='"'), _struct(schema)
+    found = csv_breaks(spark, path) if line_breaks else None
+    if found is None or not found.broken:
+        if schema is None:
+            schema = _demote_times(reader.option("inferSchema", True).csv(path).schema)
+        df = reader.schema(schema).csv(path)
+        return with_row_index(df) if row_index else df
+    # Numbers and inferred types are of all files together; else those without breaks are left to Spark's own splits.
+    together = row_index or schema is None
+    records = csv_records(text_lines(spark, found.broken + found.plain if together else found.broken), found.splits)
     if schema is None:
-        schema = _demote_times(spark.read.options(**options, inferSchema=True).csv(path).schema)
-    return spark.read.options(**options).schema(schema).csv(path)
-
-
-def scan_json(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = True) -> DataFrame:
-    """JSON lines, or with ``lines`` off files that hold one document or one array of them."""
-    reader = spark.read.option("multiLine", not lines)
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+        schema = _demote_times(_inferred_csv(spark, path, records))
+    parsed = records.withColumn("_row", F.from_csv("record", schema.toDDL(), {"escape": '"'}))
+    columns = [F.col("_row")[f.name].alias(f.name) for f in schema.fields]
+    if row_index:
+        return numbered(parsed, columns)
+    df = parsed.select(*columns)
+    return df if together or not found.plain else df.unionByName(reader.schema(schema).csv([reader_path(f) for f in found.plain]))
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -104,108 +176,89 @@ def is_glob_matched(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def json_shapes(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """The JSON files under a path with a whole value on every line, and those with one value over several lines.
+def is_whole_line(head: str, is_all: bool) -> bool:
+    """Whether the first line of JSON that is not blank is one value by itself, or one too long to tell by its head."""
+    lines = head.split("\n")
+    for i, line in enumerate(lines):
+        if line.strip():
+            ends = brackets_end(line)
+            return (not is_all and i == len(lines) - 1) or ends == 1
+    return True
 
-    Told for each file by its first line that is not blank: whether it is an object or array by
-    itself, as in JSON lines or an array on one line, or only the start of one. Only the first
-    split of each file is looked at, and only file names reach the driver, which holds the list of
-    files anyway. A file without such a line counts as one of lines. After a value over several lines nothing else may follow; see files_with_more.
-    """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
-    )
-    starts = lines.where((F.col("at") == 0) & (F.trim("value") != "")).select(
-        "file",
-        F.try_parse_json("value").isNotNull().alias("is_whole"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    found = starts.groupBy("file").agg(F.min_by("is_whole", "line").alias("is_whole")).collect()
-    documents = {row["file"] for row in found if not row["is_whole"]}
-    files = [row["file"] for row in lines.select("file").distinct().collect()]
-    return sorted(f for f in files if f not in documents), sorted(documents)
-
-
-# A string of JSON, in either quotes; it never runs over a line.
-_STRING = re.compile(r""""[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'""")
-_DEPTH = np.zeros(256, dtype=np.int64)
-_DEPTH[[ord("{"), ord("[")]] = 1
-_DEPTH[[ord("}"), ord("]")]] = -1
-#: A depth that no file comes to.
-_NEVER = 1 << 60
-
-
-def _depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each split of a file: brackets opened less those closed, the least depth after a closing one, also of those that something follows in the split."""
-    split, depth, least, followed, has_text = None, 0, _NEVER, _NEVER, False
-
-    def found() -> pa.RecordBatch:
-        columns = [pa.array([split[0]]), *(pa.array([x], pa.int64()) for x in (split[1], depth, least, followed)), pa.array([has_text])]
-        return pa.RecordBatch.from_arrays(columns, ["file", "at", "depth", "least", "followed", "has_text"])
-
-    for batch in batches:
-        for value, file, at in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "at"))):
-            if (file, at) != split:
-                if split:
-                    yield found()
-                split, depth, least, followed, has_text = (file, at), 0, _NEVER, _NEVER, False
-            text = _STRING.sub("_", value).strip(" \t\r\n")
-            if not text:
-                continue
-            followed, has_text = least, True
-            steps = _DEPTH[np.frombuffer(text.encode(), dtype=np.uint8)]
-            after = (depth + np.cumsum(steps))[steps < 0]
-            depth += int(steps.sum())
-            if len(after):
-                # The last character alone is not followed by another of its line.
-                inside = after[:-1] if steps[-1] < 0 else after
-                followed = min(followed, int(inside.min(initial=_NEVER)))
-                least = min(least, int(after.min()))
-    if split:
-        yield found()
-
-
-def files_with_more(spark: SparkSession, files: list[str]) -> list[str]:
-    """Those of some JSON files in which something follows the end of their first object or array.
-
-    Splits are scanned side by side, as no string runs over a line; only the files found reach the driver.
+
+def json_shapes(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str]]:
+    """The JSON files under a path with a value on every line, and those with values over several lines.
+
+    Told by the first line of each file that is not blank, from the listing and the first bytes of the files; no job is run.
     """
-    lines = spark.read.text(files).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
-    )
-    splits = lines.mapInArrow(_depths, "file string, at bigint, depth bigint, least bigint, followed bigint, has_text boolean")
-    of_file = Window.partitionBy("file").orderBy("at")
-    before = F.coalesce(F.sum("depth").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    later = F.coalesce(F.max("has_text").over(of_file.rowsBetween(1, Window.unboundedFollowing)), F.lit(False))
-    ended = (F.col("before") + F.col("followed") <= 0) | ((F.col("before") + F.col("least") <= 0) & F.col("later"))
-    found = splits.select("*", before.alias("before"), later.alias("later")).where(ended)
-    return sorted(row["file"] for row in found.select("file").distinct().collect())
+    files = file_paths(spark, path)
+
+    def is_lines(file: str) -> bool:
+        fs, hadoop_path = _file_system(spark, file)
+        stream = fs.open(hadoop_path)
+        try:
+            head = bytes(stream.readNBytes(HEAD_BYTES))
+        finally:
+            stream.close()
+        return is_whole_line(head.decode("utf-8", "replace"), len(head) < HEAD_BYTES)
+
+    with ThreadPoolExecutor(16) as pool:
+        told = list(pool.map(is_lines, files))
+    return [f for f, yes in zip(files, told) if yes], [f for f, yes in zip(files, told) if not yes]
+
+
+def _json_documents(spark: SparkSession, files: Sequence[str], schema: Schema, row_index: bool) -> DataFrame:
+    """Files of any JSON values, each a record, or an array of records, split over tasks anywhere between lines."""
+    lines = text_lines(spark, files)
+    splits = json_splits(lines)
+    ends = splits.groupBy("file").agg(F.bool_or("wrong").alias("wrong"), F.max_by("end", "at").alias("depth"))
+    if bad := [plain_name(row["file"]) for row in ends.where("wrong OR depth <> 0").collect()]:
+        raise SourceError(f"Malformed JSON: {_listed(bad)}")
+    records = json_records(lines, splits)
+    strict, schema = {"mode": "FAILFAST"}, _struct(schema)
+    if schema is None:
+        schema = _schema_of(spark.read.options(**strict)._jreader.json(_texts(records)))
+    is_object = F.ltrim(F.translate("record", "\n\r\t", "   ")).startswith("{")
+    wrong = F.raise_error(F.concat(F.lit("Malformed JSON, a record is no object: "), F.substring("record", 1, 80))).cast("string")
+    checked = records.withColumn("record", F.when(is_object, F.col("record")).otherwise(wrong))
+    # As an array of one, so that anything behind the object is an error too.
+    in_array = F.from_json(F.concat(F.lit("["), "record", F.lit("]")), T.ArrayType(schema), strict)
+    parsed = checked.withColumn("_row", in_array[0])
+    columns = [F.col("_row")[f.name].alias(f.name) for f in schema.fields]
+    return numbered(parsed, columns) if row_index else parsed.select(*columns)
 
 
-def scan_json_files(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON files under a path, each read by its own shape; a record that is no JSON is an error.
+def scan_json(spark: SparkSession, path: str | Sequence[str], schema: Schema = None, lines: bool = True, row_index: bool = False) -> DataFrame:
+    """JSON lines, or with ``lines`` off files of values over any number of lines. A record that is no JSON is an error.
 
-    So is a file with a value over several lines and anything after it, of which Spark would read the first value only. Columns that some files lack are null there.
+    Either is split over tasks anywhere between lines; a value, and a line, must fit a row. ``row_index`` adds each row's number in file order.
     """
+    if not lines:
+        return _json_documents(spark, file_paths(spark, path), schema, row_index)
+    reader = spark.read.option("mode", "FAILFAST")
+    df = (reader.schema(schema) if schema is not None else reader).json(path)
+    return with_row_index(df) if row_index else df
+
+
+def scan_json_files(spark: SparkSession, path: str | Sequence[str], schema: Schema = None, row_index: bool = False) -> DataFrame:
+    """JSON files under a path, each read by its own shape. Columns that some files lack are null there."""
     lines, documents = json_shapes(spark, path)
-    if documents and (more := files_with_more(spark, documents)):
-        raise SourceError(f"More than one value, of which the first is over several lines: {', '.join(more)}")
-    parts = []
-    for files, as_lines in ((lines, True), (documents, False)):
-        if files:
-            reader = spark.read.option("multiLine", not as_lines).option("mode", "FAILFAST")
-            parts.append((reader.schema(schema) if schema is not None else reader).json(files))
-    if not parts:
-        return scan_json(spark, path, schema)
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-
-
-def _scan(spark: SparkSession, path: str, ext: str, schema: T.StructType | None, line_breaks: bool) -> DataFrame:
+    if not documents:
+        return scan_json(spark, path, schema, row_index=row_index)
+    if row_index:
+        # Lines are values too, and numbers are of all files together.
+        return _json_documents(spark, lines + documents, schema, True)
+    df = _json_documents(spark, documents, schema, False)
+    return scan_json(spark, [reader_path(f) for f in lines], schema).unionByName(df, allowMissingColumns=True) if lines else df
+
+
+def _scan(spark: SparkSession, path: str, ext: str, schema: Schema, line_breaks: bool, row_index: bool) -> DataFrame:
     if ext == "csv":
-        return scan_csv(spark, path, schema, line_breaks)
+        return scan_csv(spark, path, schema, line_breaks, row_index)
     if ext == "parquet":
-        return scan_parquet(spark, path)
-    return scan_json(spark, path, schema) if ext == "jsonl" else scan_json_files(spark, path, schema)
+        df = scan_parquet(spark, path)
+        return with_row_index_parquet(df) if row_index else df
+    return (scan_json if ext == "jsonl" else scan_json_files)(spark, path, schema, row_index=row_index)
 
 
 def _suffix(path: str) -> str:
@@ -214,11 +267,11 @@ def _suffix(path: str) -> str:
 
 
 def load_dataset(
-    spark: SparkSession, source: str, schema: T.StructType | None = None, line_breaks: bool = False
+    spark: SparkSession, source: str, schema: Schema = None, line_breaks: bool = True, row_index: bool = False
 ) -> DataFrame:
     """A dataset from a ``file://`` source or a path: a file, a directory or a glob.
 
-    ``schema`` and ``line_breaks`` are as for scan_csv; JSON takes the schema too.
+    ``schema`` and ``line_breaks`` are as for scan_csv; JSON takes the schema too. ``row_index`` adds each row's number in file order.
     """
     if source.startswith(("http://", "https://")):
         raise SourceError(f"stage {source} on a file system the executors can read")
@@ -236,4 +289,4 @@ def load_dataset(
         ext = _suffix(path)
     if ext not in FORMATS:
         raise SourceError(f"Unsupported format: .{ext}. {SUPPORTED}")
-    return _scan(spark, path, ext, schema, line_breaks)
+    return _scan(spark, path, ext, schema, line_breaks, row_index)

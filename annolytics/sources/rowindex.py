@@ -6,7 +6,7 @@ split its first number. Only the list of splits is ever sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annolytics.plans.sizing import broadcast_if_small
@@ -20,12 +20,11 @@ def _offsets(counted: DataFrame, *split: str) -> DataFrame:
     return broadcast_if_small(settle(counted.withColumn("_offset", first).drop("_n"), "splits"))
 
 
-def _pin_splits(df: DataFrame) -> None:
+def pin_splits(spark: SparkSession) -> None:
     """Keep later scans of this session cutting files as this one does.
 
     How files are cut depends on the number of cores, which changes when executors come and go.
     """
-    spark = df.sparkSession
     key = "spark.sql.files.minPartitionNum"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, spark.sparkContext.defaultParallelism)
@@ -38,7 +37,7 @@ def with_row_index(df: DataFrame) -> DataFrame:
     so its distance from the split's first id is the row's place there. Both passes must cut the
     files alike: the cut is pinned, and a row whose split the first pass did not see is an error.
     """
-    _pin_splits(df)
+    pin_splits(df.sparkSession)
     split: dict[str, Column] = {
         "_file": F.col("_metadata.file_path"),
         "_start": F.col("_metadata.file_block_start"),

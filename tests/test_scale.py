@@ -1,21 +1,24 @@
 """Hot groups: results stay whole and equal to brute force when one group holds most rows."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from annolytics.operators import annotations, browse, ordering
 from annolytics.operators.checks import orphans
-from annolytics.operators.status import annotations_per_row, large_rows, progress, progress_by_user, row_status
+from annolytics.operators.status import annotations_per_row, progress, progress_by_user, row_annotators, row_flags, row_status
 from annolytics.operators.prefill import rows_to_prefill
 from annolytics.operators.projects import role_map
-from annolytics.plans.chunks import grouped_lists, large_groups
 from annolytics.plans.ranking import blocked_positions
 from annolytics.plans.sizing import broadcast_if_small
 from annolytics.sources.tables import save_bucketed
 
 
+NOW = datetime(2024, 1, 31)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """Row 7 has a third of all annotations, user u1 has annotated nearly every row."""
@@ -28,37 +31,48 @@ def skewed(spark):
     return pairs, df.withColumns({"created_at": when, "updated_at": when}).cache()
 
 
-def test_lists_of_a_hot_group_are_split_and_whole(spark):
-    rows = [("hot", i) for i in range(1000)] + [(f"k{i % 50}", i) for i in range(500)]
-    df = spark.createDataFrame(rows, "k string, v bigint")
-    large = large_groups(df, ["k"], 100)
-    lists = grouped_lists(df, ["k"], F.col("v"), F.col("v"), "vs", large).collect()
-    assert [r["k"] for r in large.collect()] == ["hot"]
-    assert large_groups(df, ["k"], 1000) is None
-    got = sorted((r["k"], v) for r in lists for v in r["vs"])
-    assert got == sorted(rows)
-    assert sum(r["k"] == "hot" for r in lists) == 10
-    assert max(len(r["vs"]) for r in lists) < 200
-    assert all(r["chunk"] == 0 for r in lists if r["k"] != "hot")
-    assert all(r["vs"] == sorted(r["vs"]) for r in lists)
-
-
-def test_chunks_of_status_and_annotations_belong_together(skewed):
+def test_one_row_per_row_whatever_its_annotations(skewed, spark):
+    """Row 7 has hundreds of annotators and is one row like any other, in status, lists and pages."""
     pairs, df = skewed
-    lists = {(r["row_index"], r["chunk"]): [a["author_id"] for a in r["annotations"]] for r in annotations_per_row(df, large_rows(df, 50)).collect()}
-    status = {(r["row_index"], r["chunk"]): r for r in row_status(df, "u1", large_rows(df, 50)).collect()}
-    assert lists == {k: r["annotators"] for k, r in status.items()}
-    assert {(row, u) for (row, _), users in lists.items() for u in users} == pairs
-    assert all(r["by_me"] == ((k[0], "u1") in pairs) for k, r in status.items())
+    by_row = {}
+    for row, user in sorted(pairs):
+        by_row.setdefault(row, []).append(user)
+    status = row_status(df, "u1").collect()
+    assert len(status) == len(by_row) and {r["row_index"]: r["annotators"] for r in status} == by_row
+    assert all(r["by_me"] == ((r["row_index"], "u1") in pairs) for r in status)
+    lists = {r["row_index"]: [a["author_id"] for a in r["annotations"]] for r in annotations_per_row(df).collect()}
+    assert lists == by_row
+    flags = {r["row_index"]: (r["by_me"], r["n_annotators"]) for r in row_flags(df, "u1").collect()}
+    assert flags == {row: ((row, "u1") in pairs, len(users)) for row, users in by_row.items()}
+    dataset = spark.range(400).selectExpr("id AS row_index", "id AS x")
+    page = browse.browse_rows(dataset, df, [], "u1", NOW, page=1, per_page=50).collect()
+    assert sorted(r["row_index"] for r in page) == list(range(50))
+    assert {r["row_index"]: r["annotators"] for r in page} == {i: by_row.get(i, []) for i in range(50)}
+    found = browse.page_annotations(df, browse.page_keys(dataset, 1, 50)).collect()
+    assert sorted((r["row_index"], r["author_id"]) for r in found) == sorted(p for p in pairs if p[0] < 50)
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_annotators_of_a_hot_row_are_placed_by_many_tasks(spark, skewed, ranges):
+    pairs, df = skewed
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = row_annotators(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    by_row = {}
+    for row, user in sorted(pairs):
+        by_row.setdefault(row, []).append(user)
+    want = {(row, user, i) for row, users in by_row.items() for i, user in enumerate(users)}
+    assert {(r["row_index"], r["author_id"], r["position"]) for r in got} == want and len(got) == len(want)
 
 
-def test_role_map_chunks(spark):
+def test_role_map_of_a_busy_user(spark):
     users = spark.createDataFrame([("a",), ("b",), ("c",)], "user_id string")
-    perms = spark.createDataFrame([("a", f"p{i}", "annotator") for i in range(30)] + [("b", "p1", "project_admin")], "user_id string, project_id string, role string")
-    rows = role_map(users, perms, limit=10).collect()
-    assert sum(len(r["project_roles"]) for r in rows if r["user_id"] == "a") == 30
-    assert [r["project_roles"] for r in rows if r["user_id"] == "b"] == [{"p1": "project_admin"}]
-    assert [r["project_roles"] for r in rows if r["user_id"] == "c"] == [None]
+    perms = spark.createDataFrame([("a", f"p{i}", "annotator") for i in range(3000)] + [("b", "p1", "project_admin")], "user_id string, project_id string, role string")
+    rows = {r["user_id"]: r["project_roles"] for r in role_map(users, perms).collect()}
+    assert rows == {"a": {f"p{i}": "annotator" for i in range(3000)}, "b": {"p1": "project_admin"}, "c": None}
 
 
 def test_positions_in_a_hot_group(spark):

@@ -1,11 +1,14 @@
 import json
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from annolytics.sources.catalog import catalog_list, dataset_profile, seed_users
 from annolytics.sources.export import export_annotations
-from annolytics.sources.readers import SourceError, detect_source, load_dataset, scan_csv, scan_json
+from annolytics.sources.readers import SourceError, detect_source, is_whole_line, json_shapes, load_dataset, scan_csv, scan_json
+from annolytics.sources.records import states_after
 from annolytics.sources.rowindex import ingest, with_row_index, with_row_index_parquet
 
 UNSUPPORTED = "Unsupported format: .xml. Supported: .csv, .json, .jsonl, .parquet"
@@ -59,32 +62,164 @@ def test_each_json_file_is_read_by_its_own_shape(spark, tmp_path):
         load_dataset(spark, str(tmp_path)).collect()
 
 
-@pytest.mark.parametrize("split", ["128m", "7"])
-def test_values_after_one_over_several_lines_are_an_error(spark, tmp_path, split):
-    good = {"a": 1, "s": "}]' \\\" {[", "n": [{"x": []}, {}]}
-    (tmp_path / "a.json").write_text(json.dumps(good, indent=2) + "\n \n\n")
-    (tmp_path / "b.json").write_text("\n" + json.dumps([good, good], indent=1))
-    (tmp_path / "c.json").write_text("{'a': 1,\n 's': '}\"'}")
-    bad = {
-        "objects.json": "\n".join(json.dumps({"a": i}, indent=1) for i in range(3)),
-        "lines.json": json.dumps({"a": 1}, indent=1) + '\n{"a":2}\n',
-        "array.json": json.dumps([{"a": 1}, {"a": 2}], indent=1) + '\n\n{"a":3}',
-        "same_line.json": '{\n"a":1} {"a":2}\n',
-        "bracket.json": '{"a":\n1}\n}',
-        "scalar.json": '{"a":\n1} 3',
+@pytest.fixture
+def split_size(spark):
+    """Set the size that files are cut at."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    yield lambda size: spark.conf.set(key, str(size))
+    spark.conf.set(key, before)
+
+
+SPLITS = ["128m", 150, 1000]
+
+
+@pytest.mark.parametrize("split", SPLITS)
+def test_json_values_over_several_lines(spark, tmp_path, split, split_size):
+    """Objects one after another, arrays, and both, however files are cut."""
+    value = lambda i: {"a": i, "s": "}]' \\\\\" {[, " * (i % 3), "n": [{"x": [i, i]}, {"x": []}]}
+    files = {
+        "array.json": json.dumps([value(i) for i in range(20)], indent=2) + "\n \n\n",
+        "blank.json": "\n\n" + json.dumps([value(i) for i in range(20, 23)], indent=1),
+        "objects.json": "\n".join(json.dumps(value(i), indent=1) for i in range(23, 30)),
+        "then_lines.json": json.dumps(value(30), indent=1) + "\n" + json.dumps(value(31)) + "\n",
+        "array_then.json": json.dumps([value(32), value(33)], indent=1) + "\n\n" + json.dumps(value(34)),
+        "same_line.json": json.dumps(value(35), indent=1) + json.dumps(value(36)) + " " + json.dumps(value(37)),
+        "close.json": "[" + json.dumps(value(38)) + ",\n" + json.dumps(value(39)) + ", " + json.dumps(value(40)) + "\n,\n" + json.dumps(value(41), indent=3) + "]",
+        "two_arrays.json": json.dumps([value(42)], indent=1) + json.dumps([value(43)], indent=1) + "[]\n[\n]",
+        "quotes.json": "{'a': 44,\n 's': '}\"', 'n': []}",
+        "lines.json": json.dumps(value(45)) + "\n" + json.dumps(value(46)) + "\n",
+        "empty.json": "",
     }
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
-    try:
-        assert load_dataset(spark, f"{tmp_path}/*.json").count() == 4
-        for name, text in bad.items():
-            (tmp_path / name).write_text(text)
-        with pytest.raises(SourceError) as error:
-            load_dataset(spark, f"{tmp_path}/*.json")
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert all(f"/{name}" in str(error.value) for name in bad)
-    assert not any(f"/{name}.json" in str(error.value) for name in "abc")
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    split_size(split)
+    rows = load_dataset(spark, f"{tmp_path}/*.json").collect()
+    assert sorted(r["a"] for r in rows) == list(range(47))
+    for r in rows:
+        if r["a"] != 44:
+            assert (r["s"], [list(n["x"]) for n in r["n"]]) == (value(r["a"])["s"], [[r["a"], r["a"]], []])
+    indexed = load_dataset(spark, f"{tmp_path}/*.json", row_index=True).collect()
+    order = [int(a) for name in sorted(files) for a in re.findall(r"""["']a["']: (\d+)""", files[name])]
+    assert [r["a"] for r in sorted(indexed, key=lambda r: r["row_index"])] == order
+    assert sorted(r["row_index"] for r in indexed) == list(range(47))
+
+
+@pytest.mark.parametrize("split", [9])
+@pytest.mark.parametrize("text", ['{"a":\n1}\n}', '{"a":\n1', '[\n{"a":1},\n', '{"a":\n1} 3', '[\n1, 2]', '{"a":\n"x}\n', '[\n[{"a":1}]]', '[\n{"a":1} {"a":2}]', '{\n"a" 1}'])
+def test_malformed_json_documents_are_errors(spark, tmp_path, split, text, split_size):
+    (tmp_path / "good.json").write_text('{"a":\n1}')
+    (tmp_path / "bad.json").write_text(text)
+    split_size(split)
+    with pytest.raises(Exception, match="(?i)malformed") as error:
+        load_dataset(spark, f"{tmp_path}/*.json", "a bigint").collect()
+    assert not isinstance(error.value, SourceError) or ("bad.json" in str(error.value) and "good.json" not in str(error.value))
+
+
+@pytest.mark.parametrize("schema", [None, "a bigint"])
+def test_bad_json_lines_are_errors(spark, tmp_path, schema):
+    (tmp_path / "a.jsonl").write_text('{"a":1}\n{"a":\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_dataset(spark, str(tmp_path / "a.jsonl"), schema).collect()
+
+
+@pytest.mark.parametrize("folder", ["with blank", "per%20cent", "a[b]{c}", "plus+&=#"])
+def test_names_with_special_characters(spark, tmp_path, folder):
+    here = tmp_path / folder
+    here.mkdir()
+    (here / "one two.json").write_text(json.dumps([{"a": 1}, {"a": 2}], indent=1))
+    (here / "l.json").write_text('{"a":3}\n')
+    (here / "t%41.csv").write_text('a,b\n1,"x\ny"\n')
+    (here / "u.csv").write_text("a,b\n2,z\n")
+    source = str(here).replace("[", "\\[").replace("{", "\\{").replace("]", "\\]").replace("}", "\\}")
+    assert sorted(r["a"] for r in load_dataset(spark, f"{source}/*.json").collect()) == [1, 2, 3]
+    assert sorted((r["a"], r["b"]) for r in load_dataset(spark, f"{source}/*.csv", "a int, b string").collect()) == [(1, "x\ny"), (2, "z")]
+
+
+def test_shapes_need_the_listing_and_first_bytes_only(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"a": i} for i in range(100)], indent=2))
+    (tmp_path / "b.json").write_text('{"a":1}\n' * 50)
+    spark.sparkContext.setJobGroup("shapes", "")
+    lines, documents = json_shapes(spark, str(tmp_path))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("shapes")
+    spark.sparkContext.setJobGroup("other", "")
+    assert [f.rsplit("/", 1)[1] for f in lines + documents] == ["b.json", "a.json"]
+    for head, is_all, whole in [
+        ('\n{"a":1}\n{', False, True), ("[\n", False, False), ('{"a":1} {"b":2}\n', True, False), ('{"a":"' + "x" * 100, False, True), ('{"a":', True, False), ("", True, True), ("3\n", True, True),
+    ]:
+        assert is_whole_line(head, is_all) == whole
+
+
+FIELDS = ["", "x", "two words", "a,b", 'say ""hi""', "line\nbreak", "\n", ',\n"",', "é 日本", " lead", '""', "tail \n\n"]
+
+
+def csv_text(n, end):
+    """A table of quoted and plain fields, some with a quote in the middle that means nothing."""
+    lines = ["id,text,note"]
+    for i in range(n):
+        field = FIELDS[i % len(FIELDS)] * (1 + i % 2)
+        plain = ['5" pipe', "x", "", 'a"b"c'][i % 4]
+        lines.append(f'{i},"{field}",{plain}' if field or i % 2 else f"{i},,{plain}")
+        if i % 9 == 0:
+            lines.append("")
+    return end.join(lines) + end * (n % 2)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", SPLITS)
+def test_csv_line_breaks_at_every_split(spark, tmp_path, split, end, split_size):
+    with open(tmp_path / "a.csv", "w", newline="") as file:
+        file.write(csv_text(151, end))
+    (tmp_path / "b.csv").write_text("id,text,note\n900,plain,\n901,,z\n")
+    with open(tmp_path / "c.csv", "w", newline="") as file:
+        file.write(csv_text(40, end).replace("id,text,note", f'"id",text,"no{end}te"'))
+    (tmp_path / "d.csv").write_text("id,text,note\n")
+    (tmp_path / "e.csv").write_text("")
+    schema = "id int, text string, note string"
+    want = spark.read.options(header=True, multiLine=True, escape='"').schema(schema).csv(f"{tmp_path}/*.csv").collect()
+    assert len(want) == 193
+    split_size(split)
+    got = load_dataset(spark, f"{tmp_path}/*.csv", schema)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    if split != "128m":
+        assert got.rdd.getNumPartitions() > 1
+    indexed = load_dataset(spark, f"{tmp_path}/*.csv", schema, row_index=True).collect()
+    ordered = [tuple(r)[1:] for r in sorted(indexed, key=lambda r: r["row_index"])]
+    per_file = [spark.read.options(header=True, multiLine=True, escape='"').schema(schema).csv(f"{tmp_path}/{n}.csv").collect() for n in "abcd"]
+    assert ordered == [tuple(r) for rows in per_file for r in rows]
+    assert sorted(r["row_index"] for r in indexed) == list(range(193))
+
+
+def test_csv_types_of_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,x,"day",t\n1,1.5,2024-01-02,"a\nb"\n2,2,2024-01-03,\n')
+    (tmp_path / "b.csv").write_text("n,x,day,t\n30000000000,7,,c\n")
+    df = load_dataset(spark, f"{tmp_path}/*.csv")
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema.fields] == [("n", "bigint"), ("x", "double"), ("day", "string"), ("t", "string")]
+    assert sorted(map(tuple, df.collect())) == [(1, 1.5, "2024-01-02", "a\nb"), (2, 2.0, "2024-01-03", None), (30000000000, 7.0, None, "c")]
+
+
+@pytest.mark.parametrize("split", [9])
+def test_unbalanced_quotes_name_the_file(spark, tmp_path, split, split_size):
+    (tmp_path / "good.csv").write_text('a,b\n1,"x\ny"\n')
+    (tmp_path / "bad.csv").write_text('a,b\n1,"x\n2,y\n3,z\n')
+    split_size(split)
+    with pytest.raises(SourceError, match="Unbalanced quotes: .*bad.csv$") as error:
+        load_dataset(spark, f"{tmp_path}/*.csv")
+    assert "good.csv" not in str(error.value)
+
+
+def test_states_over_lines():
+    """Against a walk from line to line."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        out, inside = rng.random(n) < 0.4, rng.random(n) < 0.6
+        for start in (False, True):
+            state, want = start, []
+            for a, b in zip(out, inside):
+                state = bool(b if state else a)
+                want.append(state)
+            assert states_after(out, inside, start).tolist() == want
 
 
 def test_directories_and_globs(spark, tmp_path):

@@ -65,8 +65,10 @@ def main() -> None:
     users = table.select("user_id").distinct()
     timed("rows, of p0, of row, of user", lambda: [df.count() for df in (table, p0, p0.where("row_index = 7"), p0.where("user_id = 'u1'"))])
     timed("progress", lambda: [tuple(r) for r in status.progress(table, "u1").collect()])
-    lists = lambda: status.annotations_per_row(p0, status.large_rows(p0))
-    timed("annotations_per_row", lambda: tuple(lists().agg(F.count("*"), F.max(F.size("annotations")), F.sum(F.size("annotations"))).first()))
+    placed = lambda: status.row_annotators(p0)
+    timed("annotators of each row, placed", lambda: tuple(placed().agg(F.count("*"), F.max("position")).first()))
+    lists = lambda: status.row_status(p0, "u1")
+    timed("row_status", lambda: tuple(lists().agg(F.count("*"), F.max(F.size("annotators")), F.sum(F.size("annotators"))).first()))
     queue = lambda: ordering.label_queue(users, p0, F.lit("s"), DATASET_ROWS, 3)
     timed("label_queue, 3 per user", lambda: queue().count())
     exprs = [FilterExpr("annotations.count", ">", "1"), FilterExpr("annotation.label", "=", "l1"), FilterExpr("data.k", "=", "3")]

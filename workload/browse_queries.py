@@ -76,17 +76,44 @@ def row_preview_list(spark, sf):
     return shown.select("page_id", F.col("preview")[1]["text"].alias("url"), F.col("preview")[2]["text"].alias("html"), "more_fields")
 
 
-_STATUS = """SELECT row_index, 0::bigint AS chunk, bool_or(user_id='u7') AS by_me, true AS by_any,
+_STATUS = """SELECT row_index, bool_or(user_id='u7') AS by_me, true AS by_any,
   string_agg(user_id, ',' ORDER BY user_id) AS annotators FROM ann GROUP BY row_index"""
 
 
 @query("row_status", _STATUS)
 def row_status(spark, sf):
     ann = fx.project_rows(spark, sf)
-    status = st.row_status(ann, fx.ME, st.large_rows(ann))
+    status = st.row_status(ann, fx.ME)
     return status.withColumn("annotators", F.array_join("annotators", ","))
 
 
+@query(
+    "row_annotators",
+    "SELECT row_index, user_id AS author_id, row_number() OVER (PARTITION BY row_index ORDER BY user_id) - 1 AS position FROM ann",
+)
+def row_annotators(spark, sf):
+    return st.row_annotators(fx.project_rows(spark, sf))
+
+
+@query(
+    "page_annotations",
+    """WITH page AS (SELECT row_index FROM dataset ORDER BY row_index LIMIT 50)
+      SELECT row_index, user_id AS author_id, data, strftime(created_at,'%Y-%m-%d %H:%M:%S.%f') AS created_at,
+        strftime(updated_at,'%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM ann JOIN page USING (row_index)""",
+)
+def page_annotations(spark, sf):
+    page = browse.page_keys(fx.dataset(spark, sf).select("row_index"))
+    return plain(browse.page_annotations(fx.project_rows(spark, sf), page))
+
+
+@query(
+    "row_flags",
+    "SELECT row_index, bool_or(user_id='u7') AS by_me, true AS by_any, count(*) AS n_annotators FROM ann GROUP BY row_index",
+)
+def row_flags(spark, sf):
+    return st.row_flags(fx.project_rows(spark, sf), fx.ME)
+
+
 @query(
     "status_label",
     f"""SELECT d.row_index, CASE WHEN s.by_me THEN 'Annotated by me' WHEN s.by_any THEN replace(s.annotators,',',', ')
@@ -94,7 +121,7 @@ def row_status(spark, sf):
 )
 def status_label(spark, sf):
     ann = fx.project_rows(spark, sf)
-    status = st.row_status(ann, fx.ME, st.large_rows(ann))
+    status = st.row_status(ann, fx.ME)
     rows = fx.dataset(spark, sf).select("row_index").join(status, "row_index", "left")
     return rows.select("row_index", pj.status_label(F.col("by_me"), F.col("by_any"), F.col("annotators")).alias("label"))
 
@@ -168,7 +195,7 @@ BROWSE = [FilterExpr("data.lang", "=", "en"), FilterExpr("annotations.count", ">
           AND row_index IN (SELECT row_index FROM ann GROUP BY 1 HAVING count(*)>10)),
         page AS (SELECT * FROM hit ORDER BY row_index LIMIT 20 OFFSET 20),
         latest AS (SELECT row_index, arg_max(data, row(created_at,user_id)) AS data FROM ann GROUP BY 1)
-      SELECT page.row_index, (SELECT count(*) FROM hit) AS total, 0::bigint AS chunk,
+      SELECT page.row_index, (SELECT count(*) FROM hit) AS total,
         string_agg(a.user_id, ',' ORDER BY a.user_id) AS annotators, bool_or(a.user_id='u7') AS by_me, true AS by_any,
         string_agg(a.data, '|' ORDER BY a.user_id) AS payloads, any_value(lang) AS lang, any_value(source) AS source,
         any_value(n_chars::varchar) AS n_chars, any_value(l.data::json->>'$.label') AS label,
@@ -181,7 +208,7 @@ def browse_rows(spark, sf):
     )
     shown = [F.try_element_at("preview", F.lit(f)).alias(f) for f in ("lang", "source", "n_chars", "label", "rating")]
     return page.select(
-        "row_index", "total", "chunk", F.array_join("annotators", ",").alias("annotators"), "by_me", "by_any",
+        "row_index", "total", F.array_join("annotators", ",").alias("annotators"), "by_me", "by_any",
         F.array_join(F.transform("annotations", lambda a: a["data"]), "|").alias("payloads"), *shown,
     )
 
@@ -321,17 +348,17 @@ def count_per_row(spark, sf):
 
 @query(
     "annotations_per_row",
-    """SELECT row_index, 0::bigint AS chunk, count(*) AS n, string_agg(user_id||' '||data||' '||strftime(created_at,'%Y-%m-%d %H:%M:%S.%f')
+    """SELECT row_index, count(*) AS n, string_agg(user_id||' '||data||' '||strftime(created_at,'%Y-%m-%d %H:%M:%S.%f')
          ||' '||strftime(updated_at,'%Y-%m-%d %H:%M:%S.%f'), '|' ORDER BY user_id) AS annotations FROM ann GROUP BY 1""",
 )
 def annotations_per_row(spark, sf):
     ann = fx.project_rows(spark, sf)
-    lists = st.annotations_per_row(ann, st.large_rows(ann))
+    lists = st.annotations_per_row(ann)
     time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     texts = F.transform(
         "annotations", lambda a: F.concat_ws(" ", a["author_id"], a["data"], time(a["created_at"]), time(a["updated_at"]))
     )
-    return lists.select("row_index", "chunk", F.size("annotations").cast("bigint").alias("n"), F.array_join(texts, "|").alias("annotations"))
+    return lists.select("row_index", F.size("annotations").cast("bigint").alias("n"), F.array_join(texts, "|").alias("annotations"))
 
 
 @query(

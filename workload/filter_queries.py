@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from annolytics.functions.literals import literal_kind, literal_number, relative_time, timestamp_literal
 from annolytics.functions.jsontext import json_text
+from annolytics.operators.bitmaps import bit_total, bitmap_page, filter_bitmaps, rows_of_bitmaps
 from annolytics.operators.browse import distinct_rows, filter_rows, intersect_rows
 from annolytics.operators.filters import FilterExpr
 from annolytics.operators.projects import search_catalog, search_projects
+from annolytics.session import settle
 from workload import fixtures as fx
 from workload.registry import plain, query
 
 Case = tuple[str, list[tuple], str]
+#: Cases, loader and conjunction of every query of filters.
+FILTER_CASES: dict[str, tuple] = {}
 
 
 def _exprs(parts) -> list[FilterExpr]:
@@ -49,6 +53,7 @@ def register_cases(name: str, cases: list[Case], source: str = "dataset", with_o
         ),
     }
     table, load = rows[source]
+    FILTER_CASES[name] = cases, load, with_or
     union = " UNION ALL ".join(
         f"SELECT '{case}' AS case_name, d.row_index FROM {table} d WHERE {condition}" for case, _, condition in cases
     )
@@ -271,6 +276,42 @@ register_cases(
 )
 
 
+
+
+def register_bitmaps(name: str, of: str) -> None:
+    """The cases of a query of filters, found by bitmaps: each with its rows, and the total counted in bits."""
+    cases, load, with_or = FILTER_CASES[of]
+    union = " UNION ALL ".join(
+        f"SELECT '{case}' AS case_name, d.row_index, count(*) OVER () AS total FROM dataset d WHERE {condition}" for case, _, condition in cases
+    )
+
+    def run(spark, sf) -> DataFrame:
+        data, ann = load(spark, sf), fx.project_rows(spark, sf)
+        parts = []
+        for case, exprs, _ in cases:
+            bits = settle(filter_bitmaps(data, ann, _exprs(exprs), fx.ME, fx.NOW, with_or), "case-bitmaps")
+            total = bits.agg(F.coalesce(F.sum(bit_total(F.col("bits"))), F.lit(0)).alias("total"))
+            parts.append(rows_of_bitmaps(bits).select(F.lit(case).alias("case_name"), "row_index").join(F.broadcast(total)))
+        return reduce(DataFrame.unionByName, parts)
+
+    query(name, union)(run)
+
+
+register_bitmaps("bitmap_and", "flt_and")
+register_bitmaps("bitmap_or", "flt_or")
+
+
+@query(
+    "bitmap_page",
+    f"""WITH hit AS (SELECT d.row_index FROM dataset d WHERE d.lang='en' OR {BY_ME} OR {count_is('> 3')})
+      SELECT row_index, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY row_index LIMIT 50 OFFSET 50""",
+)
+def bitmap_paged(spark, sf):
+    exprs = _exprs([("data.lang", "=", "en"), ("annotations.annotated_by", "=", "me", "OR"), ("annotations.count", ">", "3", "OR")])
+    page = bitmap_page(filter_bitmaps(fx.dataset(spark, sf), fx.project_rows(spark, sf), exprs, fx.ME, fx.NOW, with_or=True), 2)
+    return page.rows.select("row_index", F.lit(page.total).cast("bigint").alias("total"))
+
+
 @query(
     "flt_projects",
     "SELECT project_id, name, tags FROM projects WHERE contains(lower(name),'supplier#00') AND contains(lower(tags),'asia, batch 1')",

@@ -55,7 +55,7 @@ def csv(spark, sf):
     docs.write.options(
         header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
-    back = scan_csv(spark, path, docs.schema, line_breaks=True)
+    back = scan_csv(spark, path, docs.schema)
     return back.select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"), F.length("text").alias("text_length"))
 
 
@@ -78,21 +78,29 @@ def json_mixed(spark, sf):
     docs.write.mode("append").json(path)
     pages = fx.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
     rest = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("b").alias("lang"), "text")
-    # One array per file: rows are folded per task, the last table's over several lines.
+    # The last table's arrays are over several lines.
     for rows, indented in ((pages, False), (rest, True)):
-        entry = F.to_json(F.struct(*rows.columns), {"pretty": str(indented).lower()})
-        arrays = rows.repartition(4, "id").select(F.spark_partition_id().alias("part"), entry.alias("entry")).groupBy("part")
-        arrays = arrays.agg(F.concat(F.lit("["), F.array_join(F.collect_list("entry"), ",\n" if indented else ","), F.lit("]")).alias("value"))
-        folder = scratch_path(spark, "arrays")
-        arrays.select("value").write.option("maxRecordsPerFile", 1).text(folder)
-        _move_as_json(spark, folder, path)
+        _write_arrays(rows, path, indented)
     return load_dataset(spark, path).select("id", "lang", F.md5("text").alias("text_md5"))
 
 
+def _write_arrays(rows, path, indented):
+    """Rows as .json files of one array each, in the order of their id."""
+    spark = rows.sparkSession
+    entry = F.to_json(F.struct(*rows.columns), {"pretty": str(indented).lower()})
+    dealt = rows.repartitionByRange(4, "id").select(F.spark_partition_id().alias("part"), F.struct("id", entry.alias("entry")).alias("e"))
+    entries = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"])
+    arrays = dealt.groupBy("part").agg(F.concat(F.lit("["), F.array_join(entries, ",\n" if indented else ","), F.lit("]")).alias("value"))
+    folder = scratch_path(spark, "arrays")
+    arrays.repartitionByRange(4, "part").select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    _move_as_json(spark, folder, path)
+
+
 def _move_as_json(spark, source, target):
     """Move the text files of a folder into another as .json files."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path(target))
     for i, status in enumerate(fs.listStatus(fs_path(source))):
         name = status.getPath().getName()
         if name.endswith(".txt"):
@@ -134,6 +142,27 @@ def row_index(spark, sf):
     return with_row_index(lines).select("row_index", "doc_id", "lang", "n_chars")
 
 
+@query("row_index_csv", "SELECT doc_id AS row_index, doc_id, lang, md5(text) AS text_md5 FROM documents")
+def row_index_csv(spark, sf):
+    """Texts with line breaks inside quotes, numbered in file order."""
+    path = scratch_path(spark, "csv")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    ordered = docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    ordered.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows = load_dataset(spark, f"{path}/*.csv", docs.schema, row_index=True)
+    return rows.select("row_index", "doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+@query("row_index_json", "SELECT doc_id AS row_index, doc_id AS id, lang, md5(text) AS text_md5 FROM documents")
+def row_index_json(spark, sf):
+    """Indented arrays, numbered in file order."""
+    path = scratch_path(spark, "json")
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    _write_arrays(docs, path, True)
+    rows = load_dataset(spark, path, docs.schema, row_index=True)
+    return rows.select("row_index", "id", "lang", F.md5("text").alias("text_md5"))
+
+
 @query("row_index_parquet", "SELECT o_orderkey AS row_index, o_orderkey, o_custkey FROM orders")
 def row_index_parquet(spark, sf):
     raw, stored = scratch_path(spark, "raw"), scratch_path(spark, "stored")
