@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annolytics.plans.sizing import broadcast_if_small
 from annolytics.session import settle
@@ -48,34 +49,27 @@ def turn_sequences(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return listed.select("conv", path.alias("path"), F.transform("items", lambda t: t["size"]).alias("sizes"))
 
 
-def _one_per_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of ids of one sequence, in order, as one row with their number, smallest id and hash. Only the hash is held while runs pass by."""
-    key, head, n, digest = None, None, 0, None
+_SEQUENCE_SCHEMA = pa.schema([("path", pa.binary()), ("sizes", pa.list_(pa.int64())), ("least", pa.int64()), ("n", pa.int64()), ("ends", pa.string())])
 
-    def done() -> pa.RecordBatch:
-        row = {**head, "n": n, "ends": digest.hexdigest()}
-        return pa.RecordBatch.from_pylist([row], schema=schema)
 
-    schema = pa.schema(
-        [("path", pa.binary()), ("sizes", pa.list_(pa.int64())), ("least", pa.int64()), ("n", pa.int64()), ("ends", pa.string())]
-    )
-    out: list[dict] = []
+def _one_per_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of ids of one sequence, in order, as one row with their number, smallest id and hash. Only the hash is held while runs pass by."""
+    key, row, digest = None, {}, hashlib.sha256()
     for batch in batches:
-        columns = [batch.column(c) for c in ("key", "path", "sizes", "least", "n", "ids")]
-        for row_key, path, sizes, least, count, ids in zip(*(c.to_pylist() for c in columns)):
-            if row_key == key:
+        out: list[dict] = []
+        columns = [batch.column(c).to_pylist() for c in ("key", "path", "sizes", "least", "n", "ids")]
+        for next_key, path, sizes, least, n, ids in zip(*columns):
+            if next_key == key:
+                row["n"] += n
                 digest.update(b",")
             else:
                 if key is not None:
-                    out.append({**head, "n": n, "ends": digest.hexdigest()})
-                key, head, n, digest = row_key, {"path": path, "sizes": sizes, "least": least}, 0, hashlib.sha256()
-            n += count
+                    out.append({**row, "ends": digest.hexdigest()})
+                key, row, digest = next_key, {"path": path, "sizes": sizes, "least": least, "n": n}, hashlib.sha256()
             digest.update(ids.encode())
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-            out = []
+        yield pa.RecordBatch.from_pylist(out, schema=_SEQUENCE_SCHEMA)
     if key is not None:
-        yield done()
+        yield pa.RecordBatch.from_pylist([{**row, "ends": digest.hexdigest()}], schema=_SEQUENCE_SCHEMA)
 
 
 def distinct_sequences(sequences: DataFrame, run: int) -> DataFrame:
@@ -105,7 +99,7 @@ def shared_turns(a: bytes, b: bytes) -> int:
     return low
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([shared_turns(bytes(x), bytes(y)) for x, y in zip(a, b)], dtype="int32")
 
@@ -116,7 +110,9 @@ def _burst(sequences: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | Non
     A container ``c`` holds the sequences that share their first ``depth`` turns. An oversized one becomes a head, which
     takes all further turns its members share too; its members go on by their next turn, or end there.
     """
-    members = sequences.select(F.lit("").alias("c"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("head"), "*")
+    # Containers go by the hash of the turns their members share; that of no turn comes first.
+    shared = lambda turns: F.md5(F.substring("path", F.lit(1), turns * ID)).alias("c")
+    members = sequences.select(shared(F.lit(0)), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("head"), "*")
     settled, heads, ended = [], [], []
     while True:
         stats = members.groupBy("c", "depth", "head").agg(
@@ -140,9 +136,8 @@ def _burst(sequences: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | Non
         settled.append(dealt.where("bottom IS NULL").drop("bottom"))
         inner = dealt.where("bottom IS NOT NULL")
         ended.append(inner.where("size(sizes) = bottom").select(F.col("c").alias("id"), "ends"))
-        below = F.md5(F.substring("path", F.lit(1), (F.col("bottom") + 1) * ID))
         members = inner.where("size(sizes) > bottom").select(
-            below.alias("c"), (F.col("bottom") + 1).alias("depth"), F.col("c").alias("head"), *sequences.columns
+            shared(F.col("bottom") + 1), (F.col("bottom") + 1).alias("depth"), F.col("c").alias("head"), *sequences.columns
         )
     both = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
     return both(settled), both(heads), both(ended)

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from annolytics.llm.prefix import partitions_for
 from annolytics.session import scratch_path, settle
 
-NO_LOW, NO_HIGH = -(1 << 63), (1 << 63) - 1
+#: Scores are within 2^62. No score, which is below every window's low end, and the ends of a window that takes all.
+NONE = -(1 << 62)
+NO_LOW, NO_HIGH = NONE + 1, -NONE - 1
 EMPTY = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
 
 
@@ -205,7 +207,7 @@ def hilbert_blocks(rows: DataFrame, total: int, spread: Spread, settings: ZoneSe
 def score_bounds(anchors: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest inner product of each anchor with any vector within each pair of bounds."""
     above, below = np.maximum(anchors, 0), np.minimum(anchors, 0)
-    return above @ low.T + below @ high.T, above @ high.T + below @ low.T
+    return (above @ low.T + below @ high.T).astype(np.int64), (above @ high.T + below @ low.T).astype(np.int64)
 
 
 def blocks_to_read(least: np.ndarray, most: np.ndarray, counts: np.ndarray, lows: np.ndarray, highs: np.ndarray, wanted: int) -> np.ndarray:
@@ -218,12 +220,12 @@ def blocks_to_read(least: np.ndarray, most: np.ndarray, counts: np.ndarray, lows
     for w in range(lows.shape[1]):
         low, high = lows[:, w : w + 1], highs[:, w : w + 1]
         # Blocks that lie in the window whole, the highest first, until they hold enough.
-        whole = np.where((least >= low) & (most <= high) & (least <= most), least, -np.inf)
+        whole = np.where((least >= low) & (most <= high) & (least <= most), least, NONE)
         order = np.argsort(-whole, axis=1, kind="stable")
         ranked = np.take_along_axis(whole, order, axis=1)
-        held = np.cumsum(np.where(np.isneginf(ranked), 0, counts[order]), axis=1)
+        held = np.cumsum(np.where(ranked == NONE, 0, counts[order]), axis=1)
         enough = held >= wanted
-        first = np.where(enough.any(axis=1), ranked[np.arange(len(ranked)), enough.argmax(axis=1)], -np.inf)[:, None]
+        first = np.where(enough.any(axis=1), ranked[np.arange(len(ranked)), enough.argmax(axis=1)], NONE)[:, None]
         need |= (most >= np.maximum(low, first)) & (least <= high) & (low <= high)
     return need
 
@@ -232,8 +234,8 @@ _REQUEST = "anchor bigint, id bigint, label bigint, vector array<bigint>, lows a
 _ASKED = f"shelf int, {_REQUEST}, blocks array<int>"
 
 
-def _windows(batch: pa.RecordBatch, name: str, at: np.ndarray, kind: type) -> np.ndarray:
-    return np.array(batch.column(name).take(pa.array(at)).to_pylist(), dtype=kind)
+def _windows(batch: pa.RecordBatch, name: str, at: np.ndarray) -> np.ndarray:
+    return np.array(batch.column(name).take(pa.array(at)).to_pylist(), dtype=np.int64)
 
 
 def _chosen(same_label: bool, wanted: int, kind: type):
@@ -268,10 +270,10 @@ def _requests(anchors: pa.RecordBatch, zones: list, same_label: bool, wanted: in
             continue
         shelf, block, label, n, low, high = (np.concatenate(c) for c in zip(*fitting))
         least, most = score_bounds(vectors.astype(kind), low, high)
-        lows, highs = (_windows(anchors, c, at, np.float64) for c in ("lows", "highs"))
+        lows, highs = (_windows(anchors, c, at) for c in ("lows", "highs"))
         fits = (labels[at][:, None] == label) == same_label
         # Blocks of no use are never read, and with bounds the wrong way round do not count as enough.
-        need = fits & blocks_to_read(np.where(fits, least, np.inf), np.where(fits, most, -np.inf), n, lows, highs, wanted)
+        need = fits & blocks_to_read(np.where(fits, least, -NONE), np.where(fits, most, NONE), n, lows, highs, wanted)
         row, column = np.nonzero(need)
         order = np.lexsort((block[column], shelf[column], row))
         row, column = row[order], column[order]
@@ -315,9 +317,9 @@ class _Shelf:
         lists = asked.column("blocks").to_pylist()
         for at, vectors in _matrices(asked.column("vector")):
             vectors = vectors.astype(self.kind)
-            lows, highs = (_windows(asked, c, at, np.float64) for c in ("lows", "highs"))
+            lows, highs = (_windows(asked, c, at) for c in ("lows", "highs"))
             n, n_windows = lows.shape
-            best = np.full((n, n_windows, k), -np.inf)
+            best = np.full((n, n_windows, k), NONE)
             names = np.zeros((n, n_windows, k), np.int64)
             wanted: dict[int, list[int]] = {}
             for i, row in enumerate(at):
@@ -325,7 +327,7 @@ class _Shelf:
                     wanted.setdefault(number, []).append(i)
             bounds = {b: score_bounds(vectors[rows], *self.block(b)[2:4]) for b, rows in wanted.items()}
             # The most promising blocks first, so that the later ones may be passed over.
-            for number in sorted(wanted, key=lambda b: -float(bounds[b][1].max())):
+            for number in sorted(wanted, key=lambda b: -int(bounds[b][1].max())):
                 block_ids, block_rows, *_ = self.block(number)
                 rows, (least, most) = np.array(wanted[number]), bounds[number]
                 floor = np.maximum(lows[rows], best[rows, :, -1])
@@ -333,21 +335,21 @@ class _Shelf:
                 rows = rows[open_rows]
                 if not len(rows):
                     continue
-                scores = (vectors[rows] @ block_rows.T).astype(np.float64)
+                scores = (vectors[rows] @ block_rows.T).astype(np.int64)
                 if same_label:
                     self._hide_own(scores, ids[at[rows]], vectors[rows], block_ids, block_rows)
                 for w in range(n_windows):
-                    fits = np.where((scores >= lows[rows, w : w + 1]) & (scores <= highs[rows, w : w + 1]), scores, -np.inf)
+                    fits = np.where((scores >= lows[rows, w : w + 1]) & (scores <= highs[rows, w : w + 1]), scores, NONE)
                     found, places = _top(fits, k)
                     merged = np.concatenate([best[rows, w], found], axis=1)
                     merged_names = np.concatenate([names[rows, w], block_ids[places]], axis=1)
                     order = np.lexsort((merged_names, -merged), axis=1)[:, :k]
                     best[rows, w] = np.take_along_axis(merged, order, axis=1)
                     names[rows, w] = np.take_along_axis(merged_names, order, axis=1)
-            row, window, place = np.nonzero(~np.isneginf(best))
+            row, window, place = np.nonzero(best != NONE)
             anchors = asked.column("anchor").to_numpy()[at[row]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors), pa.array(window, pa.int32()), pa.array(names[row, window, place]), pa.array(best[row, window, place].astype(np.int64))],
+                [pa.array(anchors), pa.array(window, pa.int32()), pa.array(names[row, window, place]), pa.array(best[row, window, place])],
                 ["anchor", "window", "id", "score"],
             )
 
@@ -357,11 +359,11 @@ class _Shelf:
         for i in range(len(ids)):
             for j in range(*np.searchsorted(block_ids, [ids[i], ids[i] + 1])):
                 if np.array_equal(vectors[i], block_rows[j]):
-                    scores[i, j] = -np.inf
+                    scores[i, j] = NONE
 
 
 def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` highest of each row (minus infinity where there are fewer), the first column first among equal ones, and their columns."""
+    """The ``k`` highest of each row (``NONE`` where there are fewer), the first column first among equal ones, and their columns."""
     n = scores.shape[1]
     if n > k:
         # Those above the k-th highest all stay, of those equal to it the first ones.
@@ -374,7 +376,7 @@ def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         places = np.broadcast_to(np.minimum(np.arange(k), max(n - 1, 0)), (len(scores), k))
     found = np.take_along_axis(scores, places, axis=1)
     if n < k:
-        found = np.where(np.arange(k) < n, found, -np.inf)
+        found = np.where(np.arange(k) < n, found, NONE)
     return found, places
 
 
@@ -451,10 +453,11 @@ def mine_negatives(rows: DataFrame, is_anchor: Column, settings: ZoneSettings =
     anchors = rows.where(is_anchor).select(F.xxhash64("id", "label", "vector").alias("anchor"), "id", "label", "vector")
     everything = [F.array(F.lit(x).cast("bigint")).alias(c) for x, c in ((NO_LOW, "lows"), (NO_HIGH, "highs"))]
     positives = search_blocks(blocks, anchors.select("*", *everything), True, settings.positives, kind, settings).drop("window")
-    # Integer arithmetic: percents of scores are exact.
+    # Percents of whole numbers, hundreds and the rest apart, so that nothing overflows.
+    hundreds, rest = "((score - pmod(score, 100)) div 100)", "pmod(score, 100)"
     ends = {
-        "lows": F.expr(f"-((-{settings.low_percent} * score - pmod(-{settings.low_percent} * score, 100)) div 100)"),
-        "highs": F.expr(f"({settings.high_percent} * score - pmod({settings.high_percent} * score, 100)) div 100"),
+        "lows": F.expr(f"{settings.low_percent} * {hundreds} + ({settings.low_percent} * {rest} + 99) div 100"),
+        "highs": F.expr(f"{settings.high_percent} * {hundreds} + {settings.high_percent} * {rest} div 100"),
     }
     windows = positives.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("rank", *[e.alias(c) for c, e in ends.items()]))).alias("w"))
     # Unused windows end before they begin.
