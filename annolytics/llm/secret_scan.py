@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annolytics.session import settle
+
 # The base kinds in their order, and their patterns; letters of ASCII only match in either case.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ASSIGN_VALUE = 6
@@ -150,8 +152,9 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", settings: Nov
     # 63 marks of which m are set stand for about -63 ln(1 - m / 63) lines.
     least = next(m for m in range(1, 64) if m == 63 or 63 * (1 - (1 - 1 / 63) ** settings.lines) <= m)
     common = words.groupBy("word").agg(F.bit_or("marks").alias("marks"), F.sum("lines").alias("lines")).where(F.bit_count("marks") >= least)
-    chosen = common.orderBy(F.col("lines").desc(), "word").limit(settings.identifiers).collect()
-    return "\n".join(row["word"] for row in reversed(chosen)).encode()
+    # Written first: the candidates of all tasks then meet in a task, and only the chosen words in the driver.
+    chosen = settle(common.select("word", "lines").orderBy(F.col("lines").desc(), "word").limit(settings.identifiers), "identifiers").collect()
+    return "\n".join(row["word"] for row in sorted(chosen, key=lambda row: (row["lines"], row["word"]))).encode()
 
 
 FOUND = T.StructType(
