@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annolytics.plans.sizing import broadcast_if_small
 from annolytics.session import settle
 
 KEY = ["project_id", "row_index", "user_id"]
@@ -101,20 +102,14 @@ def merge_into_table(submissions: DataFrame, path: str) -> None:
     """Upsert submissions into a stored table, rewriting only the partitions they touch.
 
     The merged partitions are written to the scratch folder first: the table is being read, and
-    a lost executor must not find it half replaced.
+    a lost executor must not find it half replaced. Partitions are replaced one by one; a store
+    (streaming/store.py) commits a merge at once.
     """
     stored = read_annotations(submissions.sparkSession, path)
-    touched = submissions.select(
-        "project_id", F.floor(F.col("row_index") / ROW_BLOCK).cast("int").alias("row_block")
-    ).distinct()
-    # One row for each partition that is rewritten. As a predicate, other partitions are not opened.
-    projects: dict[str, list[int]] = {}
-    for row in touched.collect():
-        projects.setdefault(row["project_id"], []).append(row["row_block"])
-    hit = F.lit(False)
-    for project, blocks in sorted(projects.items()):
-        hit = hit | ((F.col("project_id") == project) & F.col("row_block").isin(*sorted(blocks)))
-    current = stored.where(hit).drop("row_block")
+    block = F.floor(F.col("row_index") / ROW_BLOCK).cast("int").alias("row_block")
+    # A row for each partition that is rewritten. Partitions it does not name are not opened.
+    touched = settle(submissions.select("project_id", block).distinct(), "touched")
+    current = stored.join(broadcast_if_small(touched), PARTITIONS, "left_semi").drop("row_block")
     write_annotations(settle(annotation_upsert(submissions, current), "merge"), path)
 
 

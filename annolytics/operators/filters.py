@@ -154,12 +154,21 @@ def _equals_number(value: JsonValue, number: float | int) -> Column:
     return value.number == F.lit(float(number))
 
 
+def folded_label_text(value: JsonValue) -> Column:
+    """What ``~=`` looks at in a payload value: its text, A to Z in lower case."""
+    return F.translate(like_text(value), ascii_uppercase, ascii_lowercase)
+
+
+def folded_pattern(value: str) -> str:
+    return value.translate(_FOLD)
+
+
 def label_predicate(value: JsonValue, expr: FilterExpr) -> Column:
     """A typed test on a payload value; a missing or null value never matches."""
     if expr.operator == "~=":
         # Wildcards in the value count, as in LIKE; the case of A to Z does not.
         pattern = "%" + expr.value.replace("\\", "\\\\") + "%"
-        matched = F.translate(like_text(value), ascii_uppercase, ascii_lowercase).like(pattern.translate(_FOLD))
+        matched = folded_label_text(value).like(folded_pattern(pattern))
     elif expr.operator in ("=", "!="):
         literal = typed_literal(expr.value)
         if literal.number is None:

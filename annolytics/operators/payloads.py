@@ -78,20 +78,18 @@ def overlay_fields(annotations: DataFrame) -> DataFrame:
 
 
 def preview_merge(dataset: DataFrame, fields: Sequence[str], annotations: DataFrame) -> DataFrame:
-    """Row fields overlaid with payload fields: ``(row_index, field, value, from_label)``."""
-    names = F.array(*[F.lit(name) for name in fields])
-    values = F.array(*[F.col(name).cast("string") for name in fields])
-    base = dataset.select("row_index", F.explode(F.map_from_arrays(names, values)).alias("field", "value"))
-    latest = latest_fields(annotations).select("row_index", "field", F.col("value").alias("_label"), F.lit(True).alias("_has"))
-    # A label can only bring rows of the dataset, and may add fields the dataset lacks.
-    labels = latest.join(dataset.select("row_index"), "row_index", "left_semi")
-    has_label = F.coalesce("_has", F.lit(False))
-    return base.join(labels, ["row_index", "field"], "full").select(
-        "row_index",
-        "field",
-        F.when(has_label, F.col("_label")).otherwise(F.col("value")).alias("value"),
-        has_label.alias("from_label"),
-    )
+    """Row fields overlaid with payload fields: ``(row_index, field, value, from_label)``.
+
+    A row's fields and its overlay meet as maps, in one join on row_index, and become rows after it. A label can only bring
+    rows of the dataset, and may add fields the dataset lacks.
+    """
+    entry = lambda value, is_label: F.struct(value.alias("value"), F.lit(is_label).alias("from_label"))
+    base = F.map_from_arrays(F.array(*[F.lit(name) for name in fields]), F.array(*[entry(F.col(name).cast("string"), False) for name in fields]))
+    labels = F.transform_values("_overlay", lambda k, v: entry(v, True))
+    own = F.map_filter("_base", lambda k, v: ~F.map_contains_key("_labels", k))
+    joined = dataset.select("row_index", base.alias("_base")).join(overlay_fields(annotations).select("row_index", labels.alias("_labels")), "row_index", "left")
+    merged = F.when(F.col("_labels").isNull(), F.col("_base")).otherwise(F.map_concat(own, "_labels"))
+    return joined.select("row_index", F.explode(merged).alias("field", "_shown")).select("row_index", "field", "_shown.value", "_shown.from_label")
 
 
 # --- text spans ------------------------------------------------------------------------------

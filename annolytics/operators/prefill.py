@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import json
 import signal
+import threading
+import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +34,17 @@ ATTEMPT = "row_index bigint, data string"
 TIMEOUT_SECONDS = 15.0
 
 
+class Calls(NamedTuple):
+    """How a Python model is called: up to ``at_once`` rows of a task side by side, and up to ``attempts`` times for a row on which it
+    raises or takes too long, after pauses of ``pause_seconds`` that double. An answer of none is an answer.
+    """
+
+    timeout_seconds: float = TIMEOUT_SECONDS
+    at_once: int = 1
+    attempts: int = 1
+    pause_seconds: float = 0.5
+
+
 def lexicon_model(
     schema: T.StructType, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS
 ) -> ColumnModel:
@@ -49,20 +64,51 @@ def _give_up(signum, frame):
     raise TimeoutError("the model took too long")
 
 
-def _call(model: PythonModel, row: dict, timeout_seconds: float) -> str | None:
-    """The model's answer as JSON text; null if it has none, fails or takes too long."""
+def _by_alarm(model: PythonModel, row: dict, timeout_seconds: float) -> dict | None:
+    """Call a model in the worker's main thread, and interrupt it by an alarm."""
     before = signal.signal(signal.SIGALRM, _give_up)
     signal.setitimer(signal.ITIMER_REAL, timeout_seconds)
     try:
-        annotation = model(row)
-        return None if annotation is None else json.dumps(annotation)
-    except Exception:  # noqa: BLE001 - whatever a model raises counts as a failed row
-        return None
+        return model(row)
     finally:
         signal.setitimer(signal.ITIMER_REAL, 0)
         signal.signal(signal.SIGALRM, before)
 
 
+def _by_thread(model: PythonModel, row: dict, timeout_seconds: float) -> dict | None:
+    """Call a model in a thread of its own, which is left behind if it takes too long."""
+    found: list = []
+
+    def ask() -> None:
+        try:
+            found.append((model(row), None))
+        except Exception as error:  # noqa: BLE001 - handed on below
+            found.append((None, error))
+
+    thread = threading.Thread(target=ask, daemon=True)
+    thread.start()
+    thread.join(timeout_seconds)
+    if not found:
+        raise TimeoutError("the model took too long")
+    answer, error = found[0]
+    if error is not None:
+        raise error
+    return answer
+
+
+def _call(model: PythonModel, row: dict, calls: Calls) -> str | None:
+    """The model's answer as JSON text; null if it has none, or fails or takes too long at every attempt."""
+    for attempt in range(calls.attempts):
+        if attempt:
+            time.sleep(calls.pause_seconds * 2 ** (attempt - 1))
+        try:
+            annotation = (_by_alarm if calls.at_once == 1 else _by_thread)(model, row, calls.timeout_seconds)
+            return None if annotation is None else json.dumps(annotation)
+        except Exception:  # noqa: BLE001 - whatever a model raises counts as a failed attempt
+            continue
+    return None
+
+
 def _plain(value):
     """Missing numbers as None."""
     return None if isinstance(value, float) and value != value else value
@@ -72,13 +118,13 @@ def run_model(
     rows: DataFrame,
     model: ColumnModel | PythonModel,
     columns: Sequence[str] | None = None,
-    timeout_seconds: float = TIMEOUT_SECONDS,
+    calls: Calls = Calls(),
 ) -> DataFrame:
     """``(row_index, data)`` for every row, ``data`` null where the model failed.
 
     A model sees only ``columns`` of each row. A Python model gets them as Python values, lists
-    and structs included, from Arrow batches, and is given up on a row after ``timeout_seconds``,
-    by an alarm in the worker's main thread; such a row counts as failed.
+    and structs included, from Arrow batches, and is called as ``calls`` says; a row on which it
+    takes too long counts as failed.
     """
     inputs = list(columns or [c for c in rows.columns if c != "row_index"])
     rows = spread_if_small(rows.select("row_index", *inputs))
@@ -87,8 +133,12 @@ def run_model(
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows_in = batch.select(inputs).to_pylist()
-            data = [_call(model, {name: _plain(value) for name, value in row.items()}, timeout_seconds) for row in rows_in]
+            rows_in = [{name: _plain(value) for name, value in row.items()} for row in batch.select(inputs).to_pylist()]
+            if calls.at_once == 1:
+                data = [_call(model, row, calls) for row in rows_in]
+            else:
+                with ThreadPoolExecutor(calls.at_once) as pool:
+                    data = list(pool.map(lambda row: _call(model, row, calls), rows_in))
             yield pa.RecordBatch.from_arrays([batch.column("row_index"), pa.array(data, pa.string())], ["row_index", "data"])
 
     return rows.mapInArrow(predict, ATTEMPT)

@@ -1,9 +1,8 @@
-"""A stream of submissions, upserted.
+"""A stream of submissions, upserted into a store of project tables.
 
-Each micro-batch is folded to one row per key and appended to a log, in a folder of its own that
-a replay of the batch overwrites. Reading folds the log. First time, last time and last payload
-can be combined in any order and any grouping, so late and repeated data need no watermark, no
-state store grows with the table, and no batch rewrites it.
+Each micro-batch is folded to one row per key and committed once; a replay of it changes nothing, and neither does the
+same data under other batch numbers, as first time, last time and last payload can be combined in any order and any
+grouping. So late and repeated data need no watermark, no state store grows with the table, and no batch rewrites it.
 """
 
 from __future__ import annotations
@@ -11,37 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from annolytics.operators.annotations import fold_submissions, merge_states, state_rows
+from annolytics.streaming.store import FAN_IN, ProjectStore
 
-LOG_SCHEMA = (
-    "project_id string, row_index bigint, user_id string, created_at timestamp_ntz, "
-    "last struct<ts:timestamp_ntz,event_id:bigint,data:string>"
-)
 
+def stream_upsert(submissions: DataFrame, root: str, checkpoint: str, available_now: bool = False, fan_in: int = FAN_IN) -> StreamingQuery:
+    """Start upserting a stream into the annotations of the store at ``root``. ``available_now`` stops when the input is used up.
 
-def stream_upsert(submissions: DataFrame, log: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Start upserting a stream into ``log``. ``available_now`` stops when the input is used up."""
+    After a commit, folders are merged where there are enough of them: the stream needs no stop, and readers go on.
+    """
+    store = ProjectStore(submissions.sparkSession, root, fan_in)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        fold_submissions(batch).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        store.upsert({"annotations": batch}, stream=checkpoint, batch=batch_id)
+        store.compact("annotations")
 
     writer = submissions.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _read_parts(spark: SparkSession, log: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).option("basePath", log).parquet(f"{log}/batch=*")
-
-
-def read_log(spark: SparkSession, log: str) -> DataFrame:
-    """The annotation table a log stands for."""
-    return state_rows(merge_states(_read_parts(spark, log)))
-
-
-def compact_log(spark: SparkSession, log: str, target: str) -> None:
-    """Fold a log into one batch of a new log, which then takes the stream's further batches.
-
-    Stop the stream first and restart it on ``target`` with its checkpoint: batch numbers go on
-    from there, and the folded batch is -1.
-    """
-    merge_states(_read_parts(spark, log)).write.parquet(f"{target}/batch=-1")
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    """The annotation table that has been streamed to ``root``."""
+    return ProjectStore(spark, root).read("annotations")

@@ -14,6 +14,7 @@ from annolytics.operators.browse import distinct_rows, filter_rows, intersect_ro
 from annolytics.operators.filters import FilterExpr
 from annolytics.operators.projects import search_catalog, search_projects
 from annolytics.session import settle
+from annolytics.sources.grams import GramSettings, narrowed, open_grams, store_with_grams
 from workload import fixtures as fx
 from workload.registry import plain, query
 
@@ -278,6 +279,57 @@ register_cases(
 
 
 
+def stored_with_grams(spark, sf, name, rows, fields):
+    """A table stored by small blocks with n-gram filters, once per session."""
+    path = fx.stored(spark, sf, name, lambda p: store_with_grams(rows(), p, fields, GramSettings(block=128, bits=1 << 18)))
+    return open_grams(spark, path)
+
+
+_RARE = "(SELECT substr(text, 200, 24) FROM documents WHERE doc_id=77)"
+
+
+@query(
+    "gram_data_contains",
+    f"""SELECT 'rare' AS case_name, row_index FROM dataset WHERE contains(text, {_RARE})
+        UNION ALL SELECT 'common', row_index FROM dataset WHERE contains(text, 'the ')
+        UNION ALL SELECT 'short', row_index FROM dataset WHERE contains(text, '%')
+        UNION ALL SELECT 'both', row_index FROM dataset WHERE contains(text, {_RARE}) AND contains(text, 'nd')""",
+)
+def gram_data_contains(spark, sf):
+    """Texts found through the filter; the rare one is a passage of a document."""
+    table = stored_with_grams(spark, sf, "dataset-grams", lambda: fx.dataset(spark, sf), ["data.text"])
+    rare = fx.dataset(spark, sf).where("row_index = 77").select(F.substring("text", 200, 24)).first()[0]
+    cases = {"rare": [rare], "common": ["the "], "short": ["%"], "both": [rare, "nd"]}
+    parts = []
+    for case, values in cases.items():
+        exprs = [FilterExpr("data.text", "~=", value) for value in values]
+        found = filter_rows(narrowed(table, exprs), fx.project_rows(spark, sf), exprs, fx.ME, fx.NOW)
+        parts.append(found.select(F.lit(case).alias("case_name"), "row_index"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "gram_label_contains",
+    " UNION ALL ".join(
+        f"SELECT '{case}' AS case_name, d.row_index FROM dataset d WHERE {some(condition)}"
+        for case, condition in (
+            ("case", "(a.data::json->>'$.label') ILIKE '%LICK%'"),
+            ("wildcard", "(a.data::json->>'$.label') ILIKE '%pur_has%'"),
+            ("short", "(a.data::json->>'$.label') ILIKE '%ic%'"),
+            ("missing", "(a.data::json->>'$.label') ILIKE '%nobody%'"),
+        )
+    ),
+)
+def gram_label_contains(spark, sf):
+    table = stored_with_grams(spark, sf, "label-grams", lambda: fx.project_rows(spark, sf), ["annotation.label"])
+    parts = []
+    for case, value in (("case", "LICK"), ("wildcard", "pur_has"), ("short", "ic"), ("missing", "nobody")):
+        expr = FilterExpr("annotation.label", "~=", value)
+        found = filter_rows(fx.dataset(spark, sf), narrowed(table, [expr]), [expr], fx.ME, fx.NOW)
+        parts.append(found.select(F.lit(case).alias("case_name"), "row_index"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def register_bitmaps(name: str, of: str) -> None:
     """The cases of a query of filters, found by bitmaps: each with its rows, and the total counted in bits."""
     cases, load, with_or = FILTER_CASES[of]

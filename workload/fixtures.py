@@ -54,7 +54,7 @@ def submissions(spark: SparkSession, sf: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def _stored(spark: SparkSession, sf: str, name: str, write) -> str:
+def stored(spark: SparkSession, sf: str, name: str, write) -> str:
     """The path of a table that is written once per session, as a project's tables are."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
@@ -66,7 +66,7 @@ def _stored(spark: SparkSession, sf: str, name: str, write) -> str:
 
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     """The annotation table."""
-    path = _stored(spark, sf, "annotations", lambda p: write_annotations(annotation_upsert(submissions(spark, sf)), p))
+    path = stored(spark, sf, "annotations", lambda p: write_annotations(annotation_upsert(submissions(spark, sf)), p))
     return read_annotations(spark, path).drop("row_block")
 
 
@@ -111,7 +111,7 @@ def _project_rows(spark: SparkSession, sf: str) -> DataFrame:
 def projects(spark: SparkSession, sf: str) -> DataFrame:
     """The project table."""
     rows = _project_rows(spark, sf)
-    path = _stored(spark, sf, "projects", rows.write.parquet)
+    path = stored(spark, sf, "projects", rows.write.parquet)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -139,7 +139,7 @@ def _quality_labels(labels: DataFrame) -> DataFrame:
 def ml_annotations(spark: SparkSession, sf: str) -> DataFrame:
     """The model annotation table: the labels, which cover some of the documents."""
     rows = _quality_labels(table(spark, sf, "labels"))
-    path = _stored(spark, sf, "ml_annotations", rows.write.parquet)
+    path = stored(spark, sf, "ml_annotations", rows.write.parquet)
     return spark.read.schema(rows.schema).parquet(path)
 
 

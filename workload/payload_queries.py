@@ -13,6 +13,8 @@ from annolytics.operators import payloads as pl
 from annolytics.operators import prefill as pf
 from annolytics.plans.ranking import blocked_positions
 from annolytics.session import scratch_path
+from annolytics.streaming.prefill_job import run_prefill_job
+from annolytics.streaming.store import ProjectStore
 from workload import fixtures as fx
 from workload.registry import query
 
@@ -280,6 +282,24 @@ def prefill_lookup(spark, sf):
     return pf.prefill_lookup(fx.submissions(spark, sf), rows, fx.ml_annotations(spark, sf), _model(rows), "fresh")
 
 
+@query(
+    "prefill_job",
+    f"""SELECT row_index, data, (SELECT count(*) FROM ({_MARKS}) WHERE ok) AS succeeded, (SELECT count(*) FROM ({_MARKS}) WHERE NOT ok) AS failed
+        FROM ({_MARKS}) WHERE ok""",
+)
+def prefill_job(spark, sf):
+    """A job in several batches, called again when it is done."""
+    store, job = ProjectStore(spark, scratch_path(spark, "store")), scratch_path(spark, "job")
+    made = {"ts": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "event_id": F.lit(0).cast("bigint")}
+    store.upsert({"ml_annotations": fx.ml_annotations(spark, sf).withColumns(made)})
+    for _ in range(2):
+        summary = run_prefill_job(
+            fx.dataset(spark, sf), store, count_marks, fx.PROJECT, "marks", fx.NOW, job, columns=["text", "lang"], calls=pf.Calls(at_once=4), file_rows=200, batch_files=4
+        ).first()
+    counts = [F.lit(summary[name]).cast("bigint").alias(name) for name in ("succeeded", "failed")]
+    return store.read("ml_annotations").where("annotator = 'marks'").select("row_index", "data", *counts)
+
+
 @query(
     "prefill_stored",
     f"""SELECT row_index, annotator, data FROM ml_annotations

@@ -11,6 +11,8 @@ from annolytics.operators import annotations as an
 from annolytics.operators import checks as ck
 from annolytics.operators.projects import project_patch
 from annolytics.session import scratch_path
+from annolytics.streaming.progress import live_progress, read_progress
+from annolytics.streaming.store import ProjectStore
 from annolytics.streaming.submissions import read_log, stream_upsert
 from workload import fixtures as fx
 from workload.registry import plain, query
@@ -38,6 +40,48 @@ def annotation_table_merge(spark, sf):
     return plain(an.read_annotations(spark, path).drop("row_block"))
 
 
+@query("store_upsert", _ALL)
+def store_upsert(spark, sf):
+    """Six commits to a store, whose folders are merged by twos."""
+    rows, store = fx.submissions(spark, sf), ProjectStore(spark, scratch_path(spark, "store"), fan_in=2)
+    for part in range(6):
+        store.upsert({"annotations": rows.where(F.pmod(F.xxhash64("event_id"), F.lit(6)) == part)})
+    store.compact("annotations")
+    return plain(store.read("annotations"))
+
+
+@query(
+    "store_delete",
+    """SELECT 'annotations' AS table_name, project_id, count(*) AS n FROM annotations WHERE project_id <> 'p1' GROUP BY 2
+       UNION ALL SELECT 'annotations', project_id, count(DISTINCT (row_index, user_id)) FROM submissions WHERE project_id='p1' AND ts >= TIMESTAMP '2024-01-10' GROUP BY 2
+       UNION ALL SELECT 'ml_annotations', project_id, count(DISTINCT row_index) FROM submissions WHERE project_id<>'p1' GROUP BY 2
+       UNION ALL SELECT 'permissions', project_id, count(*) FROM permissions WHERE project_id<>'p1' GROUP BY 2
+       UNION ALL SELECT 'projects', project_id, 1 FROM projects WHERE project_id<>'p1'""",
+)
+def store_delete(spark, sf):
+    """A project deleted from all tables in one commit, and annotated again after it."""
+    store = ProjectStore(spark, scratch_path(spark, "store"), fan_in=2)
+    rows, made = fx.submissions(spark, sf), {"ts": F.lit(fx.NOW).cast("timestamp_ntz"), "event_id": F.lit(0).cast("bigint")}
+    store.upsert(
+        {
+            "annotations": rows.where(EARLY),
+            "ml_annotations": rows.withColumn("annotator", F.lit("m")),
+            "permissions": fx.permissions(spark, sf).withColumns(made),
+            "projects": fx.projects(spark, sf).withColumns(made),
+        }
+    )
+    store.upsert({"annotations": rows.where(LATE).where("project_id <> 'p1'")})
+    store.delete_projects(fx.projects(spark, sf).where("project_id = 'p1'"))
+    store.upsert({"annotations": rows.where(LATE).where("project_id = 'p1'")})
+    store.compact("annotations")
+    snapshot = store.snapshot()
+    counts = [
+        store.read(name, snapshot).groupBy("project_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "project_id", "n")
+        for name in ("annotations", "ml_annotations", "permissions", "projects")
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query(
     "ml_upsert",
     f"""WITH s AS (SELECT 'p0' AS project_id, row_index, 'm'||(event_id%4) AS annotator, data, ts, event_id FROM submissions),
@@ -109,6 +153,28 @@ def streamed(spark, sf):
     return plain(read_log(spark, log))
 
 
+def _streamed_counts(spark, sf):
+    """The store of a stream that meets every file twice, in batches of three."""
+    source, root = scratch_path(spark, "incoming"), scratch_path(spark, "progress")
+    events = fx.table(spark, sf, "events")
+    for _ in range(2):
+        events.repartition(3, "event_id").write.mode("append").parquet(source)
+    incoming = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    rows = fx.submission_rows(incoming)
+    live_progress(rows, root, scratch_path(spark, "checkpoint"), available_now=True, fan_in=2).awaitTermination()
+    return root
+
+
+@query(
+    "live_progress",
+    """SELECT project_id, count(DISTINCT row_index) AS annotated_rows,
+         count(DISTINCT CASE WHEN user_id='u7' THEN row_index END) AS annotated_by_me, count(*) AS total_annotations
+       FROM annotations GROUP BY project_id""",
+)
+def streamed_progress(spark, sf):
+    return read_progress(spark, _streamed_counts(spark, sf), fx.ME)
+
+
 # --- checks ----------------------------------------------------------------------------------
 
 
