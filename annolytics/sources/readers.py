@@ -117,7 +117,12 @@ def _inferred_csv(spark: SparkSession, path: str | Sequence[str], records: DataF
 
 
 def scan_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: Schema = None, line_breaks: bool = True, row_index: bool = False
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: Schema = None,
+    line_breaks: bool = True,
+    row_index: bool = False,
+    file_col: str | None = None,
 ) -> DataFrame:
     """CSV with a header, also with line breaks inside quotes. Dates and times stay text; blank lines are skipped.
 
@@ -126,7 +131,7 @@ def scan_csv(
     with line breaks inside quotes begin; these records are stored as text and read by Spark's
     own parser, and other files are read as they are. Unbalanced quotes are an error naming the
     file. ``line_breaks=False`` vouches that there are none inside quotes and spares that scan.
-    ``row_index`` adds each row's number in file order.
+    ``row_index`` adds each row's number in file order, and then ``file_col`` the address of its file.
     """
     reader, schema = spark.read.options(header=True, escape='"'), _struct(schema)
     found = csv_breaks(spark, path) if line_breaks else None
@@ -134,7 +139,7 @@ def scan_csv(
         if schema is None:
             schema = _demote_times(reader.option("inferSchema", True).csv(path).schema)
         df = reader.schema(schema).csv(path)
-        return with_row_index(df) if row_index else df
+        return with_row_index(df, file_col) if row_index else df
     # Numbers and inferred types are of all files together; else those without breaks are left to Spark's own splits.
     together = row_index or schema is None
     records = csv_records(text_lines(spark, found.broken + found.plain if together else found.broken), found.splits)
@@ -143,13 +148,13 @@ def scan_csv(
     parsed = records.withColumn("_row", F.from_csv("record", schema.toDDL(), {"escape": '"'}))
     columns = [F.col("_row")[f.name].alias(f.name) for f in schema.fields]
     if row_index:
-        return numbered(parsed, columns)
+        return numbered(parsed, columns + _file(file_col))
     df = parsed.select(*columns)
     return df if together or not found.plain else df.unionByName(reader.schema(schema).csv([reader_path(f) for f in found.plain]))
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def scan_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    return spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -207,7 +212,11 @@ def json_shapes(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[st
     return [f for f, yes in zip(files, told) if yes], [f for f, yes in zip(files, told) if not yes]
 
 
-def _json_documents(spark: SparkSession, files: Sequence[str], schema: Schema, row_index: bool) -> DataFrame:
+def _file(file_col: str | None) -> list[Column]:
+    return [F.col("file").alias(file_col)] if file_col else []
+
+
+def _json_documents(spark: SparkSession, files: Sequence[str], schema: Schema, row_index: bool, file_col: str | None = None) -> DataFrame:
     """Files of any JSON values, each a record, or an array of records, split over tasks anywhere between lines."""
     lines = text_lines(spark, files)
     splits = json_splits(lines)
@@ -225,40 +234,58 @@ def _json_documents(spark: SparkSession, files: Sequence[str], schema: Schema, r
     in_array = F.from_json(F.concat(F.lit("["), "record", F.lit("]")), T.ArrayType(schema), strict)
     parsed = checked.withColumn("_row", in_array[0])
     columns = [F.col("_row")[f.name].alias(f.name) for f in schema.fields]
-    return numbered(parsed, columns) if row_index else parsed.select(*columns)
+    return numbered(parsed, columns + _file(file_col)) if row_index else parsed.select(*columns)
 
 
-def scan_json(spark: SparkSession, path: str | Sequence[str], schema: Schema = None, lines: bool = True, row_index: bool = False) -> DataFrame:
+def scan_json(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: Schema = None,
+    lines: bool = True,
+    row_index: bool = False,
+    file_col: str | None = None,
+) -> DataFrame:
     """JSON lines, or with ``lines`` off files of values over any number of lines. A record that is no JSON is an error.
 
-    Either is split over tasks anywhere between lines; a value, and a line, must fit a row. ``row_index`` adds each row's number in file order.
+    Either is split over tasks anywhere between lines; a value, and a line, must fit a row. ``row_index`` adds each row's number in file order, and then ``file_col`` the address of its file.
     """
     if not lines:
-        return _json_documents(spark, file_paths(spark, path), schema, row_index)
+        return _json_documents(spark, file_paths(spark, path), schema, row_index, file_col)
     reader = spark.read.option("mode", "FAILFAST")
     df = (reader.schema(schema) if schema is not None else reader).json(path)
-    return with_row_index(df) if row_index else df
+    return with_row_index(df, file_col) if row_index else df
 
 
-def scan_json_files(spark: SparkSession, path: str | Sequence[str], schema: Schema = None, row_index: bool = False) -> DataFrame:
+def scan_json_files(
+    spark: SparkSession, path: str | Sequence[str], schema: Schema = None, row_index: bool = False, file_col: str | None = None
+) -> DataFrame:
     """JSON files under a path, each read by its own shape. Columns that some files lack are null there."""
     lines, documents = json_shapes(spark, path)
     if not documents:
-        return scan_json(spark, path, schema, row_index=row_index)
+        return scan_json(spark, path, schema, row_index=row_index, file_col=file_col)
     if row_index:
         # Lines are values too, and numbers are of all files together.
-        return _json_documents(spark, lines + documents, schema, True)
+        return _json_documents(spark, lines + documents, schema, True, file_col)
     df = _json_documents(spark, documents, schema, False)
     return scan_json(spark, [reader_path(f) for f in lines], schema).unionByName(df, allowMissingColumns=True) if lines else df
 
 
-def _scan(spark: SparkSession, path: str, ext: str, schema: Schema, line_breaks: bool, row_index: bool) -> DataFrame:
+def scan_source(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    ext: str,
+    schema: Schema = None,
+    line_breaks: bool = True,
+    row_index: bool = False,
+    file_col: str | None = None,
+) -> DataFrame:
+    """Files of a known format; see scan_csv for the arguments."""
     if ext == "csv":
-        return scan_csv(spark, path, schema, line_breaks, row_index)
+        return scan_csv(spark, path, schema, line_breaks, row_index, file_col)
     if ext == "parquet":
         df = scan_parquet(spark, path)
-        return with_row_index_parquet(df) if row_index else df
-    return (scan_json if ext == "jsonl" else scan_json_files)(spark, path, schema, row_index=row_index)
+        return with_row_index_parquet(df, file_col) if row_index else df
+    return (scan_json if ext == "jsonl" else scan_json_files)(spark, path, schema, row_index=row_index, file_col=file_col)
 
 
 def _suffix(path: str) -> str:
@@ -266,13 +293,8 @@ def _suffix(path: str) -> str:
     return name.rsplit(".", 1)[-1] if "." in name.lstrip(".") else ""
 
 
-def load_dataset(
-    spark: SparkSession, source: str, schema: Schema = None, line_breaks: bool = True, row_index: bool = False
-) -> DataFrame:
-    """A dataset from a ``file://`` source or a path: a file, a directory or a glob.
-
-    ``schema`` and ``line_breaks`` are as for scan_csv; JSON takes the schema too. ``row_index`` adds each row's number in file order.
-    """
+def resolve_source(spark: SparkSession, source: str) -> tuple[str, str]:
+    """The path or pattern of a source's files, and their extension: of a ``file://`` source or a path, a file, a directory or a glob."""
     if source.startswith(("http://", "https://")):
         raise SourceError(f"stage {source} on a file system the executors can read")
     path = source[len("file://") :] if source.startswith("file://") else source
@@ -289,4 +311,13 @@ def load_dataset(
         ext = _suffix(path)
     if ext not in FORMATS:
         raise SourceError(f"Unsupported format: .{ext}. {SUPPORTED}")
-    return _scan(spark, path, ext, schema, line_breaks, row_index)
+    return path, ext
+
+
+def load_dataset(spark: SparkSession, source: str, schema: Schema = None, line_breaks: bool = True, row_index: bool = False) -> DataFrame:
+    """A dataset from a ``file://`` source or a path: a file, a directory or a glob.
+
+    ``schema`` and ``line_breaks`` are as for scan_csv; JSON takes the schema too. ``row_index`` adds each row's number in file order.
+    """
+    path, ext = resolve_source(spark, source)
+    return scan_source(spark, path, ext, schema, line_breaks, row_index)

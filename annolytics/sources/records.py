@@ -87,7 +87,7 @@ def whole_records(parts: DataFrame) -> DataFrame:
     return parts.where("piece IS NULL").drop("piece").unionByName(joined)
 
 
-def numbered(records: DataFrame, columns: Sequence[str]) -> DataFrame:
+def numbered(records: DataFrame, columns: Sequence[Column]) -> DataFrame:
     """Add ``row_index`` in file order: a count per split, summed up in order, and the record's place in its split."""
     before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
     counted = settle(records.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("place").alias("first")), "record-counts")

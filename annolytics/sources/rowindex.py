@@ -30,8 +30,12 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set(key, spark.sparkContext.defaultParallelism)
 
 
-def with_row_index(df: DataFrame) -> DataFrame:
-    """Add ``row_index`` to a file scan of any format.
+def _kept(df: DataFrame, file_col: str | None) -> list[str | Column]:
+    return [*df.columns, *([F.col("_file").alias(file_col)] if file_col else [])]
+
+
+def with_row_index(df: DataFrame, file_col: str | None = None) -> DataFrame:
+    """Add ``row_index`` to a file scan of any format, and with ``file_col`` the address of each row's file.
 
     ``df`` comes straight from a reader. ``monotonically_increasing_id`` counts up within a split,
     so its distance from the split's first id is the row's place there. Both passes must cut the
@@ -48,19 +52,19 @@ def with_row_index(df: DataFrame) -> DataFrame:
     known = F.coalesce("_offset", F.raise_error(F.lit("files were cut differently than when counted")).cast("bigint"))
     return (
         base.join(_offsets(counted, "_file", "_start"), ["_file", "_start"], "left")
-        .select((known + F.col("_id") - F.col("_first")).cast("bigint").alias("row_index"), *df.columns)
+        .select((known + F.col("_id") - F.col("_first")).cast("bigint").alias("row_index"), *_kept(df, file_col))
     )
 
 
-def with_row_index_parquet(df: DataFrame) -> DataFrame:
-    """Add ``row_index`` to a Parquet scan, whose rows know their place in the file.
+def with_row_index_parquet(df: DataFrame, file_col: str | None = None) -> DataFrame:
+    """Add ``row_index`` to a Parquet scan, whose rows know their place in the file, and with ``file_col`` its address.
 
     The first pass counts rows per file and reads no column.
     """
     base = df.withColumns({"_file": F.col("_metadata.file_path"), "_place": F.col("_metadata.row_index")})
     counted = df.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count("*").alias("_n"))
     return base.join(_offsets(counted, "_file"), "_file").select(
-        (F.col("_offset") + F.col("_place")).cast("bigint").alias("row_index"), *df.columns
+        (F.col("_offset") + F.col("_place")).cast("bigint").alias("row_index"), *_kept(df, file_col)
     )
 
 

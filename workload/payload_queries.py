@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from annolytics.functions import text as tx
 from annolytics.operators import payloads as pl
 from annolytics.operators import prefill as pf
+from annolytics.operators.pyramid import pyramid_envelope, write_pyramid
 from annolytics.plans.ranking import blocked_positions
 from annolytics.session import scratch_path
 from annolytics.streaming.prefill_job import run_prefill_job
@@ -147,6 +148,42 @@ def peak_envelope(spark, sf):
     return pl.peak_envelope(blocked_positions(events, ["clip"], "event_id"), "clip", "position", "value")
 
 
+_SAMPLES = """s AS (SELECT event_type AS clip, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id)-1 AS p FROM events),
+  n AS (SELECT clip, count(*) AS n FROM s GROUP BY 1)"""
+
+
+def _pyramid(spark, sf):
+    """The pyramid of all clips, stored once per session."""
+    events = fx.table(spark, sf, "events").select(F.col("event_type").alias("clip"), "event_id", "value")
+    placed = lambda: blocked_positions(events, ["clip"], "event_id")
+    return fx.stored(spark, sf, "pyramid", lambda path: write_pyramid(placed(), "clip", "position", "value", path))
+
+
+@query(
+    "peak_pyramid",
+    f"""WITH {_SAMPLES}, w AS (SELECT clip, n//300 AS width FROM n)
+       SELECT w.clip AS clip, t.bar::int AS bar, coalesce(max(abs(value)),0) AS peak FROM w CROSS JOIN range(300) t(bar)
+         LEFT JOIN s ON s.clip=w.clip AND p>=t.bar*width AND p<(t.bar+1)*width GROUP BY 1,2""",
+)
+def peak_pyramid(spark, sf):
+    return pyramid_envelope(spark, _pyramid(spark, sf), "clip", T.StringType()).select("clip", "bar", "peak")
+
+
+@query(
+    "peak_zoom",
+    f"""WITH {_SAMPLES}, r AS (SELECT clip, z AS lo, least(z + 3*z + 41, n) AS hi FROM n CROSS JOIN (SELECT unnest([0, 10, 77, 300]) AS z)),
+       w AS (SELECT *, greatest(hi-lo, 0)//20 AS width FROM r)
+       SELECT w.clip AS clip, lo AS start, hi AS "end", t.bar::int AS bar, coalesce(max(abs(value)),0) AS peak FROM w CROSS JOIN range(20) t(bar)
+         LEFT JOIN s ON s.clip=w.clip AND p>=lo+t.bar*width AND p<lo+(t.bar+1)*width GROUP BY 1,2,3,4""",
+)
+def peak_zoom(spark, sf):
+    """Twenty bars of four ranges of every clip."""
+    clips = fx.table(spark, sf, "events").select(F.col("event_type").alias("clip")).distinct()
+    start = F.explode(F.array(*[F.lit(z) for z in (0, 10, 77, 300)]))
+    ranges = clips.select("clip", start.alias("start")).withColumn("end", F.col("start") * 4 + 41)
+    return pyramid_envelope(spark, _pyramid(spark, sf), "clip", T.StringType(), 20, ranges)
+
+
 @query(
     "peak_envelope_array",
     """SELECT vec_id, bar::int AS bar, list_max(list_transform(embedding[bar*6+1:bar*6+6], lambda v: abs(v::double))) AS peak

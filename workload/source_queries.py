@@ -8,6 +8,7 @@ from annolytics.session import scratch_path
 from annolytics.sources.catalog import catalog_list, profile_all, seed_users
 from annolytics.sources.export import export_annotations
 from annolytics.sources.readers import detect_source, load_dataset, scan_csv, scan_json, scan_parquet
+from annolytics.sources.ledger import ingest_files, read_ingested
 from annolytics.sources.rowindex import ingest, with_row_index
 from annolytics.operators.projects import role_map
 from workload import fixtures as fx
@@ -163,6 +164,18 @@ def row_index_json(spark, sf):
     return rows.select("row_index", "id", "lang", F.md5("text").alias("text_md5"))
 
 
+@query("row_index_ledger", "SELECT row_number() OVER (ORDER BY doc_id % 3 = 1, doc_id) - 1 AS row_index, doc_id, lang FROM documents")
+def row_index_ledger(spark, sf):
+    """Files in two steps: the second step's sort before some of the first, and are numbered after them."""
+    source, stored = scratch_path(spark, "growing"), scratch_path(spark, "ingested")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    for second in (False, True):
+        part = docs.where((F.col("doc_id") % 3 == 1) == second)
+        part.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.mode("append").json(source)
+        ingest_files(spark, f"{source}/*.json", stored, docs.schema)
+    return read_ingested(spark, stored).select("row_index", "doc_id", "lang")
+
+
 @query("row_index_parquet", "SELECT o_orderkey AS row_index, o_orderkey, o_custkey FROM orders")
 def row_index_parquet(spark, sf):
     raw, stored = scratch_path(spark, "raw"), scratch_path(spark, "stored")
