@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annolytics.llm import masked_lm as lm
 from annolytics.llm import rp_forest as rf
-from annolytics.llm.preference import format_preferences, pair_conversations
+from annolytics.llm.preference import forked_preferences, format_preferences, pair_conversations
 from annolytics.llm.warc import members_in, page_id_of, read_warc, record_member, write_warc
 from annolytics.session import scratch_path
 
@@ -208,3 +208,45 @@ def test_pairs_link_all_conversations_in_a_line(spark):
     hot = [r for r in pairs if r.chosen % 3 and r.rejected % 3]
     assert len(hot) == 399
     assert pair_conversations(turns.where("conv_id < 0")).count() == 0
+
+
+def plain_forks(rows):
+    """Chosen and rejected turns of each example, from lists."""
+    talks = {}
+    for conv, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
+        talks.setdefault(conv, []).append((role, text))
+    forks = {c: max((i for i, t in enumerate(ts) if t[0] == "assistant"), default=None) for c, ts in talks.items()}
+    order = sorted((c for c in talks if forks[c] is not None), key=lambda c: hashlib.md5(str(c).encode()).hexdigest())
+    out = {}
+    for c, other in zip(order, order[1:]):
+        rejected = talks[c][: forks[c]] + talks[other][forks[other] :]
+        if forks[c] and rejected != talks[c]:
+            out[c] = (other, talks[c], rejected)
+    return out
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_forks_share_a_prompt(spark, text_ids):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}" if c % 3 else f"hot {t}") for c in range(150) for t in range(1 + c % 6)]
+    rows += [(900, 0, "assistant", "alone"), (901, 0, None, None), (901, 1, "assistant", None), (902, None, "user", ""), (902, 3, "assistant", "x"), (902, 3, "assistant", "x")]
+    rows = [(f"id {c}" if text_ids else c, *r) for c, *r in rows] + [(None, 0, "user", "nobody")]
+    turns = spark.createDataFrame(rows, f"conv_id {'string' if text_ids else 'bigint'}, turn bigint, role string, text string")
+    got = {r.pair_id: r for r in forked_preferences(turns.repartition(7)).collect()}
+    want = plain_forks(rows)
+    assert set(got) == set(want) and len(want) > 100
+    show = lambda ts: "".join(f"<|{role or ''}|>\n{text or ''}\n" for role, text in ts)
+    for c, (other, chosen, rejected) in want.items():
+        r = got[c]
+        k = next((i for i, (a, b) in enumerate(zip(chosen, rejected)) if a != b), min(len(chosen), len(rejected)))
+        assert (r.chosen, r.rejected, r.prompt_turns, r.prompt) == (c, other, k, show(chosen[:k]))
+        assert (r.chosen_text, r.rejected_text) == (show(chosen[k:]), show(rejected[k:])) and k > 0
+        for text, mask, part in ((r.chosen_text, r.chosen_mask, chosen[k:]), (r.rejected_text, r.rejected_mask, rejected[k:])):
+            assert [text[m.start : m.end] for m in mask] == [f"{t or ''}\n" for role, t in part if role == "assistant"]
+
+
+def test_most_examples_of_the_table_have_all_parts(spark):
+    examples = forked_preferences(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    whole = examples.where("prompt_turns > 0 AND chosen_turns > 0 AND rejected_turns > 0").count()
+    assert whole >= 0.9 * examples.count() > 0
+    empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert forked_preferences(empty).count() == 0 and format_preferences(empty, spark.createDataFrame([], "pair_id bigint, chosen bigint, rejected bigint")).count() == 0
