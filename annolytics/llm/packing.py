@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annolytics.llm.token_ids import PieceIds, ended_ids
+from annolytics.llm.token_ids import PieceIds
 from annolytics.llm.words import chunks
 
 
 class PackLimits(NamedTuple):
-    """What a sequence may hold: tokens, segments, and tokens that bear loss.
+    """What a sequence may hold: tokens, segments, and tokens that bear loss. All three hold for every sequence.
 
     ``block`` is the number of pieces that are packed together. A sequence that is less than
     ``least_fill`` full is cut into sequences whose lengths are powers of two, which need no padding.
@@ -73,14 +73,23 @@ def powers_of_two(total: int) -> list[int]:
 
 
 class _Piece(NamedTuple):
-    """Part of a document: a row of rests, its first id and ids, the loss-bearing share, and the document's number of ids."""
+    """Part of a document: a row of rests, its first id and ids, which of these bear loss (all, if not told), and the document's number of ids."""
 
     rest: pa.StructArray
     start: int
     ids: np.ndarray
-    loss: int
+    mask: np.ndarray | None
     doc_tokens: int
 
+    @property
+    def loss(self) -> int:
+        return len(self.ids) if self.mask is None else int(self.mask.sum())
+
+    def part(self, start: int, end: int) -> _Piece:
+        """The ids from ``start`` to ``end``, with the loss that falls on them."""
+        mask = None if self.mask is None else self.mask[start:end]
+        return self._replace(start=self.start + start, ids=self.ids[start:end], mask=mask)
+
 
 PIECE = [
     ("start", T.LongType()),
@@ -89,6 +98,7 @@ PIECE = [
     ("doc_tokens", T.LongType()),
     ("sequence_id", T.LongType()),
     ("offset", T.LongType()),
+    ("loss_tokens", T.LongType()),
 ]
 
 
@@ -100,13 +110,30 @@ class _Packer:
         self.waiting: list[_Piece] = []
         self.out: list[tuple[_Piece, int, int]] = []
 
-    def add(self, piece: _Piece) -> None:
-        if len(piece.ids) == self.limits.tokens:
-            self.close([piece])
-        else:
-            self.waiting.append(piece)
-            if len(self.waiting) >= self.limits.block:
-                self.pack(last=False)
+    def add(self, document: _Piece) -> None:
+        """Cut a document into pieces that fit a sequence by tokens and loss; whole sequences are closed, other pieces wait."""
+        for piece in self.fitting(document):
+            if len(piece.ids) == self.limits.tokens:
+                self.close([piece])
+            else:
+                self.waiting.append(piece)
+                if len(self.waiting) >= self.limits.block:
+                    self.pack(last=False)
+
+    def fitting(self, document: _Piece) -> Iterator[_Piece]:
+        n, limits = len(document.ids), self.limits
+        if document.mask is None:
+            step = min(limits.tokens, limits.loss_tokens)
+            yield from (document.part(start, min(start + step, n)) for start in range(0, n, step))
+            return
+        loss = np.cumsum(document.mask)
+        start = 0
+        while start < n:
+            before = loss[start - 1] if start else 0
+            # The longest run with no more loss than a sequence takes.
+            end = min(start + limits.tokens, int(np.searchsorted(loss, before + limits.loss_tokens, side="right")), n)
+            yield document.part(start, end)
+            start = end
 
     def close(self, pieces: list[_Piece]) -> None:
         """Make one sequence of the pieces."""
@@ -148,6 +175,7 @@ class _Packer:
                     pa.array([p.doc_tokens for p, _, _ in out], pa.int64()),
                     pa.array([s for _, s, _ in out], pa.int64()),
                     pa.array([o for _, _, o in out], pa.int64()),
+                    pa.array([p.loss for p, _, _ in out], pa.int64()),
                 ],
                 ["_rest", *(name for name, _ in PIECE)],
             )
@@ -160,30 +188,45 @@ def _cut(pieces: list[_Piece], length: int) -> tuple[list[_Piece], list[_Piece]]
         if length == 0:
             return taken, pieces[i:]
         if len(piece.ids) > length:
-            # A cut piece counts as loss-bearing throughout, as far as its share goes.
-            head = piece._replace(ids=piece.ids[:length], loss=min(piece.loss, length))
-            tail = piece._replace(start=piece.start + length, ids=piece.ids[length:], loss=min(piece.loss, len(piece.ids) - length))
-            return [*taken, head], [tail, *pieces[i + 1 :]]
+            return [*taken, piece.part(0, length)], [piece.part(length, len(piece.ids)), *pieces[i + 1 :]]
         taken.append(piece)
         length -= len(piece.ids)
     return taken, []
 
 
-def _packed(tokenizer_path: str, end_id: int, limits: PackLimits):
+def loss_bytes(data: np.ndarray, ranges: list[dict | None] | None) -> np.ndarray:
+    """Which bytes of a text lie in ranges ``{start, end}`` of code points, which may overlap or lie outside of it. One more tells of the text's end."""
+    places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    edge = np.zeros(len(data) + 2, dtype=np.int64)
+    for span in ranges or []:
+        if span is None or span["start"] is None or span["end"] is None:
+            continue
+        start, end = max(span["start"], 0), min(span["end"], len(places) - 1)
+        if start < end:
+            edge[places[start]] += 1
+            # The end of the text bears loss with its last character.
+            edge[places[end] + (end == len(places) - 1)] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _packed(tokenizer_path: str, end_id: int, limits: PackLimits, with_loss: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceIds(tokenizer_path)
         context = TaskContext.get()
         packer = _Packer(limits, (context.partitionId() if context else 0) << 40)
         for batch in batches:
             rest = batch.column("_rest")
+            ranges = batch.column("_loss").to_pylist() if with_loss else None
             for chunk in chunks(batch.column("_text")):
-                ids, counts = ended_ids(chunk, pieces, end_id)
+                ids, counts, starts = pieces.located_ids(chunk)
                 at = 0
                 for i, n in enumerate(counts.tolist()):
-                    row = rest.slice(chunk.first + i, 1)
-                    for start in range(0, n, limits.tokens):
-                        part = ids[at + start : at + min(start + limits.tokens, n)]
-                        packer.add(_Piece(row, start, part, len(part), n))
+                    own, mask = np.append(ids[at : at + n], np.uint32(end_id)), None
+                    if ranges is not None:
+                        low, high = chunk.bounds[i], chunk.bounds[i + 1]
+                        bears = loss_bytes(chunk.data[low:high], ranges[chunk.first + i])
+                        mask = np.append(bears[starts[at : at + n] - low], bears[-1])
+                    packer.add(_Piece(rest.slice(chunk.first + i, 1), 0, own, mask, n + 1))
                     at += n
                 if len(packer.out) >= 2048:
                     yield from packer.flush()
@@ -194,27 +237,31 @@ def _packed(tokenizer_path: str, end_id: int, limits: PackLimits):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text", limits: PackLimits = PackLimits()
+    docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text", limits: PackLimits = PackLimits(), loss_col: str | None = None
 ) -> DataFrame:
     """Tokenise ``docs`` and pack all ids into sequences.
 
     Gives a row for each piece: the other columns of ``docs`` in struct ``_rest``, and ``start`` (the document's ids before the piece), ``length``,
     ``ids`` (little-endian unsigned 32-bit), ``doc_tokens`` (all ids of the document, its
-    ``end_id`` included), ``sequence_id`` and ``offset`` in the sequence. Each partition packs for
+    ``end_id`` included), ``sequence_id`` and ``offset`` in the sequence, and ``loss_tokens`` (ids of the piece that bear loss). Each partition packs for
     itself, a block at a time, so nothing is shuffled and memory is bounded by a block and the
     longest text; sequence ids are unique, not consecutive.
 
-    Documents longer than a sequence are cut into full ones and a rest. All tokens of a plain document bear loss.
+    ``loss_col`` holds the ranges ``{start, end}`` of characters of a text that bear loss, as preference.format_preferences gives them; null is none. An id bears loss
+    if its piece of a word begins in a range, and the end id if the last character is in one. Without ``loss_col`` all ids do.
+
+    Documents that are too much for a sequence, in tokens or in loss, are cut into pieces that are not.
     A null text counts as empty and gives the end id alone. Equal rows are packed like any others; an empty table gives none.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    base = docs.select(F.struct(*(rest or [F.lit(1).alias("_")])).alias("_rest"), F.col(f"`{text_col}`").alias("_text"))
+    loss = [F.col(f"`{loss_col}`").alias("_loss")] if loss_col else []
+    base = docs.select(F.struct(*(rest or [F.lit(1).alias("_")])).alias("_rest"), F.col(f"`{text_col}`").alias("_text"), *loss)
     schema = T.StructType([base.schema["_rest"], *(T.StructField(name, kind) for name, kind in PIECE)])
-    return base.mapInArrow(_packed(tokenizer_path, end_id, limits), schema)
+    return base.mapInArrow(_packed(tokenizer_path, end_id, limits, bool(loss_col)), schema)
 
 
 def piece_columns() -> list[Column]:
     """The digest of each piece, with the checksum of its ids."""
     return [
-        F.col("start"), F.col("length"), F.crc32("ids").alias("ids_crc32"), F.col("doc_tokens"), F.col("sequence_id"), F.col("offset"),
+        F.col("start"), F.col("length"), F.crc32("ids").alias("ids_crc32"), F.col("doc_tokens"), F.col("sequence_id"), F.col("offset"), F.col("loss_tokens"),
     ]

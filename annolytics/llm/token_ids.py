@@ -147,9 +147,14 @@ class PieceIds:
 
     def ids(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a chunk, end to end, and how many each text has."""
+        ids, counts, _ = self.located_ids(chunk)
+        return ids, counts
+
+    def located_ids(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, how many each text has, and for each id the byte of the chunk at which its piece of a word begins."""
         words = words_of(chunk)
         if not len(words.start):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(chunk.bounds) - 1, dtype=np.int64)
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(chunk.bounds) - 1, dtype=np.int64), np.zeros(0, dtype=np.int64)
         data, pieces, odd = self._pieces(chunk, words)
         hashes = word_hashes(Chunk(chunk.first, data, chunk.bounds), pieces, self.hash_codes)
         hashes = np.where(odd, mixed(hashes), hashes)
@@ -168,7 +173,8 @@ class PieceIds:
             before = np.cumsum(length) - length
             ids.append(self.flat[np.repeat(self.start[codes] - before, length) + np.arange(int(length.sum()))])
             lengths.append(length)
-        return np.concatenate(ids), np.diff(np.concatenate(([0], np.cumsum(np.concatenate(lengths))))[pieces.first])
+        length = np.concatenate(lengths)
+        return np.concatenate(ids), np.diff(np.concatenate(([0], np.cumsum(length)))[pieces.first]), np.repeat(pieces.start, length)
 
     def _codes(self, hashes: np.ndarray) -> np.ndarray:
         """The codes of a run of pieces, -1 for new ones, for which there is room then."""

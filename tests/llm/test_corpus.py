@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from annolytics.llm import line_quality as lq
 from annolytics.llm.mixing import MixSettings, block_quotas, mix_sources, mixed_documents, source_targets, taken_words, word_count
+from annolytics.llm.preference import forked_preferences
 from annolytics.llm.packing import PackLimits, dot_product_bins, pack_documents, piece_columns, powers_of_two
 from annolytics.llm.prefix import running_sums
 from annolytics.llm.sharding import assign_shards, byte_size, write_shards
@@ -230,6 +231,57 @@ def test_packing_is_a_partition_of_all_ids(documents, odd_texts, sample):
     assert pack_documents(documents([]), WORDS, 1).count() == 0
 
 
+def plain_loss(tokenizer, text, ranges):
+    """Which ids bear loss, by the tokenizer's own offsets: those whose word or piece of one begins in a range."""
+    encoded = tokenizer.encode(text, add_special_tokens=False)
+    bears = lambda i: any(r and r[0] is not None and r[1] is not None and r[0] <= i < r[1] for r in ranges or [])
+    starts, whole = [], 0
+    for word, (start, _) in zip(encoded.word_ids, encoded.offsets):
+        if word != whole or not starts:
+            whole, first = word, start
+        starts.append(first)
+    return [bears(i) for i in starts] + [bool(text) and bears(len(text) - 1)]
+
+
+@pytest.mark.parametrize(("tokens", "segments", "loss"), [(64, 9, 20), (64, 3, 64), (128, 50, 7), (32, 9, 1)])
+def test_every_limit_holds_for_masked_conversations(spark, tokens, segments, loss):
+    """Conversations with op5's masks, and texts with odd ranges, under a loss limit below that of tokens."""
+    rng = np.random.default_rng(6)
+    words = "the quick brown fox said hello again and then more über 日本 end".split()
+    talk = [(c, t, "user" if t % 2 == 0 else "assistant", " ".join(rng.choice(words, int(rng.integers(1, 40))))) for c in range(60) for t in range(4)]
+    turns = spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string")
+    made = forked_preferences(turns).select(F.col("pair_id").alias("doc_id"), F.concat("prompt", "chosen_text").alias("text"), F.length("prompt").alias("n"), "chosen_mask")
+    shifted = F.transform("chosen_mask", lambda m: F.struct((m["start"] + F.col("n")).alias("start"), (m["end"] + F.col("n")).alias("end")))
+    ranges = made.select("doc_id", "text", shifted.alias("mask"))
+    odd = [(1000, None, [(0, 5)]), (1001, "", [(0, 1)]), (1002, "one two", None), (1003, "one two", []), (1004, "all of it " * 40, [(-3, 9999)]), (1005, "é one é two", [(2, 5), (3, 7), (9, 2), (None, 4)]), (1006, "no loss here " * 60, [None])]
+    docs = ranges.union(spark.createDataFrame(odd, "doc_id bigint, text string, mask array<struct<start: int, end: int>>")).repartition(3)
+    limits = PackLimits(tokens=tokens, segments=segments, loss_tokens=loss, block=32)
+    packed = pack_documents(docs, WORDS, 1, limits=limits, loss_col="mask").collect()
+    tokenizer = Tokenizer.from_file(WORDS)
+    given = {r.doc_id: (r.text or "", [m and (m.start, m.end) for m in r["mask"] or []]) for r in docs.collect()}
+    flags = {i: plain_loss(tokenizer, *x) for i, x in given.items()}
+    seen, sequences = defaultdict(int), defaultdict(list)
+    for r in packed:
+        own = flags[r._rest.doc_id][r.start : r.start + r.length]
+        assert r.loss_tokens == sum(own) and len(own) == r.length
+        seen[r._rest.doc_id] += r.length
+        sequences[r.sequence_id].append((r.length, r.loss_tokens))
+    assert seen == {i: len(f) for i, f in flags.items()}
+    for parts in sequences.values():
+        assert sum(n for n, _ in parts) <= tokens and len(parts) <= segments and sum(x for _, x in parts) <= loss
+    assert sum(map(sum, flags.values())) > 500
+
+
+def test_loss_limit_cuts_plain_documents(documents):
+    docs = documents([(i, "word " * 300) for i in range(20)])
+    packed = pack_documents(docs, WORDS, 1, limits=PackLimits(tokens=256, segments=99, loss_tokens=100)).collect()
+    held = Counter()
+    for r in packed:
+        held[r.sequence_id] += r.loss_tokens
+        assert r.loss_tokens == r.length
+    assert max(held.values()) <= 100 and sum(held.values()) == 20 * 301
+
+
 def test_bins_respect_every_limit():
     rng = np.random.default_rng(1)
     demands = np.stack([rng.integers(1, 900, 500), np.ones(500), rng.integers(0, 400, 500)], axis=1).astype(float)
