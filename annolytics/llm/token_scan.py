@@ -48,6 +48,8 @@ def _write_tokens(folder: str, tokenizer_path: str, end_id: int, file_bytes: int
                     name = f"part-{context.partitionId() if context else 0:05d}-{uuid.uuid4().hex}.tokens"
                     path, size, ordinal = os.path.join(folder, name), 0, 0
                     out = store.open_output_stream(os.path.join(root, name), compression=None)
+                if len(ids) and ids.max() > np.iinfo(ID).max:
+                    raise ValueError(f"id {ids.max()} does not fit the files' 16 bits")
                 size += out.write(ids.astype(ID).tobytes())
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
