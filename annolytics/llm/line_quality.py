@@ -14,21 +14,45 @@ from pyspark.sql import types as T
 
 from annolytics.llm.words import Chunk, byte_codes, chunks, combined, space_table, word_hashes, words_of
 
-# Phrases, in lower case, of lines that stand on every page of a site.
+# Phrases, in lower case, of lines that stand on every page of a site, in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved",
     "accept cookies",
     "click here",
     "cookie policy",
+    "distributed under",
     "enable javascript",
     "licensed under",
     "lorem ipsum",
     "privacy policy",
+    "released under",
     "share this",
     "sign up",
     "subscribe to",
     "terms of service",
     "terms of use",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "hier klicken",
+    "jetzt anmelden",
+    "lizenziert unter",
+    "nutzungsbedingungen",
+    "veröffentlicht unter der",
+    "abonnez-vous",
+    "accepter les cookies",
+    "cliquez ici",
+    "conditions d'utilisation",
+    "politique de confidentialité",
+    "sous licence",
+    "tous droits réservés",
+    "aceptar cookies",
+    "bajo la licencia",
+    "haga clic aquí",
+    "política de privacidad",
+    "suscríbete",
+    "términos de uso",
+    "todos los derechos reservados",
 )
 # Marks that end a sentence, with the brackets and quotes that may follow it.
 SENTENCE_END = ".!?…:;。！？\"'”’»)]"
@@ -42,7 +66,7 @@ class LineRules(NamedTuple):
     A line with a word fails if
 
     * boilerplate: it has one of ``BOILERPLATE``;
-    * navigation: at least ``separators`` of its words are nothing but ``|``, ``>``, ``»``, ``·`` or ``/``;
+    * navigation: at least ``separator_share`` of its words are nothing but ``|``, ``>``, ``»``, ``·`` or ``/``, however long it is;
     * symbols: ``SYMBOLS`` in it are more than ``symbol_share`` of its words;
     * shouting: it has at least ``shout_words`` words, and letters only in upper case;
     * punctuation: it has at least ``open_words`` words and no mark that ends a sentence, or at least ``shout_words`` words
@@ -51,7 +75,7 @@ class LineRules(NamedTuple):
     A text is rejected if the failing lines hold more than ``lost_share`` of its words' code points.
     """
 
-    separators: int = 3
+    separator_share: int = 20
     symbol_share: int = 30
     shout_words: int = 8
     open_words: int = 60
@@ -72,8 +96,10 @@ def line_fails(line: str, rules: LineRules) -> bool:
         return True
     words = [w.decode() for w in line.encode().split()]
     n = len(words)
-    if sum(line.count(c) for c in "|>»·/") >= rules.separators and sum(bool(_SEPARATOR.fullmatch(w)) for w in words) >= rules.separators:
-        return True
+    if any(c in line for c in "|>»·/"):
+        separators = sum(bool(_SEPARATOR.fullmatch(w)) for w in words)
+        if separators and 100 * separators >= rules.separator_share * n:
+            return True
     if 100 * sum(line.count(c) for c in SYMBOLS) > rules.symbol_share * n:
         return True
     if n >= rules.shout_words:

@@ -6,14 +6,14 @@ from annolytics.llm.line_quality import BOILERPLATE, quality_lines
 from annolytics.llm.masked_lm import score_documents
 from annolytics.llm.registry import query, table
 
-PHRASES = "(" + "|".join(BOILERPLATE) + ")"
+PHRASES = "(" + "|".join(phrase.replace("'", "''") for phrase in BOILERPLATE) + ")"
 
 OP9_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
   b AS (SELECT doc_id, t, ws, len(ws) AS n_words, length(array_to_string(ws,'')) AS word_chars, len(regexp_extract_all(t,'[#*$%&|<>]')) AS n_symbols FROM d),
   ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
   lw AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
   lv AS (SELECT doc_id, line, length(array_to_string(ws,'')) AS chars, len(ws) AS n, ws,
-      regexp_matches(lower(line), '{PHRASES}') OR len(list_filter(ws, lambda w: regexp_full_match(w,'[|>»·/]+'))) >= 3
+      regexp_matches(lower(line), '{PHRASES}') OR (len(list_filter(ws, lambda w: regexp_full_match(w,'[|>»·/]+'))) >= 1 AND 100*len(list_filter(ws, lambda w: regexp_full_match(w,'[|>»·/]+'))) >= 20*len(ws))
       OR 100*len(regexp_extract_all(line,'[#*$%&|<>]')) > 30*len(ws)
       OR (len(ws) >= 8 AND upper(line)=line AND lower(line)<>line)
       OR (len(ws) >= 8 AND 100*len(list_filter(ws, lambda w: right(w,1) IN ('!','?'))) > 60*len(ws))

@@ -98,6 +98,14 @@ def test_measures_equal_plain_python(odd_texts, sample):
 
 def test_rules_and_labels(spark):
     fails = lambda line: lq.line_fails(line, lq.LineRules())
+    for line in (
+        "Released under the MIT License.", "Distributed under the terms of X", "Alle Rechte vorbehalten", "Tous droits réservés.", "Todos los derechos reservados", "Lizenziert unter CC BY 4.0",
+        "Cliquez ici", "A | B | C", "A > B", "Home » News", "x / y",
+    ):
+        assert fails(line), line
+    # Few separators among many words are no navigation, and separators inside words are none.
+    assert not fails("one two three four five six seven > eight nine | ten eleven twelve thirteen fourteen fifteen sixteen seventeen.")
+    assert not fails("and/or") and not fails("It is said that a>b holds.")
     assert fails("Home | News | Sport | Contact") and fails("Please read our Privacy Policy.") and fails("Buy*** now### this$$$")
     assert fails("WE SHOUT ALL DAY LONG AND NEVER STOP") and fails("word " * 70) and fails("a! b! c! d! e! f! g! h!")
     assert not fails("A plain sentence, of a usual kind.") and not fails("") and not fails("Short heading")
