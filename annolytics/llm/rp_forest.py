@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annolytics.llm.prefix import partitions_for
 from annolytics.session import settle
 
 
@@ -310,7 +311,7 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column,
 
     ``is_query`` is a condition on ``id``. A query never finds its own row; ties go to the
     smaller id; scores are in double precision on the given vectors. Rows whose id or vector is null, or whose vector is
-    empty, zero or holds null or non-finite components, take no part. Vectors must be of one length. Fewer rows than ``k`` give as many as there are.
+    empty, zero or holds null or non-finite components, take no part. Vectors of unequal length are an error. Fewer rows than ``k`` give as many as there are.
 
     The planes, fitted on a bounded sample, and the sizes of leaves, of which their number is
     bounded by it, are all that is sent to every task; how far to search is measured on a bounded number of queries. Vectors and queries then meet by bundles of leaves. Repeats of an id with its vector are dropped first. Of equal vectors the k + 1
@@ -327,7 +328,11 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column,
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if total == 0:
         return spark.createDataFrame([], empty)
-    longest = float(indexed.agg(F.max(F.sqrt(F.expr("aggregate(vector, 0d, (a, x) -> a + double(x) * double(x))")))).first()[0]) * (1 + 1e-9)
+    norm = F.sqrt(F.expr("aggregate(vector, 0d, (a, x) -> a + double(x) * double(x))"))
+    most = indexed.agg(F.max(norm).alias("norm"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most")).first()
+    if most["least"] != most["most"]:
+        raise ValueError(f"vectors have from {most['least']} to {most['most']} components")
+    longest = float(most["norm"]) * (1 + 1e-9)
     share = min(1.0, settings.sample / total)
     drawn = indexed.where(F.pmod(F.xxhash64(F.lit(settings.seed), "h"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) or 1))
     sample = drawn.select("vector").limit(settings.sample).toPandas()["vector"]
@@ -346,7 +351,9 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column,
     asked = settle(queries.groupBy("h", "vector").agg(F.min("id").alias("query")), "ann-queries")
     wanted = wanted_candidates(asked, indexed, placed, forest, sizes, settings)
     bundles, places = leaf_bundles(sizes, settings.part)
-    routed = asked.select(F.col("query").alias("id"), "vector").mapInArrow(
+    # The queries are few and may lie in one file; finding their way is the costly part.
+    dealt = asked.select(F.col("query").alias("id"), "vector").repartition(partitions_for(spark), "id")
+    routed = dealt.mapInArrow(
         _routed(forest, sizes, bundles, settings.part, wanted),
         f"tree int, bundle bigint, part bigint, leaves array<int>, query bigint, vector {kind}",
     )

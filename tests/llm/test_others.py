@@ -250,3 +250,9 @@ def test_most_examples_of_the_table_have_all_parts(spark):
     assert whole >= 0.9 * examples.count() > 0
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert forked_preferences(empty).count() == 0 and format_preferences(empty, spark.createDataFrame([], "pair_id bigint, chosen bigint, rejected bigint")).count() == 0
+
+
+def test_vectors_of_unequal_length_are_an_error(spark):
+    rows = spark.createDataFrame([(20, [1.0, 2.0, 3.0]), (1, [1.0, 2.0]), (2, [4.0])], "vec_id bigint, embedding array<float>")
+    with pytest.raises(ValueError, match="from 1 to 3 components"):
+        rf.nearest(rows, "vec_id", "embedding", F.col("id") % 20 == 0)
