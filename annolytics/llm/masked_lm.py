@@ -8,7 +8,6 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +22,8 @@ class LmSettings(NamedTuple):
     """Words are hashed to ``classes * members`` buckets, and predicted class first, member second, then word of the bucket.
 
     The network sees ``window`` words on each side. All words are dealt to masks of at most ``mask_percent`` of them, and
-    the masks to ``rounds``, so that every word is a target at least once. In each round every task goes over its
-    documents; then the tasks' networks are averaged. The ``known`` commonest words go to every task with their counts;
+    the masks to ``rounds``, so that every word is a target at least once. Documents are dealt by their content to parts of about
+    ``part_bytes`` of text. In each round a network goes over each part; then the parts' networks are averaged. The ``known`` commonest words go to every task with their counts;
     the others' counts are joined, which changes no score.
     """
 
@@ -38,6 +37,7 @@ class LmSettings(NamedTuple):
     rate: float = 0.15
     seed: int = 5
     known: int = 1 << 18
+    part_bytes: int = 1 << 24
 
     @property
     def buckets(self) -> int:
@@ -182,34 +182,67 @@ def mask_of(hashes: np.ndarray, counts: np.ndarray, s: LmSettings) -> np.ndarray
     return (dealt % np.uint64(s.masks)).astype(np.int64)
 
 
+def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """All texts of one part after the other, whatever batches they come in."""
+    number, held = None, []
+
+    def whole() -> tuple[int, pa.RecordBatch]:
+        return number, pa.RecordBatch.from_arrays([pa.concat_arrays([t.cast(pa.large_string()) for t in held])], ["_text"])
+
+    for batch in batches:
+        parts = batch.column("_part").to_numpy()
+        starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if len(parts) else []
+        for start, end in zip(starts, [*starts[1:], len(parts)]):
+            if parts[start] != number:
+                if held:
+                    yield whole()
+                number, held = int(parts[start]), []
+            held.append(batch.column("_text").slice(start, end - start))
+    if held:
+        yield whole()
+
+
 def _trained(net: Params, number: int, s: LmSettings):
-    """The network after one pass over a partition, times the number of its targets."""
+    """The network after one pass over each part, times the number of its targets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        part = context.partitionId() if context else 0
-        own = {name: values.copy() for name, values in net.items()}
-        seen = {name: np.full_like(values, 1e-6) for name, values in net.items()}
-        targets = 0
-        for _, _, hashes, text_of, counts in _hashed(batches):
-            bucket, mask = _bucket_of(hashes, s), mask_of(hashes, counts, s)
-            for own_mask in s.masks_of(number):
-                masked = np.flatnonzero(mask == own_mask)
-                for i in range(0, len(masked), s.batch):
-                    at = masked[i : i + s.batch]
-                    train_step(own, seen, contexts(bucket, text_of, at, s), bucket[at], s)
-                targets += len(masked)
-        if targets:
-            values = (flat(own).astype(np.float64) * targets).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([targets], pa.int64()), pa.array([values], pa.binary())], ["part", "targets", "total"]
-            )
+        for part, texts in _parts_of(batches):
+            own = {name: values.copy() for name, values in net.items()}
+            seen = {name: np.full_like(values, 1e-6) for name, values in net.items()}
+            targets = 0
+            for _, _, hashes, text_of, counts in _hashed(iter([texts])):
+                bucket, mask = _bucket_of(hashes, s), mask_of(hashes, counts, s)
+                for own_mask in s.masks_of(number):
+                    masked = np.flatnonzero(mask == own_mask)
+                    for i in range(0, len(masked), s.batch):
+                        at = masked[i : i + s.batch]
+                        train_step(own, seen, contexts(bucket, text_of, at, s), bucket[at], s)
+                    targets += len(masked)
+            if targets:
+                values = (flat(own).astype(np.float64) * targets).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int64()), pa.array([targets], pa.int64()), pa.array([values], pa.binary())], ["part", "targets", "total"]
+                )
 
     return run
 
 
+def training_parts(texts: DataFrame, s: LmSettings) -> DataFrame:
+    """``(_text, _part)`` of ``texts (_rest, _text)``: documents dealt to parts and put in order by a hash of whole rows, stored once.
+
+    The number of parts follows the bytes of all texts. How the table was cut into tasks plays no role, and copies under different ids are spread.
+    A part is a run of rows of one file, which one task reads.
+    """
+    size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = max(1, round(size / s.part_bytes))
+    place = F.xxhash64("_text", F.to_json("_rest"))
+    keyed = texts.where("_text IS NOT NULL").select("_text", place.alias("_place"), F.pmod(place, F.lit(parts)).alias("_part"))
+    dealt = keyed.repartition(parts, "_part").sortWithinPartitions("_part", "_place", "_text")
+    return settle(dealt.select("_text", "_part"), "lm-parts")
+
+
 def _sum_networks(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype=np.float64) for x in rows["total"])
+    total = sum(np.frombuffer(x, dtype=np.float64) for x in rows.sort_values("part")["total"])
     return pd.DataFrame({"part": [rows["part"].iloc[0] // FAN_IN], "targets": [rows["targets"].sum()], "total": [total.tobytes()]})
 
 
@@ -218,21 +251,23 @@ FAN_IN = 16
 
 
 def train_network(texts: DataFrame, s: LmSettings) -> Params:
-    """Fit the network on all texts of the column ``_text``.
+    """Fit the network on all texts of ``training_parts``.
 
-    Every task trains on all documents of its partition and hands on one network; these are
+    Each part gives one network; these are
     added up in a tree, at most ``FAN_IN`` at a time, so one network comes to the driver, whose size is fixed. What is
-    gathered grows with the number of partitions, as the input does. No text at all gives the network as it starts.
+    gathered grows with the number of parts, as the input does. No text at all gives the network as it starts.
     """
     net = new_network(s)
-    for number in range(s.rounds):
+    highest = texts.agg(F.max("_part")).first()[0]
+    for number in range(s.rounds if highest is not None else 0):
         trained = texts.mapInArrow(_trained(net, number, s), "part bigint, targets bigint, total binary")
-        parts = max(1, texts.rdd.getNumPartitions())
+        parts = highest + 1
         while parts > 1:
+            # Sums of doubles depend on their order.
             key = F.floor(F.col("part") / FAN_IN)
             trained = trained.groupBy(key).applyInPandas(_sum_networks, "part bigint, targets bigint, total binary")
             parts = -(-parts // FAN_IN)
-        rows = trained.collect()
+        rows = sorted(trained.collect(), key=lambda row: row["part"])
         if not rows:
             return net
         total = sum(np.frombuffer(row["total"], dtype=np.float64) for row in rows)
@@ -340,13 +375,13 @@ def score_documents(docs: DataFrame, text_col: str = "text", settings: LmSetting
 
     The network is trained on all documents; ``score`` is the sum over every word of a whole text of its log-probability
     given the words on both sides: the network's for the word's bucket, and the word's share of the bucket by the
-    counts of all documents. Equal texts get equal scores up to rounding. A null text counts as empty; an empty one has score 0 and no
+    counts of all documents. Equal texts get equal scores up to rounding, and scores do not hang on how the table is partitioned. A null text counts as empty; an empty one has score 0 and no
     mean. An empty table gives an empty table.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     base = docs.select(F.struct(*(rest or [F.lit(1).alias("_")])).alias("_rest"), F.col(f"`{text_col}`").alias("_text"))
-    texts = base.select("_text")
-    net, vocabulary = train_network(texts, settings), count_words(texts, settings)
+    texts = training_parts(base, settings)
+    net, vocabulary = train_network(texts, settings), count_words(texts.select("_text"), settings)
     schema = T.StructType(
         [
             base.schema["_rest"],

@@ -126,7 +126,7 @@ def test_scores_tell_held_out_order_from_noise(spark, documents, odd_texts):
     held_out = [(1000 + i, " ".join(cycle[(i * 7 + j) % 30] for j in range(33))) for i in range(20)]
     noise = [(2000 + i, " ".join(rng.permutation(cycle)[:29])) for i in range(20)]
     settings = lm.LmSettings(mask_percent=50)
-    net = lm.train_network(documents(ordered).select(F.col("text").alias("_text")), settings)
+    net = lm.train_network(_parts(documents(ordered), settings), settings)
     score = lambda rows: np.mean([float(np.mean(r)) for r in _scores(net, settings, rows)])
     assert score(held_out) > score(noise) + 1 > -7.6
     rows = {(r._rest.doc_id, r.n_tokens): r for r in lm.score_documents(documents(ordered[:40] + odd_texts)).collect()}
@@ -134,6 +134,23 @@ def test_scores_tell_held_out_order_from_noise(spark, documents, odd_texts):
     assert lm.score_documents(documents([])).count() == 0
 
 
+def _parts(docs, settings):
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest")
+    return lm.training_parts(docs.select(rest, F.col("text").alias("_text")), settings)
+
+
+def test_scores_do_not_hang_on_partitions(spark, sample):
+    """Several parts, over one task and over many, and with the rows in another order."""
+    settings = lm.LmSettings(part_bytes=60_000)
+    docs = sample.select("doc_id", "text")
+    runs = []
+    for cut in (docs.coalesce(1), docs.repartition(16), docs.orderBy(F.desc("doc_id")).repartition(5, "doc_id")):
+        runs.append({r._rest.doc_id: r.score for r in lm.score_documents(cut, settings=settings).collect()})
+    assert len(runs[0]) == docs.count()
+    for other in runs[1:]:
+        assert all(other[i] == pytest.approx(score, rel=1e-9) for i, score in runs[0].items())
+
+
 def _scores(net, settings, rows):
     batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], ["_text"])
     for _, _, bucket, text_of, counts in lm._buckets([batch], settings):
@@ -155,9 +172,9 @@ def test_a_word_is_not_the_frequent_word_it_collides_with(spark, documents, know
     of_bucket = Counter()
     for w, n in words.items():
         of_bucket[bucket[int(w[1:])]] += n
-    texts = documents(rows).select(F.col("text").alias("_text"))
+    texts = _parts(documents(rows), settings)
     net = lm.train_network(texts, settings)
-    assert len(lm.count_words(texts, settings).words) <= known
+    assert len(lm.count_words(texts.select("_text"), settings).words) <= known
     for (i, text), log_p in zip(rows, _scores(net, settings, rows)):
         within = [np.log(words[w] / of_bucket[bucket[int(w[1:])]]) for w in (text or "").lower().split()]
         assert got[i].score == pytest.approx(float(log_p.sum() + sum(within)), rel=1e-4)
@@ -170,9 +187,10 @@ def test_every_word_is_a_target(rounds, mask_percent):
     rng = np.random.default_rng(6)
     texts = pa.array([" ".join(f"w{j}" for j in rng.integers(0, 900, n)) for n in (0, 1, 500, 3000)])
     batch = pa.RecordBatch.from_arrays([texts], ["_text"])
+    dealt = pa.RecordBatch.from_arrays([texts, pa.array([0] * len(texts))], ["_text", "_part"])
     masks = [m for n in range(rounds) for m in settings.masks_of(n)]
     assert set(masks) == set(range(settings.masks))
-    targets = sum(b.column("targets")[0].as_py() for n in range(rounds) for b in lm._trained(lm.new_network(settings), n, settings)([batch]))
+    targets = sum(b.column("targets")[0].as_py() for n in range(rounds) for b in lm._trained(lm.new_network(settings), n, settings)([dealt]))
     assert targets == 3501 * (rounds if mask_percent == 100 else 1)
     for _, _, hashes, _, counts in lm._hashed([batch]):
         share = np.bincount(lm.mask_of(hashes, counts, settings), minlength=settings.masks) / len(hashes)
