@@ -221,7 +221,7 @@ def _by_shingles(settings: NearDupSettings):
         mark = np.zeros(len(values), dtype=np.int32)
         largest = pd.Series(labels).mode().iloc[0]
         edges = []
-        # Of two texts in different components one is outside the largest.
+        # Of two texts in different components one is outside the largest of the block.
         for x in np.flatnonzero(labels != largest):
             own = numbers[starts[x] : starts[x] + size[x]]
             mark[own] = 1
@@ -234,15 +234,35 @@ def _by_shingles(settings: NearDupSettings):
     return run
 
 
-def _block_pairs(rows: DataFrame, parts: Column) -> DataFrame:
-    """Each row once for every pair of blocks ``(i, j)`` of its group that its own block is in."""
-    return (
-        rows.withColumn("parts", parts.cast("bigint"))
-        .withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        .withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-        .drop("parts", "part", "other")
+def _block_pairs(rows: DataFrame, key: str, block: int, weight: str | None = None, block_weight: int = 1) -> DataFrame:
+    """Rows of open groups in blocks ``(kind, i, j)`` in which every two rows of different components meet.
+
+    ``rows`` holds ``key``, ``node`` and ``component``. All rows of a group's largest component, its core, are linked already, so only the others
+    have to meet anyone: each other (kind 0, every pair of their blocks) and the core (kind 1, their blocks by those of the core). A group of n rows of
+    which m are outside the core is thus n m / block copies of rows. Blocks hold ``block`` rows, or ``block_weight`` of ``weight``, on average.
+    """
+    sum_of = F.sum(weight) if weight else F.lit(0).cast("bigint")
+    parts = rows.groupBy(key, "component").agg(F.count("*").alias("n"), sum_of.alias("w"))
+    core = parts.groupBy(key).agg(
+        F.max(F.struct("n", (-F.col("component")).alias("last"))).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max_by("w", F.struct("n", -F.col("component"))).alias("core_w")
+    )
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(F.greatest(n / block, w / block_weight))).cast("bigint")
+    sizes = core.select(
+        key,
+        (-F.col("most.last")).alias("core"),
+        blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("core_w")).alias("others"),
+        blocks(F.col("most.n"), F.col("core_w")).alias("cores"),
     )
+    known = rows.join(settle(sizes, "block-sizes"), key).withColumn("is_core", F.col("component") == F.col("core"))
+    known = known.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("is_core"), F.col("cores")).otherwise(F.col("others"))))
+    up_to = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    part = F.col("part")
+    among = F.transform(up_to("others"), lambda o: place(0, F.least(part, o), F.greatest(part, o)))
+    against = F.transform(up_to("cores"), lambda c: place(1, part, c))
+    of_core = F.transform(up_to("others"), lambda o: place(1, o, part))
+    places = F.when(F.col("is_core"), of_core).otherwise(F.concat(among, against))
+    return known.withColumn("_place", F.explode(places)).select(*rows.columns, "_place.kind", "_place.i", "_place.j")
 
 
 def _links_across(members: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame, settings: NearDupSettings) -> DataFrame:
@@ -251,7 +271,7 @@ def _links_across(members: DataFrame, links: DataFrame, classes: DataFrame, text
     Buckets whose members already are one component need nothing more. In the others signatures
     tell which texts come near the threshold; those are gathered into clusters, and within a
     cluster full sets are compared across components. Both steps cut a large group into blocks
-    and look at every pair of blocks, so a group of any size is spread over tasks of bounded
+    and let those outside its largest component meet all, so a group of any size is spread over tasks of bounded
     size, and both hand on a forest of at most one edge per row, never the pairs themselves.
     """
     block = settings.block
@@ -263,10 +283,13 @@ def _links_across(members: DataFrame, links: DataFrame, classes: DataFrame, text
         placed.groupBy("band")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
         .where("low < high and n > 2")
-        .select("band", "n")
+        .select("band")
     )
-    rows = placed.join(settle(mixed, "mixed"), "band").join(classes.select("node", "_signature", "_size"), "node")
-    near = _block_pairs(rows, F.ceil(F.col("n") / block)).groupBy("band", "i", "j")
+    mixed = settle(mixed, "mixed")
+    if mixed.isEmpty():
+        return links.where(F.lit(False))
+    rows = placed.join(mixed, "band").join(classes.select("node", "_signature", "_size"), "node")
+    near = _block_pairs(rows, "band", block).groupBy("band", "kind", "i", "j")
     near = settle(near.applyInPandas(_by_signature(settings), "a bigint, b bigint"), "near")
     clusters = connected_components(near.union(links)).withColumnRenamed("component", "cluster")
     grouped = settle(
@@ -276,13 +299,15 @@ def _links_across(members: DataFrame, links: DataFrame, classes: DataFrame, text
         "clusters",
     )
     open_clusters = (
-        grouped.groupBy("cluster")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("_size").alias("total"))
-        .where("low < high")
-        .select("cluster", F.ceil(F.greatest(F.col("n") / block, F.col("total") / settings.block_shingles)).alias("blocks"))
+        grouped.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("cluster")
     )
-    rows = grouped.join(settle(open_clusters, "open"), "cluster").join(texts, "node").drop("_size")
-    return _block_pairs(rows, F.col("blocks")).groupBy("cluster", "i", "j").applyInPandas(_by_shingles(settings), "a bigint, b bigint")
+    open_clusters = settle(open_clusters, "open")
+    if open_clusters.isEmpty():
+        return links.where(F.lit(False))
+    rows = grouped.join(open_clusters, "cluster")
+    dealt = _block_pairs(rows, "cluster", block, "_size", settings.block_shingles).drop("_size")
+    # Texts come last, to the blocks that want them.
+    return dealt.join(texts, "node").groupBy("cluster", "kind", "i", "j").applyInPandas(_by_shingles(settings), "a bigint, b bigint")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: NearDupSettings = NearDupSettings()) -> DataFrame:
