@@ -237,7 +237,8 @@ def training_parts(texts: DataFrame, s: LmSettings) -> DataFrame:
     parts = max(1, round(size / s.part_bytes))
     place = F.xxhash64("_text", F.to_json("_rest"))
     keyed = texts.where("_text IS NOT NULL").select("_text", place.alias("_place"), F.pmod(place, F.lit(parts)).alias("_part"))
-    dealt = keyed.repartition(parts, "_part").sortWithinPartitions("_part", "_place", "_text")
+    # More partitions than parts, so that few of them share one; beyond some thousands a partition holds several.
+    dealt = keyed.repartition(min(4 * parts, 20_000), "_part").sortWithinPartitions("_part", "_place", "_text")
     return settle(dealt.select("_text", "_part"), "lm-parts")
 
 
