@@ -92,9 +92,15 @@ def contexts(bucket: np.ndarray, text_of: np.ndarray, at: np.ndarray, s: LmSetti
     return out
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return logits / logits.sum(axis=1, keepdims=True)
+def _softmax(hidden: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Shares of each row's outputs, from hidden values within 1."""
+    logits = hidden @ weights + bias
+    # No output is beyond this; where it is small, it keeps the exponentials in range for all rows at once.
+    bound = float((np.abs(weights).sum(axis=0) + np.abs(bias)).max())
+    logits -= bound if bound < 40 else logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    return logits
 
 
 def _forward(net: Params, context: np.ndarray, target: np.ndarray, s: LmSettings):
@@ -103,9 +109,9 @@ def _forward(net: Params, context: np.ndarray, target: np.ndarray, s: LmSettings
         total += net["words"][k][context[k]]
     hidden = np.tanh(total)
     kind, member = target // s.members, target % s.members
-    first = _softmax(hidden @ net["to_class"] + net["class_bias"])
+    first = _softmax(hidden, net["to_class"], net["class_bias"])
     inner = np.tanh(hidden + net["of_class"][kind])
-    second = _softmax(inner @ net["to_member"] + net["member_bias"])
+    second = _softmax(inner, net["to_member"], net["member_bias"])
     rows = np.arange(len(target))
     log_p = np.log(first[rows, kind] + 1e-30) + np.log(second[rows, member] + 1e-30)
     return log_p, hidden, inner, first, second, kind, member
@@ -121,7 +127,9 @@ def log_likelihoods(net: Params, context: np.ndarray, target: np.ndarray, s: LmS
 
 def _add(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
+    # Short numbers are sorted by their digits.
+    is_short = rows.dtype == np.int64 and len(rows) > 0 and rows.min() >= 0 and rows.max() < 1 << 16
+    order = np.argsort(rows.astype(np.uint16) if is_short else rows, kind="stable")
     ordered = rows[order]
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     return ordered[starts], np.add.reduceat(values[order], starts, axis=0)
