@@ -370,7 +370,8 @@ def _scored(net: Params, words: np.ndarray, log_counts: np.ndarray, bucket_logs:
             other = np.flatnonzero(~is_known[back])
             ends = np.cumsum(np.bincount(text_of[other], minlength=len(counts)))
             others = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(hashes[other].view(np.int64)))
-            score = np.bincount(text_of, weights=log_p, minlength=len(counts))
+            # Without any word the sums would be whole numbers.
+            score = np.bincount(text_of, weights=log_p, minlength=len(counts)).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_rest").slice(first, len(counts)), pa.array(counts.astype(np.int64)), pa.array(score), others],
                 ["_rest", "n_tokens", "score", "_others"],
