@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from annolytics.session import scratch_path
@@ -85,16 +89,55 @@ def json_mixed(spark, sf):
     return load_dataset(spark, path).select("id", "lang", F.md5("text").alias("text_md5"))
 
 
+#: Bytes of a written file: more than a split, so that records still cross borders. An array on one line is one value, which a reader holds whole.
+FILE_BYTES, LINE_BYTES = 192 << 20, 32 << 20
+
+
+def _files(rows, least, most_bytes=None):
+    """How many files to write rows to: ``least``, and more where these would get larger than ``most_bytes`` (FILE_BYTES)."""
+    sizes = [F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(8) for name, kind in rows.dtypes]
+    total = rows.agg(F.sum(reduce(add, sizes).cast("bigint"))).first()[0] or 0
+    return max(least, -(-total // (most_bytes or FILE_BYTES)))
+
+
+def _in_order(rows, key, least, most_bytes=None):
+    """Rows dealt to files by ranges of ``key``, in its order, so that the order of the files is that of the rows."""
+    return rows.repartitionByRange(_files(rows, least, most_bytes), key).sortWithinPartitions(key)
+
+
 def _write_arrays(rows, path, indented):
     """Rows as .json files of one array each, in the order of their id."""
-    spark = rows.sparkSession
     entry = F.to_json(F.struct(*rows.columns), {"pretty": str(indented).lower()})
-    dealt = rows.repartitionByRange(4, "id").select(F.spark_partition_id().alias("part"), F.struct("id", entry.alias("entry")).alias("e"))
-    entries = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"])
-    arrays = dealt.groupBy("part").agg(F.concat(F.lit("["), F.array_join(entries, ",\n" if indented else ","), F.lit("]")).alias("value"))
-    folder = scratch_path(spark, "arrays")
-    arrays.repartitionByRange(4, "part").select("value").write.option("maxRecordsPerFile", 1).text(folder)
-    _move_as_json(spark, folder, path)
+    dealt = _in_order(rows, "id", 4, FILE_BYTES if indented else LINE_BYTES).select(entry.alias("value"))
+    folder = scratch_path(rows.sparkSession, "arrays")
+    dealt.mapInArrow(_array_by_entries if indented else _array_on_one_line, "value string").write.text(folder)
+    _move_as_json(rows.sparkSession, folder, path)
+
+
+def _array_by_entries(batches):
+    """The entries of a file as those of one array, each in lines of its own."""
+    ahead, held = "[", None
+    for batch in batches:
+        entries = batch.column("value").to_pylist()
+        if held is not None and entries:
+            yield _lines([ahead + held + ","])
+            ahead = ""
+        if len(entries) > 1:
+            yield _lines([ahead + entries[0] + ",", *[entry + "," for entry in entries[1:-1]]])
+            ahead = ""
+        held = entries[-1] if entries else held
+    if held is not None:
+        yield _lines([ahead + held + "]"])
+
+
+def _array_on_one_line(batches):
+    entries = [entry for batch in batches for entry in batch.column("value").to_pylist()]
+    if entries:
+        yield _lines(["[" + ",".join(entries) + "]"])
+
+
+def _lines(values):
+    return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
 
 
 def _move_as_json(spark, source, target):
