@@ -14,6 +14,7 @@ from workload.registry import QUERIES
 @pytest.mark.parametrize(
     ("name", "files", "key"),
     [
+        ("row_index", "lines/*.json", "doc_id"),
         ("row_index_json", "json/*.json", "id"),
     ],
 )

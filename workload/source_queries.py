@@ -173,7 +173,8 @@ def directory(spark, sf):
 @query("scan_glob", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def glob(spark, sf):
     path = scratch_path(spark, "glob")
-    fx.table(spark, sf, "customer").repartition(4, "c_custkey").write.json(path)
+    customer = fx.table(spark, sf, "customer")
+    customer.repartition(_files(customer, 4), "c_custkey").write.json(path)
     return load_dataset(spark, f"{path}/part-*.json").select("c_custkey", "c_name", "c_acctbal")
 
 
@@ -181,7 +182,7 @@ def glob(spark, sf):
 def row_index(spark, sf):
     path = scratch_path(spark, "lines")
     docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.json(path)
+    _in_order(docs, "doc_id", 4).write.json(path)
     lines = scan_json(spark, path, docs.schema)
     return with_row_index(lines).select("row_index", "doc_id", "lang", "n_chars")
 
@@ -222,7 +223,7 @@ def row_index_ledger(spark, sf):
 @query("row_index_parquet", "SELECT o_orderkey AS row_index, o_orderkey, o_custkey FROM orders")
 def row_index_parquet(spark, sf):
     raw, stored = scratch_path(spark, "raw"), scratch_path(spark, "stored")
-    fx.table(spark, sf, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(raw)
+    _in_order(fx.table(spark, sf, "orders"), "o_orderkey", 4).write.parquet(raw)
     ingest(scan_parquet(spark, raw), stored, parquet=True)
     return spark.read.parquet(stored).select("row_index", "o_orderkey", "o_custkey")
 
