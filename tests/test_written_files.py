@@ -15,6 +15,7 @@ from workload.registry import QUERIES
     ("name", "files", "key"),
     [
         ("row_index", "lines/*.json", "doc_id"),
+        ("row_index_csv", "csv/*.csv", "doc_id"),
         ("row_index_json", "json/*.json", "id"),
     ],
 )

@@ -192,8 +192,7 @@ def row_index_csv(spark, sf):
     """Texts with line breaks inside quotes, numbered in file order."""
     path = scratch_path(spark, "csv")
     docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "text")
-    ordered = docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
-    ordered.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    _in_order(docs, "doc_id", 4).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     rows = load_dataset(spark, f"{path}/*.csv", docs.schema, row_index=True)
     return rows.select("row_index", "doc_id", "lang", F.md5("text").alias("text_md5"))
 
