@@ -17,6 +17,7 @@ from workload.registry import QUERIES
         ("row_index", "lines/*.json", "doc_id"),
         ("row_index_csv", "csv/*.csv", "doc_id"),
         ("row_index_json", "json/*.json", "id"),
+        ("row_index_ledger", "growing/*.json", "doc_id"),
     ],
 )
 def test_files_do_not_grow_with_the_table(spark, tmp_path, monkeypatch, name, files, key):

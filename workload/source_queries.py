@@ -214,7 +214,7 @@ def row_index_ledger(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "text")
     for second in (False, True):
         part = docs.where((F.col("doc_id") % 3 == 1) == second)
-        part.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.mode("append").json(source)
+        _in_order(part, "doc_id", 3).write.mode("append").json(source)
         ingest_files(spark, f"{source}/*.json", stored, docs.schema)
     return read_ingested(spark, stored).select("row_index", "doc_id", "lang")
 
