@@ -41,3 +41,16 @@ def test_live_progress_equals_a_full_count(spark, tmp_path):
     run()
     check(rows + late)
     assert len(ProjectStore(spark, root).snapshot().of("row_progress")) <= 3
+
+
+def test_a_hot_row_is_kept_by_many_tasks(spark, tmp_path):
+    """Row 7 of p0 has all submissions; its state lies in several partitions."""
+    rows = [("p0", 7, f"u{i}", "{}", START, i) for i in range(300)]
+    source, root, checkpoint = (str(tmp_path / n) for n in ("in", "store", "checkpoint"))
+    for _ in range(2):
+        spark.createDataFrame(rows, SUBMISSION).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(SUBMISSION).option("maxFilesPerTrigger", 1).parquet(source)
+    live_progress(stream, root, checkpoint, available_now=True).awaitTermination()
+    assert [tuple(r) for r in read_progress(spark, root, "u1").collect()] == [("p0", 1, 1, 300)]
+    kept = spark.read.format("statestore").load(checkpoint)
+    assert kept.count() == 301 and kept.select("partition_id").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
