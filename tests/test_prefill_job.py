@@ -114,3 +114,15 @@ def test_calls_side_by_side_with_attempts(spark, tmp_path):
     assert once == {1: None}
     got = {r.row_index: r.data for r in run_model(rows, model, calls=Calls(timeout_seconds=1.5, at_once=8, attempts=3, pause_seconds=0.05)).collect()}
     assert got == {i: None if i in (3, 7) else json.dumps({"n": i}) for i in range(16)}
+
+
+def test_labels_of_many_batches_are_committed_together(spark, tmp_path, data, now, monkeypatch):
+    """Six batches are one commit besides their answers; a later call with another size of batches goes on with the first."""
+    folder, commits = tmp_path / "calls", []
+    folder.mkdir()
+    upsert = ProjectStore.upsert
+    monkeypatch.setattr(ProjectStore, "upsert", lambda self, tables, **k: (commits.append(k["batch"]), upsert(self, tables, **k)))
+    store, summary = job_of(spark, tmp_path, data, counted(folder), now)
+    assert commits == [5] and summary == (60, 60, 0) and labels(store) == {i: i for i in range(60)}
+    run_prefill_job(data, store, counted(folder), "p", "m", now, str(tmp_path / "job"), file_rows=5, batch_files=1)
+    assert commits == [5] and set(calls_of(folder).values()) == {1}
